@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, packing
 from .common import read
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file of the machine; it is read in place, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_components(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
