@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing
+from . import jaccard_join, packing, quality_rules
 from .common import read
 
 
@@ -21,12 +21,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_components(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
