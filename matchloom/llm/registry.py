@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, quality_rules, toxicity
+from . import jaccard_join, line_dedup, packing, quality_rules, toxicity
 from .common import read
 
 
@@ -29,13 +29,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_components(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op7_toxicity": op7_toxicity, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op7_toxicity": op7_toxicity, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_line_dedup": line_dedup.LINE_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, md5(text) AS kept_md5 FROM kept",
+    }
