@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_dedup, packing, quality_rules, toxicity
+from . import hilbert_shards, jaccard_join, line_dedup, packing, quality_rules, toxicity, transport_stream, url_filters
 from .common import read
 
 
@@ -25,6 +25,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(read(spark, sf_dir, "pages"))
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards.sharded(read(spark, sf_dir, "documents"))
+
+
+def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.media_report(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,11 +49,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_components(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op7_toxicity": op7_toxicity, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_hilbert_shards": op5_hilbert_shards, "op6_transport_stream": op6_transport_stream, "op7_toxicity": op7_toxicity, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_url_filters": url_filters.URL_SQL,
         "op9_line_dedup": line_dedup.LINE_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, md5(text) AS kept_md5 FROM kept",
     }

@@ -150,8 +150,8 @@ def fit(rows: pa.Table, spec: ToxicityModel) -> tuple[np.ndarray, np.ndarray, fl
     return chosen, w[:k], float(w[k])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicityModel | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every text.
+def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicityModel | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every text; ``keys`` name further columns, each the text's hash.
 
     Learns only from labels of rows that aren't held out; doc_id, lang, source and labels are no inputs of a score. A
     null or empty text has no features: its score is the bias alone. A row with a null doc_id is scored, not held out.
@@ -159,7 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicityModel | None = No
     spec = spec or ToxicityModel()
     chosen, weights, bias = fit(training_rows(docs, labels, spec), spec)
     shared = docs.sparkSession.sparkContext.broadcast((chosen, weights, bias))
-    schema, bits, limit = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), spec.hash_bits, 400_000
+    schema, bits, limit = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *((k, pa.int64()) for k in keys)]), spec.hash_bits, 400_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weights, bias = shared.value
@@ -192,8 +192,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicityModel | None = No
                     own = [place[x] for w in words for x in word_features(w, bits) if x in place]
                 found, n = np.unique(np.array(own, np.int64), return_counts=True)
                 scores.append(float(1 / (1 + np.exp(-np.clip(weights[found] @ np.log1p(n) + bias, -60, 60)))))
-            yield batch_of(schema, (batch.column("doc_id").to_pylist(), scores))
+            yield batch_of(schema, (batch.column("doc_id").to_pylist(), scores, *(batch.column(k) for k in keys)))
 
-    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    hashed = docs.select("doc_id", "text", *[F.xxhash64("text").alias(k) for k in keys])
+    made = hashed.mapInArrow(run, "doc_id long, score double" + "".join(f", {k} long" for k in keys))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= spec.threshold).cast("int").alias("predicted"))
+    return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= spec.threshold).cast("int").alias("predicted"), *keys)
