@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,51 +30,69 @@ class Capacity:
     rule: str = "norm"
 
 
-class WordIds:
+#: The tokenizer file's own split pattern, and words whose lower case and normal form are plain (no white
+#: space or controls, no letter that changes its length in lower case).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f]+"
+
+
+class WordIds(dict):
     """Token ids by white-space word, remembered. The tokenizer's matches never hold a space or a line feed and its
-    normaliser works within words, so cutting there changes no ids; other white space stays with its word."""
+    normaliser works within words, so cutting there changes no ids; other white space stays with its word. A plain word
+    is split by the tokenizer's pattern and its parts, which many words share, go to the merges alone; any other word
+    goes through the whole tokenizer."""
 
-    LIMIT = 400_000
+    LIMIT = 600_000
 
     def __init__(self, path: str) -> None:
+        import re
+
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.plain, self.split = re.compile(PLAIN).fullmatch, regex.compile(SPLIT).findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
+        self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.pool, self.size = np.zeros(1 << 20, np.uint16), 0
-        self.start, self.length = np.zeros(self.LIMIT * 2, np.int64), np.zeros(self.LIMIT * 2, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > self.LIMIT:
+        super().clear()
+        self.parts: dict[str, list[int]] = {}
+        self.pool, self.ends = array("H"), array("q", [0])
+
+    def part(self, text: str) -> list[int]:
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
+        own = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return own
+
+    def word(self, word: str) -> list[int]:
+        if not self.plain(word) or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        found = self.split(word.lower())
+        if len(found) == 1:
+            return self.parts.get(found[0]) or self.part(found[0])
+        return [i for x in found for i in (self.parts.get(x) or self.part(x))]
+
+    def __missing__(self, word: str) -> int:
+        self.pool.extend(self.word(word))
+        at = self[word] = len(self.ends) - 1
+        self.ends.append(len(self.pool))
+        return at
+
+    def texts(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
+        """The ids of each text, given as its words."""
+        if len(self) > self.LIMIT:
             self.clear()
-            new = [w for w in words if w]
-        if len(new) + len(self.index) > len(self.start):  # one text with very many words
-            self.start, self.length = (np.zeros(len(new) + len(self.index), np.int64) for _ in range(2))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            rows = [e.ids for e in self.encode(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            flat = np.fromiter((i for r in rows for i in r), np.uint16, int(sizes.sum()))
-            while self.size + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            first = len(self.index)
-            self.pool[self.size : self.size + len(flat)] = flat
-            self.start[first : first + len(part)] = self.size + np.cumsum(sizes) - sizes
-            self.length[first : first + len(part)] = sizes
-            self.size += len(flat)
-            self.index.update(zip(part, range(first, first + len(part)), strict=True))
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.length[at]
-        ends = np.cumsum(sizes)
-        return self.pool[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        numbers = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        pool, ends = np.array(self.pool), np.array(self.ends)
+        sizes = np.diff(ends)
+        for at in numbers:
+            n = sizes[at]
+            last = np.cumsum(n)
+            yield pool[np.repeat(ends[at] - last + n, n) + np.arange(last[-1])]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
@@ -81,22 +101,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = None
+        memo = WordIds(tokenizer)
+        gc.disable()  # the memo's many small lists are no garbage
         for batch in per_batch(batches, 128):
-            memo = memo or WordIds(tokenizer)
             texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
-            groups = [texts] if sum(map(len, texts)) < WordIds.LIMIT else [[t] for t in texts]
-            out, ids, done = [[], [], [], [], []], batch.column("doc_id").to_pylist(), 0
-            for group in groups:
-                memo.learn(set().union(*group))
-                for words in group:
-                    own = np.append(memo.ids(words), end_id).astype("<u4")
-                    for piece, at in enumerate(range(0, len(own), size)):
-                        part = own[at : at + size]
-                        for held, value in zip(out, (ids[done], piece, at, len(part), zlib.crc32(part.tobytes())), strict=True):
-                            held.append(value)
-                    done += 1
+            out = [[], [], [], [], []]
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), memo.texts(texts), strict=True):
+                own = np.append(own, end_id).astype("<u4")
+                for piece, at in enumerate(range(0, len(own), size)):
+                    part = own[at : at + size]
+                    for held, value in zip(out, (doc_id, piece, at, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        held.append(value)
             yield batch_of(schema, out)
+        gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
