@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, jaccard_join, line_dedup, packing, quality_rules, toxicity, transport_stream, url_filters
+from . import hilbert_shards, jaccard_join, line_dedup, lm_scores, packing, quality_rules, toxicity, transport_stream, url_filters
 from .common import read
 
 
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.stupid_backoff(read(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read(spark, sf_dir, "documents"))
 
@@ -56,11 +60,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_hilbert_shards": op5_hilbert_shards, "op6_transport_stream": op6_transport_stream, "op7_toxicity": op7_toxicity, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_hilbert_shards": op5_hilbert_shards, "op6_transport_stream": op6_transport_stream, "op7_toxicity": op7_toxicity, "op8_stupid_backoff": op8_stupid_backoff, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filters": url_filters.URL_SQL,
+        "op8_stupid_backoff": lm_scores.BACKOFF_SQL,
         "op9_line_dedup": line_dedup.LINE_SQL.format(docs="documents") + "SELECT doc_id, n_lines, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, md5(text) AS kept_md5 FROM kept",
     }
