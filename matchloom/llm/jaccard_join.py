@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +21,24 @@ SIGNATURE_BINS = 64
 @dataclass(frozen=True)
 class JaccardJoin:
     """Parameters: words in a shingle, similarity as a fraction num/den, counters of the frequency table (a power of two;
-    4 bytes each, so the broadcast is bounded whatever the input), and rounds in which each prefix group tries one
-    anchor before its remaining pairs are tried exhaustively."""
+    4 bytes each, so the broadcast is bounded whatever the input), per cent of a set by which prefixes are longer than
+    one common shingle needs, and rounds in which each class tries one partner before what remains is tried in full."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     counter_bits: int = 22
-    star_rounds: int = 3
+    longer: int = 3
+    star_rounds: int = 2
 
-    def prefix(self, n: int) -> int:
-        """Shingles of the rare-first order that a set of n must share one of with any partner."""
-        return n - -(-self.num * n // self.den) + 1
+    def common(self, n):
+        """Shingles that the prefixes of two linked sets share at least, if both sets have n or more (a number or Column)."""
+        return 1 + (n * self.longer // 100 if isinstance(n, int) else F.floor(n * self.longer / 100))
 
-    def needed(self, a, b):
-        """Smallest intersection that links sets of a and b shingles (works on numbers, arrays and Columns)."""
-        return (self.num * (a + b) + self.den + self.num - 1) / (self.den + self.num)
+    def prefix(self, n: int) -> int:
+        """Length of the rare-first prefix of a set of n. A link needs an intersection of t >= num/den * n shingles, and the
+        first n - t + k shingles of two sets that share t have k in common."""
+        return n - -(-self.num * n // self.den) + self.common(n)
 
 
 def shingle_set(text: bytes | None, words: WordHashes, width: int) -> np.ndarray:
@@ -45,6 +46,12 @@ def shingle_set(text: bytes | None, words: WordHashes, width: int) -> np.ndarray
     return np.unique(grams(words.of(text.lower().split()), width)) if text else np.empty(0, np.uint64)
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """Shingles by range of their hashes, as 16-bit counts (held at the greatest; a bound stays a bound)."""
+    n = np.bincount((shingles >> np.uint64(64 - SIGNATURE_BINS.bit_length() + 1)).astype(np.int64), minlength=SIGNATURE_BINS)
+    return np.minimum(n, 0xFFFF).astype(np.uint16).tobytes()
+
+
 def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
@@ -52,10 +59,10 @@ def set_id(shingles: np.ndarray) -> int:
 CHUNK_BITS = 16
 
 
-def sketch_docs(docs: DataFrame, spec: JaccardJoin) -> DataFrame:
+def sketch_docs(docs: DataFrame, spec: JaccardJoin, keys: tuple[str, ...] = ()) -> DataFrame:
     """One scan: a row for each document (``doc_id``, ``cid`` of its shingle set, ``n``), and for each task chunks of
     shingle counters (``chunk``, ``counts``)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary()), *((k, pa.int64()) for k in keys)])
     mask, chunks = np.uint64((1 << spec.counter_bits) - 1), 1 << max(0, spec.counter_bits - CHUNK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,11 +70,12 @@ def sketch_docs(docs: DataFrame, spec: JaccardJoin) -> DataFrame:
 
         words, counts, seen = WordHashes(), np.zeros(1 << spec.counter_bits, np.uint32), set()
         for batch in per_batch(batches):
-            ids, keys, sizes, slots = batch.column("doc_id").to_pylist(), [], [], []
+            ids, cids, sizes, sigs, slots = batch.column("doc_id").to_pylist(), [], [], [], []
             for text in utf8(batch.column("text")):
                 own = shingle_set(text, words, spec.words)
-                keys.append(key := set_id(own))
+                cids.append(key := set_id(own))
                 sizes.append(len(own))
+                sigs.append(signature(own))
                 if key not in seen:  # copies met in this task count once, as they do in the join
                     if len(seen) > 500_000:
                         seen.clear()
@@ -75,12 +83,13 @@ def sketch_docs(docs: DataFrame, spec: JaccardJoin) -> DataFrame:
                     slots.append(own & mask)
             if slots:
                 np.add.at(counts, np.concatenate(slots).astype(np.int64), np.uint32(1))
-            yield batch_of(schema, (ids, keys, sizes, [None] * len(ids), [None] * len(ids)))
+            yield batch_of(schema, (ids, cids, sizes, sigs, [None] * len(ids), [None] * len(ids), *(batch.column(k) for k in keys)))
         if counts.any():
             parts = np.split(counts, chunks)
-            yield batch_of(schema, ([None] * chunks, [None] * chunks, [None] * chunks, list(range(chunks)), [zlib.compress(p.tobytes(), 1) for p in parts]))
+            yield batch_of(schema, (*[[None] * chunks] * 4, list(range(chunks)), [zlib.compress(p.tobytes(), 1) for p in parts], *[[None] * chunks for _ in keys]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cid long, n long, chunk int, counts binary")
+    hashed = docs.select("doc_id", "text", *[F.xxhash64("text").alias(k) for k in keys])
+    return hashed.mapInArrow(run, "doc_id long, cid long, n long, sig binary, chunk int, counts binary" + "".join(f", {k} long" for k in keys))
 
 
 def frequency_table(sketches: DataFrame, spec: JaccardJoin) -> np.ndarray:
@@ -135,119 +144,173 @@ def prefix_rows(docs: DataFrame, table: np.ndarray, spec: JaccardJoin) -> DataFr
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, spec: JaccardJoin) -> DataFrame:
-    """``cid``, ``body`` (sorted hashes), ``sig`` for the wanted classes (``cid``, ``rep``), read again from the text of
-    one representative each."""
-    schema = pa.schema([("cid", pa.int64()), ("body", pa.binary()), ("sig", pa.binary())])
-    shift = np.uint64(64 - SIGNATURE_BINS.bit_length() + 1)
+    """``cid``, ``body`` (sorted hashes) of the wanted classes (``cid``, ``rep``), from the text of one document of each."""
+    schema = pa.schema([("cid", pa.int64()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in per_batch(batches, 64):
             sets = [shingle_set(t, words, spec.words) for t in utf8(batch.column("text"))]
-            sig = [np.bincount((s >> shift).astype(np.int64), minlength=SIGNATURE_BINS).astype(np.int32).tobytes() for s in sets]
-            yield batch_of(schema, ([set_id(s) for s in sets], [s.tobytes() for s in sets], sig))
+            yield batch_of(schema, ([set_id(s) for s in sets], [s.tobytes() for s in sets]))
 
     side = small_side(wanted)
-    ours = docs.select("doc_id", "text").join(side.select("rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    made = ours.select("text").mapInArrow(run, "cid long, body binary, sig binary")
-    return made.join(side.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    ours = docs.select("doc_id", "text").join(side.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    made = ours.select("text").mapInArrow(run, "cid long, body binary")
+    return made.join(side.select("cid"), "cid", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, spec: JaccardJoin) -> DataFrame:
-    """The pairs (``a``, ``b``) that link. The signatures first: where two sets differ by more in their counts by hash
-    range than a link allows, no intersection is made (the suffix filter's bound, over ranges instead of a median)."""
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: JaccardJoin) -> DataFrame:
+    """The pairs (``a``, ``b``) that link. The suffix filter first: where two sets differ by more in their counts by hash
+    range than a link allows, no intersection is made (the filter's bound, over fixed ranges instead of a median)."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SIGNATURE_BINS).astype(np.int64) for c in ("sig_a", "sig_b"))
+            n = x.sum(1) + y.sum(1)
+            least = -(-spec.num * n // (spec.den + spec.num))
+            full = (x.max(1, initial=0) == 0xFFFF) | (y.max(1, initial=0) == 0xFFFF)
+            yield batch.select(["a", "b"]).filter(pa.array((np.abs(x - y).sum(1) <= n - 2 * least) | full, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in per_batch(batches, 128):
             keep = []
             for x, y in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(spec.den * both >= spec.num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, SIGNATURE_BINS) for c in ("sig_a", "sig_b"))
-            n = x.sum(1) + y.sum(1)
-            least = -(-spec.num * n // (spec.den + spec.num))
-            yield batch.select(["a", "b"]).filter(pa.array(np.abs(x - y).sum(1) <= n - 2 * least, pa.bool_()))
-
-    def with_(df: DataFrame, column: str) -> DataFrame:
+    def with_(df: DataFrame, source: DataFrame, column: str) -> DataFrame:
         for side in ("a", "b"):
-            df = df.join(sets.select(F.col("cid").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+            df = df.join(source.select(F.col("cid").alias(side), F.col(column).alias(f"{column}_{side}")), side)
         return df
 
-    close = with_(pairs, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
-    return with_(close, "body").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    close = stash(with_(pairs, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long"))
+    named = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct()
+    sets = sets.join(named, "cid", "left_semi")
+    return with_(close, sets, "body").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
-def linked_classes(docs: DataFrame, spec: JaccardJoin | None = None) -> tuple[DataFrame, DataFrame]:
+def of_several(rows: DataFrame, column: str) -> DataFrame:
+    """The rows of those prefix groups that hold more than one value of the column."""
+    group = Window.partitionBy("h")
+    return rows.withColumn("lo", F.min(column).over(group)).withColumn("hi", F.max(column).over(group)).where("lo <> hi").drop("lo", "hi")
+
+
+def candidates(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
+    """Prefix rows of classes that can have a partner at all, with ``k``, the shared rows of their class: enough of a
+    class's prefix must lie in groups with others (a partner has num/den of its shingles or more, and shares ``common``
+    of that many)."""
+    each = Window.partitionBy("h", "cid").orderBy("pos")
+    # rows are dealt by h once: groups of one class, by far the most, and repeats of a class in a group end here
+    once = of_several(rows.repartition("h"), "cid").withColumn("copy", F.row_number().over(each)).where("copy = 1").drop("copy")
+    for _ in range(2):
+        counted = once.withColumn("k", F.count("*").over(Window.partitionBy("cid")))
+        able = counted.where(F.col("k") >= spec.common(F.floor(F.col("n") * spec.num / spec.den)))
+        once = stash(of_several(able, "cid")).select("h", "cid", "n", "pos", "k")
+    # prefix rows that no other class has are in no intersection: so many shingles at most are in one
+    return once.withColumn("own", F.ceil(F.col("n") * spec.num / spec.den) - spec.common(F.col("n")) + F.col("k"))
+
+
+def star_choices(rows: DataFrame, step: int, spec: JaccardJoin) -> DataFrame:
+    """At most one partner ``y`` for each class ``cid``. Every prefix group names a member: the one that shares the most of
+    its prefix (few edits set it apart from the others, so it links to most of them), in the next step the second, and so
+    on; a class takes the one that most of its groups name among those of another root and of fitting size that come
+    before itself in this order, so choices form a forest."""
+    order = Window.partitionBy("h").orderBy(F.desc("k"), "cid")
+    group = Window.partitionBy("h")
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(group))
+    head = F.when(F.col("place") == 1 + F.lit(step) % F.col("size"), F.struct(F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("own").alias("yown"), F.col("root").alias("yroot"), F.col("k").alias("yk")))
+    named = placed.withColumn("head", F.max(head).over(group)).select("cid", "n", "own", "k", "root", "head.*")
+    before = (F.col("yk") > F.col("k")) | ((F.col("yk") == F.col("k")) & (F.col("y") < F.col("cid")))
+    votes = named.where((F.col("root") != F.col("yroot")) & before & fits(spec)).groupBy("cid", "y").agg(F.count("*").alias("votes"))
+    return votes.groupBy("cid").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
+
+
+def fits(spec: JaccardJoin):
+    """The length filter, and what the classes' prefixes leave for an intersection."""
+    length = F.lit(spec.den) * F.least("n", "yn") >= F.lit(spec.num) * F.greatest("n", "yn")
+    return length & (F.lit(spec.den + spec.num) * F.least("own", "yown") >= F.lit(spec.num) * (F.col("n") + F.col("yn")))
+
+
+def all_pairs(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
+    """Every pair of classes of different components that passes the length, count and positional filters. In a group,
+    members of its largest component meet only the others."""
+    size = rows.groupBy("h", "root").agg(F.count("*").alias("c"))
+    top = size.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
+    side = rows.join(top, "h").where("root <> top")
+    other = rows.select("h", F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("own").alias("yown"), F.col("root").alias("yroot"))
+    # two members that both are outside the largest component would meet twice
+    once = (F.col("yroot") == F.col("top")) | (F.col("cid") < F.col("y"))
+    met = side.join(other, "h").where((F.col("root") != F.col("yroot")) & once & fits(spec))
+    turned = F.col("cid") > F.col("y")  # a pair may meet in either order, by group
+    put = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
+    met = met.select(put("cid", "y", "a"), put("y", "cid", "b"), put("n", "yn", "n"), put("yn", "n", "yn"), put("pos", "ypos", "pos"), put("ypos", "pos", "ypos"))
+    both = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("yn").alias("yn"), F.max("pos").alias("pos"), F.max("ypos").alias("ypos"))
+    most = F.col("k") + F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("ypos")) - 1  # common shingles at most
+    enough = F.lit(spec.den + spec.num) * most >= F.lit(spec.num) * (F.col("n") + F.col("yn"))
+    return both.where((F.col("k") >= spec.common(F.least("n", "yn"))) & enough).select("a", "b")
+
+
+def linked_classes(docs: DataFrame, spec: JaccardJoin | None = None, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents: ``doc_id``, ``cid``, ``n``; classes in links: ``cid``, ``root``), where classes are equal shingle sets.
 
-    Links between classes decide the components. Within a prefix group, rounds of anchors join most classes that are
-    near copies of one another; pairs whose classes are already joined cannot change a component, and every other pair
-    that passes the filters is verified, once. So a group of m near copies costs about m pairs for a round, and no pair
-    that could join two components is left out.
+    Links between classes decide the components. First every class tries one partner in each of a few rounds, which joins
+    nearly all near copies; two classes that are joined already need no verification, since it could not change a
+    component. Then all other pairs that pass the filters are verified. So a group of m near copies costs about m pairs a
+    round, and no pair that could join two components is left out. No pair is verified twice.
     """
     spec = spec or JaccardJoin()
-    sketches = stash(sketch_docs(docs, spec))
-    members = sketches.where("chunk is null").select("doc_id", "cid", "n")
-    table = frequency_table(sketches, spec)
-    rows = prefix_rows(docs, table, spec)
-    group = Window.partitionBy("h")
-    several = rows.withColumn("lo", F.min("cid").over(group)).withColumn("hi", F.max("cid").over(group)).where("lo <> hi")
-    entries = stash(several.select("h", "cid", "n", "pos"))  # groups of one class, by far the most, end here
-    entries = stash(entries.dropDuplicates(["h", "cid"]))
-    wanted = entries.select("cid").distinct()
-    reps = members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    sets = stash(sets_of(docs, stash(reps.join(wanted, "cid", "left_semi")), spec))
-
+    sketches = stash(sketch_docs(docs, spec, keys))
+    members = sketches.where("chunk is null").select("doc_id", "cid", "n", "sig", *keys)
+    rows = candidates(prefix_rows(docs, frequency_table(sketches, spec), spec), spec)
+    classes = stash(members.where("n > 0").join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    sets = stash(sets_of(docs, classes.select("cid", "rep"), spec))
     tried = links = None
-    roots = stash(wanted.withColumn("root", F.col("cid")))
+    roots = classes.select("cid", F.col("cid").alias("root"))
     for step in range(spec.star_rounds + 1):
-        open_rows = entries.join(roots, "cid") if step else entries.withColumn("root", F.col("cid"))
-        open_rows = open_rows.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo <> hi").drop("lo", "hi")
-        open_rows = stash(open_rows)
-        size = open_rows.groupBy("h", "root").agg(F.count("*").alias("c"), F.min("cid").alias("least"), F.max("cid").alias("most"))
-        top = size.groupBy("h").agg(F.max(F.struct("c", "root", "least", "most")).alias("t")).select("h", F.col("t.root").alias("troot"), F.col("t.least").alias("least"), F.col("t.most").alias("most"))
-        side = open_rows.join(top, "h").where("root <> troot")
-        if step < spec.star_rounds:
-            anchor = top.select("h", (F.col("least") if step % 2 == 0 else F.col("most")).alias("cid"))
-            other = entries.join(anchor, ["h", "cid"]).select("h", F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.lit(None).cast("long").alias("yroot"))
-        else:
-            other = open_rows.select("h", F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("root").alias("yroot"))
-        small, large = F.least("n", "yn"), F.greatest("n", "yn")
-        rest = 1 + F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("ypos")) - 1
-        shared = F.least("pos", "ypos") + rest  # at most so many shingles can be common
-        fits = (F.lit(spec.den) * small >= F.lit(spec.num) * large) & (F.lit(spec.den + spec.num) * shared >= F.lit(spec.num) * (F.col("n") + F.col("yn")))
-        new = F.col("yroot").isNull() | (F.col("root") != F.col("yroot"))
-        found = side.alias("s").join(other.alias("o"), (F.col("s.h") == F.col("o.h")) & (F.col("cid") != F.col("y")) & fits & new)
-        pairs = found.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b")).distinct()
+        rows = stash(of_several(rows.drop("root").join(roots, "cid"), "root"))
+        if rows.isEmpty():
+            break
+        last = step == spec.star_rounds
+        chosen = None if last else stash(star_choices(rows, step, spec))
+        pairs = all_pairs(rows, spec) if last else chosen.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs)
+        good = stash(verified(pairs, classes, sets, spec))
         tried = pairs if tried is None else tried.union(pairs)
-        good = stash(verified(pairs, sets, spec))
         links = good if links is None else links.union(good)
-        if not good.limit(1).count():
-            if step < spec.star_rounds:
-                continue
-            break
-        roots = stash(wanted.join(components(links), F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
-    return members, roots
-
-
-def near_duplicate_components(docs: DataFrame, spec: JaccardJoin | None = None) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``: the smallest doc_id that links reach, itself included.
+        if not last:
+            # what a class chose becomes its parent, if they link; two jumps make most trees one root
+            held = chosen.join(good, (F.least("cid", "y") == F.col("a")) & (F.greatest("cid", "y") == F.col("b"))).select("cid", "y")
+            for _ in range(2):
+                up = held.select(F.col("cid").alias("y"), F.col("y").alias("z"))
+                held = stash(held.join(up, "y", "left").select("cid", F.coalesce("z", "y").alias("y")))
+            above = roots.select(F.col("cid").alias("y"), F.col("root").alias("top"))
+            moved = held.join(above, "y").select("cid", "top")
+            roots = stash(roots.join(moved, "cid", "left").select("cid", F.coalesce("top", "root").alias("root")))
+    if links is None:
+        return members.drop("sig"), roots
+    found = components(links)
+    return members.drop("sig"), stash(found.select(F.col("node").alias("cid"), "root"))
+
+
+def near_duplicate_components(docs: DataFrame, spec: JaccardJoin | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``: the smallest doc_id that links reach, itself included; and with
+    ``keys`` (further columns, each the text's hash) also ``group_``, which names a group where ids are null.
 
     Null and empty texts, and texts of white space, have no shingles and stand alone, each for itself. Equal texts and
     texts with equal shingle sets are linked. Rows with a null doc_id take part; their component is the smallest id that
     is known in it, or null. Columns other than doc_id and text are ignored; repeated rows are returned as often.
     """
-    members, roots = linked_classes(docs, spec)
-    tops = members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    members, roots = linked_classes(docs, spec, keys)
+    own = members.where("n > 0")
+    # a class that no prefix group joins to another is its own root
+    tops = own.groupBy("cid").agg(F.min("doc_id").alias("rep")).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     low = tops.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = tops.join(low, "root").select("cid", "component_id")
-    full = members.where("n > 0").join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_class = tops.join(low, "root").select("cid", "component_id", F.col("root").alias("group_"))
+    also = ["group_", *keys] if keys else []
+    full = own.join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *also)
+    alone = members.where("n = 0").withColumn("group_", F.lit(None).cast("long"))
+    return full.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *also))
