@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert_shards, jaccard_join, line_dedup, lm_scores, packing, quality_rules, toxicity, transport_stream, url_filters
+from . import hilbert_shards, jaccard_join, line_dedup, lm_scores, packing, piece_sampling, quality_rules, toxicity, transport_stream, url_filters
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled_segmentations(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(read(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_hilbert_shards": op5_hilbert_shards, "op6_transport_stream": op6_transport_stream, "op7_toxicity": op7_toxicity, "op8_stupid_backoff": op8_stupid_backoff, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_sampled_pieces": op2_sampled_pieces, "op3_quality_rules": op3_quality_rules, "op4_url_filters": op4_url_filters, "op5_hilbert_shards": op5_hilbert_shards, "op6_transport_stream": op6_transport_stream, "op7_toxicity": op7_toxicity, "op8_stupid_backoff": op8_stupid_backoff, "op9_line_dedup": op9_line_dedup, "op10_ngram_jaccard_join": op10_ngram_jaccard_join, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
