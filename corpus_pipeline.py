@@ -62,8 +62,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token pieces of all documents: one row for each piece, with its sequence and offset."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Packs the token pieces of all documents: one row for each piece, with its sequence and offset. A smaller memo of
+    words than alone: the executors' heaps are full by now."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), memo=150_000)
 
 
 STAGES = [

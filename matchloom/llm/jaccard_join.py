@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, grams, per_batch, small_side, stash, utf8
+from .common import WordHashes, batch_of, grams, per_batch, small_side, stash, tidy, utf8
 from .components import components
 
 #: Bins of the suffix signature: how many shingles of a set fall into each range of hashes.
@@ -29,7 +29,7 @@ class JaccardJoin:
     den: int = 100
     counter_bits: int = 22
     longer: int = 3
-    star_rounds: int = 2
+    star_rounds: int = 1
 
     def common(self, n):
         """Shingles that the prefixes of two linked sets share at least, if both sets have n or more (a number or Column)."""
@@ -89,7 +89,7 @@ def sketch_docs(docs: DataFrame, spec: JaccardJoin, keys: tuple[str, ...] = ())
             yield batch_of(schema, (*[[None] * chunks] * 4, list(range(chunks)), [zlib.compress(p.tobytes(), 1) for p in parts], *[[None] * chunks for _ in keys]))
 
     hashed = docs.select("doc_id", "text", *[F.xxhash64("text").alias(k) for k in keys])
-    return hashed.mapInArrow(run, "doc_id long, cid long, n long, sig binary, chunk int, counts binary" + "".join(f", {k} long" for k in keys))
+    return hashed.mapInArrow(tidy(run), "doc_id long, cid long, n long, sig binary, chunk int, counts binary" + "".join(f", {k} long" for k in keys))
 
 
 def frequency_table(sketches: DataFrame, spec: JaccardJoin) -> np.ndarray:
@@ -108,7 +108,7 @@ def frequency_table(sketches: DataFrame, spec: JaccardJoin) -> np.ndarray:
         for chunk, own in sums.items():
             yield batch_of(schema, ([chunk], [zlib.compress(np.minimum(own, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]))
 
-    summed = sketches.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary")
+    summed = sketches.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(tidy(run), "chunk int, counts binary")
     table = np.zeros(1 << spec.counter_bits, np.uint32)
     for row in summed.collect():  # the chunks of one table of fixed size
         table[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(zlib.decompress(row.counts), np.uint32)
@@ -140,7 +140,7 @@ def prefix_rows(docs: DataFrame, table: np.ndarray, spec: JaccardJoin) -> DataFr
             if out[0]:
                 yield batch_of(schema, map(np.concatenate, out))
 
-    return docs.select("text").mapInArrow(run, "h long, cid long, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(run), "h long, cid long, n int, pos int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, spec: JaccardJoin) -> DataFrame:
@@ -155,7 +155,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, spec: JaccardJoin) -> DataFrame:
 
     side = small_side(wanted)
     ours = docs.select("doc_id", "text").join(side.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    made = ours.select("text").mapInArrow(run, "cid long, body binary")
+    made = ours.select("text").mapInArrow(tidy(run), "cid long, body binary")
     return made.join(side.select("cid"), "cid", "left_semi")
 
 
@@ -185,10 +185,10 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: Jaccar
             df = df.join(source.select(F.col("cid").alias(side), F.col(column).alias(f"{column}_{side}")), side)
         return df
 
-    close = stash(with_(pairs, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a long, b long"))
+    close = stash(with_(pairs, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(near), "a long, b long"))
     named = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct()
     sets = sets.join(named, "cid", "left_semi")
-    return with_(close, sets, "body").select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+    return with_(close, sets, "body").select("a", "b", "body_a", "body_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def of_several(rows: DataFrame, column: str) -> DataFrame:
@@ -204,12 +204,11 @@ def candidates(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
     each = Window.partitionBy("h", "cid").orderBy("pos")
     # rows are dealt by h once: groups of one class, by far the most, and repeats of a class in a group end here
     once = of_several(rows.repartition("h"), "cid").withColumn("copy", F.row_number().over(each)).where("copy = 1").drop("copy")
-    for _ in range(2):
-        counted = once.withColumn("k", F.count("*").over(Window.partitionBy("cid")))
-        able = counted.where(F.col("k") >= spec.common(F.floor(F.col("n") * spec.num / spec.den)))
-        once = stash(of_several(able, "cid")).select("h", "cid", "n", "pos", "k")
-    # prefix rows that no other class has are in no intersection: so many shingles at most are in one
-    return once.withColumn("own", F.ceil(F.col("n") * spec.num / spec.den) - spec.common(F.col("n")) + F.col("k"))
+    each = Window.partitionBy("cid")
+    # ``m``: rows of the class before this one that others have too; what others' prefixes lack up to here, they lack
+    counted = once.withColumns({"k": F.count("*").over(each), "m": F.row_number().over(each.orderBy("pos", "h")) - 1})
+    able = counted.where(F.col("k") >= spec.common(F.floor(F.col("n") * spec.num / spec.den)))
+    return stash(of_several(able, "cid").select("h", "cid", "n", "pos", "k", "m"))
 
 
 def star_choices(rows: DataFrame, step: int, spec: JaccardJoin) -> DataFrame:
@@ -220,36 +219,47 @@ def star_choices(rows: DataFrame, step: int, spec: JaccardJoin) -> DataFrame:
     order = Window.partitionBy("h").orderBy(F.desc("k"), "cid")
     group = Window.partitionBy("h")
     placed = rows.withColumn("place", F.row_number().over(order)).withColumn("size", F.count("*").over(group))
-    head = F.when(F.col("place") == 1 + F.lit(step) % F.col("size"), F.struct(F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("own").alias("yown"), F.col("root").alias("yroot"), F.col("k").alias("yk")))
-    named = placed.withColumn("head", F.max(head).over(group)).select("cid", "n", "own", "k", "root", "head.*")
+    head = F.when(F.col("place") == 1 + F.lit(step) % F.col("size"), F.struct(F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("m").alias("ym"), F.col("root").alias("yroot"), F.col("k").alias("yk")))
+    named = placed.withColumn("head", F.max(head).over(group)).select("cid", "n", "pos", "m", "k", "root", "head.*")
     before = (F.col("yk") > F.col("k")) | ((F.col("yk") == F.col("k")) & (F.col("y") < F.col("cid")))
     votes = named.where((F.col("root") != F.col("yroot")) & before & fits(spec)).groupBy("cid", "y").agg(F.count("*").alias("votes"))
     return votes.groupBy("cid").agg(F.max_by("y", F.struct("votes", "y")).alias("y"))
 
 
 def fits(spec: JaccardJoin):
-    """The length filter, and what the classes' prefixes leave for an intersection."""
+    """The length filter and the positional filter at a common shingle: what both classes have before it that others have
+    too, and what both have from it on, bounds the intersection."""
     length = F.lit(spec.den) * F.least("n", "yn") >= F.lit(spec.num) * F.greatest("n", "yn")
-    return length & (F.lit(spec.den + spec.num) * F.least("own", "yown") >= F.lit(spec.num) * (F.col("n") + F.col("yn")))
+    most = F.least("m", "ym") + F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("ypos"))
+    return length & (F.lit(spec.den + spec.num) * most >= F.lit(spec.num) * (F.col("n") + F.col("yn")))
+
+
+def shared_least(spec: JaccardJoin):
+    """Prefix rows that two linked classes share at least: an intersection of t leaves max(n - prefix) of it at most to
+    what lies outside one of the prefixes."""
+    outside = lambda n: F.floor(F.col(n) * spec.num / spec.den) - spec.common(F.col(n))  # noqa: E731  n - prefix
+    t = F.ceil((F.col("n") + F.col("yn")) * spec.num / (spec.den + spec.num))
+    return F.greatest(t - F.greatest(outside("n"), outside("yn")) - 1, F.lit(1))
 
 
 def all_pairs(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
-    """Every pair of classes of different components that passes the length, count and positional filters. In a group,
-    members of its largest component meet only the others."""
-    size = rows.groupBy("h", "root").agg(F.count("*").alias("c"))
-    top = size.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
-    side = rows.join(top, "h").where("root <> top")
-    other = rows.select("h", F.col("cid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"), F.col("own").alias("yown"), F.col("root").alias("yroot"))
-    # two members that both are outside the largest component would meet twice
-    once = (F.col("yroot") == F.col("top")) | (F.col("cid") < F.col("y"))
-    met = side.join(other, "h").where((F.col("root") != F.col("yroot")) & once & fits(spec))
-    turned = F.col("cid") > F.col("y")  # a pair may meet in either order, by group
-    put = lambda x, y, name: F.when(turned, F.col(y)).otherwise(F.col(x)).alias(name)
-    met = met.select(put("cid", "y", "a"), put("y", "cid", "b"), put("n", "yn", "n"), put("yn", "n", "yn"), put("pos", "ypos", "pos"), put("ypos", "pos", "ypos"))
-    both = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("yn").alias("yn"), F.max("pos").alias("pos"), F.max("ypos").alias("ypos"))
-    most = F.col("k") + F.least(F.col("n") - F.col("pos"), F.col("yn") - F.col("ypos")) - 1  # common shingles at most
-    enough = F.lit(spec.den + spec.num) * most >= F.lit(spec.num) * (F.col("n") + F.col("yn"))
-    return both.where((F.col("k") >= spec.common(F.least("n", "yn"))) & enough).select("a", "b")
+    """Every pair of classes of different roots that passes the filters. In a group, members of its most frequent root
+    meet only the others. A pair shares ``shared_least`` rows, so one of them at least is among all but so many of the
+    first rows of either class: only at the late rows of one of them, where the positional filter is sharpest, the pair is
+    made."""
+    group = Window.partitionBy("h")
+    counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("h", "root")))
+    topped = counted.withColumn("top", F.max(F.struct("c", "root")).over(group)["root"]).drop("c")
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("pos"), "h"))
+    placed = stash(topped.withColumn("late", rank))
+    side = placed.where("root <> top")
+    other = placed.select("h", *[F.col(c).alias(n) for c, n in (("cid", "y"), ("n", "yn"), ("pos", "ypos"), ("k", "yk"), ("m", "ym"), ("late", "ylate"), ("root", "yroot"))])
+    # the class of the pair with fewer rows looks for the other
+    mine = F.struct("k", "cid") < F.struct("yk", "y")
+    spare = shared_least(spec) - 1
+    look = F.when(mine, F.col("late") <= F.col("k") - spare).otherwise(F.col("ylate") <= F.col("yk") - spare)
+    met = side.join(other, "h").where((F.col("root") != F.col("yroot")) & look & fits(spec))
+    return met.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b")).distinct()
 
 
 def linked_classes(docs: DataFrame, spec: JaccardJoin | None = None, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -269,12 +279,10 @@ def linked_classes(docs: DataFrame, spec: JaccardJoin | None = None, keys: tuple
     tried = links = None
     roots = classes.select("cid", F.col("cid").alias("root"))
     for step in range(spec.star_rounds + 1):
-        rows = stash(of_several(rows.drop("root").join(roots, "cid"), "root"))
-        if rows.isEmpty():
-            break
         last = step == spec.star_rounds
-        chosen = None if last else stash(star_choices(rows, step, spec))
-        pairs = all_pairs(rows, spec) if last else chosen.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"))
+        open_ = of_several(rows.join(small_side(roots), "cid"), "root") if step else rows.withColumn("root", F.col("cid"))
+        chosen = None if last else stash(star_choices(open_, step, spec))
+        pairs = all_pairs(open_, spec) if last else chosen.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stash(pairs)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, mix, per_batch, utf8
+from .common import WordHashes, batch_of, mix, per_batch, tidy, utf8
 
 KEY_BYTES = 6
 
@@ -137,7 +137,7 @@ def answers(docs: DataFrame, spec: Backoff, parts: int) -> DataFrame:
         out = [pressed(x) for x in np.split(np.minimum(total, 0xFFFFFFFF).astype(np.uint32), sizes)]
         return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "counts": pa.array(out, pa.binary())})
 
-    asked = docs.mapInArrow(ask, ROWS)
+    asked = docs.mapInArrow(tidy(ask), ROWS)
     return asked.groupBy("level", "part").applyInArrow(answer, "block long, level int, part int, counts binary")
 
 
@@ -151,7 +151,7 @@ def skeletons(docs: DataFrame, spec: Backoff) -> DataFrame:
         for k, block in enumerate(blocks(batches, spec)):
             yield batch_of(schema, ([block_id(k)], [0], [0], [pickle.dumps(block.doc_ids)], [pickle.dumps([pressed(x) for x in (block.sizes, block.numbers, block.words)])]))
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy(run), ROWS)
 
 
 def scores_of(block: Block, counts: dict[int, np.ndarray], total: int, spec: Backoff) -> tuple[np.ndarray, np.ndarray]:

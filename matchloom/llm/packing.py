@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, per_batch, stash
+from .common import batch_of, per_batch, stash, tidy
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,7 @@ class WordIds(dict):
     is split by the tokenizer's pattern and its parts, which many words share, go to the merges alone; any other word
     goes through the whole tokenizer."""
 
-    LIMIT = 600_000
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int) -> None:
         import re
 
         import regex
@@ -56,6 +54,7 @@ class WordIds(dict):
         self.plain, self.split = re.compile(PLAIN).fullmatch, regex.compile(SPLIT).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+        self.limit = limit
         self.clear()
 
     def clear(self) -> None:
@@ -84,7 +83,7 @@ class WordIds(dict):
 
     def texts(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
         """The ids of each text, given as its words."""
-        if len(self) > self.LIMIT:
+        if len(self) > self.limit:
             self.clear()
         numbers = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
         pool, ends = np.array(self.pool), np.array(self.ends)
@@ -95,18 +94,19 @@ class WordIds(dict):
             yield pool[np.repeat(ends[at] - last + n, n) + np.arange(last[-1])]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, memo: int = 600_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: the ids of each text and ``end_id``, cut where longer than ``size``.
-    A null text counts as empty, which leaves the end id alone."""
+    A null text counts as empty, which leaves the end id alone. ``memo`` bounds the words that a task remembers: fewer
+    need less memory and more time, and change no result."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordIds(tokenizer)
+        words = WordIds(tokenizer, memo)
         gc.disable()  # the memo's many small lists are no garbage
         for batch in per_batch(batches, 128):
             texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
             out = [[], [], [], [], []]
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), memo.texts(texts), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), words.texts(texts), strict=True):
                 own = np.append(own, end_id).astype("<u4")
                 for piece, at in enumerate(range(0, len(own), size)):
                     part = own[at : at + size]
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
             yield batch_of(schema, out)
         gc.enable()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], cap: Capacity) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -203,13 +203,13 @@ def pack(pieces: DataFrame, cap: Capacity | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, fields)
+    return ranked.mapInArrow(tidy(run), fields)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity | None = None, memo: int = 600_000) -> DataFrame:
     """One row for each piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one piece of one id. Texts of any length are cut, none is dropped. Equal rows are packed as
     often as they occur; a null doc_id is kept. An empty table gives no rows. Other columns are ignored."""
     cap = cap or Capacity()
-    return pack(stash(token_pieces(docs, tokenizer, cap.tokens)), cap)
+    return pack(stash(token_pieces(docs, tokenizer, cap.tokens, memo=memo)), cap)

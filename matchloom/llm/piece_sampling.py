@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import batch_of, mix, per_batch
+from .common import batch_of, mix, per_batch, tidy
 
 SPACE = "▁"
 
@@ -289,7 +289,7 @@ def sampled_segmentations(docs: DataFrame, model: str, spec: Sampling | None = N
             yield batch_of(schema, zip(*rows, strict=True))
         gc.enable()
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS + (", ids array<int>" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), FIELDS + (", ids array<int>" if with_ids else ""))
 
 
 def decoded(encoded: DataFrame, model: str) -> DataFrame:
@@ -303,4 +303,4 @@ def decoded(encoded: DataFrame, model: str) -> DataFrame:
         for batch in per_batch(batches, 128):
             yield batch_of(schema, (batch.column("doc_id"), batch.column("sample"), [decode_ids(x or [], own) for x in batch.column("ids").to_pylist()]))
 
-    return encoded.select("doc_id", "sample", "ids").mapInArrow(run, "doc_id long, sample int, text string")
+    return encoded.select("doc_id", "sample", "ids").mapInArrow(tidy(run), "doc_id long, sample int, text string")

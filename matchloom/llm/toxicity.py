@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, per_batch, utf8
+from .common import batch_of, per_batch, tidy, utf8
 
 # Terms that name a group, by kind. A swap puts another term of the same kind and language in place.
 IDENTITY_TERMS = (
@@ -101,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, spec: ToxicityModel) -> pa
                 rows.append([x.tobytes() for x in (*first, *second)])
             yield batch_of(schema, (batch.column("toxic").to_pylist(), *zip(*rows, strict=True)))
 
-    return docs.select("doc_id", "text").join(picked, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, ids binary, n binary, ids2 binary, n2 binary").toArrow()
+    return docs.select("doc_id", "text").join(picked, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(run), "toxic int, ids binary, n binary, ids2 binary, n2 binary").toArrow()
 
 
 def matrix(ids: list[bytes], n: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,6 +195,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicityModel | None = No
             yield batch_of(schema, (batch.column("doc_id").to_pylist(), scores, *(batch.column(k) for k in keys)))
 
     hashed = docs.select("doc_id", "text", *[F.xxhash64("text").alias(k) for k in keys])
-    made = hashed.mapInArrow(run, "doc_id long, score double" + "".join(f", {k} long" for k in keys))
+    made = hashed.mapInArrow(tidy(run), "doc_id long, score double" + "".join(f", {k} long" for k in keys))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return made.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= spec.threshold).cast("int").alias("predicted"), *keys)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, per_batch
+from .common import batch_of, per_batch, tidy
 
 PACKET, SYNC, PROGRAM, TABLE_PID, MEDIA_PID, PRIVATE_DATA = 188, 0x47, 1, 0x1000, 0x100, 0x06
 
@@ -221,7 +221,7 @@ def encode_media(docs: DataFrame, timing: Timing | None = None) -> DataFrame:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield batch_of(schema, (batch.column("doc_id"), list(map(len, texts)), [mux(padded(t), timing) for t in texts]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 UNITS = "array<struct<pts: bigint, start: bigint, random_access: boolean>>"
@@ -247,7 +247,7 @@ def read_media(media: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), s.packets, s.program, s.pid, s.kind, s.gaps, units, s.faults, said))
             yield batch_of(schema, zip(*rows, strict=True))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, fields)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), fields)
 
 
 def media_report(docs: DataFrame, timing: Timing | None = None) -> DataFrame:
