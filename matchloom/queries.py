@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from matchloom.plans import analysis, scalar  # noqa: F401
+from matchloom.plans.book import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
