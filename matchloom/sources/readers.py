@@ -40,8 +40,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
 
 
 def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
-    """UTF-8, or Latin-1 where a line is no valid UTF-8 (a replacement character shows it)."""
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    """UTF-8, or Latin-1 where a line is no valid UTF-8."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return read_csv(spark, path, encoding="ISO-8859-1" if broken else "UTF-8")
 
 
