@@ -660,17 +660,29 @@ def aliases(t: Tables) -> DataFrame:
     return skills.alias_index(known(t)).select("canonical", "alias", "kind")
 
 
-@query("m15_sections")
+NORM_SQL = r"trim(regexp_replace(lower({x}), '[ \t\xA0]+', ' ', 'g'))"
+LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS raw, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) AS pos FROM documents),
+t AS (SELECT doc_id, pos, trim(raw) AS line FROM l WHERE trim(raw) <> ''),
+h AS (SELECT *, trim(regexp_replace(line, '^(-|\*|•|â€¢)', '')) AS body FROM t),
+r AS (SELECT *, trim(regexp_replace(body, '^:+|:+$', '', 'g')) AS tr FROM h),
+w AS (SELECT *, list_filter(regexp_split_to_array(tr, '\s+'), lambda x: x <> '') AS ws, length(regexp_replace(tr, '[^\p{L}]', '', 'g')) AS le, length(regexp_replace(tr, '[^\p{Lu}]', '', 'g')) AS up FROM r),
+k AS (SELECT *, (length(tr) BETWEEN 1 AND 80 AND len(ws) <= 6 AND le > 0 AND (ends_with(rtrim(line), ':') OR up >= 0.6 * le OR len(list_filter(ws, lambda x: regexp_matches(x, '^\p{Lu}'))) >= 0.8 * len(ws))) AS head FROM w),
+c AS (SELECT *, last_value(CASE WHEN head THEN NORM END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM k),
+p AS (SELECT doc_id, trim(unnest(regexp_split_to_array(body, '[,|;/]+'))) AS phrase FROM c WHERE NOT head)
+""".replace("NORM", NORM_SQL.format(x="tr"))
+
+
+@query("m15_sections", LINES_SQL + "SELECT doc_id, count(*) AS lines, count(DISTINCT coalesce(section, 'other')) AS sections FROM c WHERE NOT head GROUP BY 1")
 def sections(t: Tables) -> DataFrame:
     return skills.sections(t.documents).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_distinct("section").alias("sections"))
 
 
-@query("m16_phrases")
+@query("m16_phrases", LINES_SQL + "SELECT doc_id, count(*) AS phrases FROM p WHERE phrase <> '' GROUP BY 1")
 def phrases(t: Tables) -> DataFrame:
     return skills.phrases(skills.sections(t.documents)).groupBy("doc_id").agg(F.count("*").alias("phrases"))
 
 
-@query("s07_first_phrases")
+@query("s07_first_phrases", LINES_SQL + f"SELECT doc_id, least(count(DISTINCT {NORM_SQL.format(x='phrase')}), 200) AS n FROM p WHERE {NORM_SQL.format(x='phrase')} <> '' GROUP BY 1")
 def first_phrases(t: Tables) -> DataFrame:
     return skills.first_phrases(skills.phrases(skills.sections(t.documents))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
