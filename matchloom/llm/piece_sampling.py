@@ -12,7 +12,7 @@ import heapq
 import math
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from .common import batch_of, mix, per_batch, tidy
 
 SPACE = "▁"
+FACTOR = 0x9E3779B97F4A7C15  # of the polynomial hash of pieces
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ class Lattices:
     Flat arrays over all nodes and edges: an edge ends at its node; ``bound`` is the node's number plus the cumulative
     probability of its edges, so one binary search draws the edges of many nodes at once."""
 
-    EDGES = 6_000_000
+    EDGES = 4_000_000
 
     def __init__(self, model: str, sharpness: float) -> None:
         import sentencepiece
@@ -57,60 +58,116 @@ class Lattices:
         self.byte = {int(p[1:-1], 16): k for k, p in enumerate(self.pieces) if self.model.is_byte(k)}
         self.byte_cost = -sharpness * math.log(n) - 10.0
         self.split = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        self.tables = []  # by length of a piece: sorted hashes, ids, weights
+        for n in range(1, self.longest + 1):
+            own = sorted((int(self.hashed(p)), *self.weight[p]) for p in self.weight if len(p) == n)
+            keys = np.array([x[0] for x in own], np.uint64)
+            seen = np.zeros(1 << 18, bool)  # by the high bits: most substrings are no piece, and need no search
+            seen[(keys >> np.uint64(46)).astype(np.int64)] = True
+            self.tables.append((keys, np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own]), seen))
         self.clear()
 
+    @staticmethod
+    def hashed(piece: str) -> np.uint64:
+        out = 0
+        for k, c in enumerate(reversed(piece)):
+            out += (ord(c) + 1) * pow(FACTOR, k, 1 << 64)
+        return np.uint64(out % (1 << 64))
+
     def clear(self) -> None:
         self.units: dict[str, int] = {}
         self.first, self.last = array("q"), array("q")  # nodes of a unit
-        self.nodes = 0
-        self.bound, self.chance, self.piece, self.back = array("d"), array("d"), array("q"), array("q")
+        self.nodes = self.edges = 0
+        self.begin = np.zeros(1 << 16, np.int64)  # first edge of a node
+        self.held = [np.zeros(1 << 16, t) for t in (np.float64, np.float64, np.int64, np.int64)]  # bound, chance, piece, back
 
     def __getitem__(self, unit: str) -> int:
-        known = self.units.get(unit)
-        return self.learn(unit) if known is None else known
-
-    def learn(self, unit: str) -> int:
-        base, sums, get, longest = self.nodes, [0.0], self.weight.get, self.longest
-        exp, log = math.exp, math.log
-        bound, chance, piece, back = self.bound.append, self.chance.append, self.piece.append, self.back.append
-        for j in range(1, len(unit) + 1):
-            edges = [(sums[i] + found[1], found[0], i) for i in range(max(0, j - longest), j) if (found := get(unit[i:j]))]
-            if not edges or edges[-1][2] != j - 1:  # a character without a piece: its bytes
-                edges.append((sums[j - 1] + self.byte_cost * len(unit[j - 1].encode("utf-8", "surrogatepass")), -1 - ord(unit[j - 1]), j - 1))
-            if len(edges) == 1:
-                sums.append(edges[0][0])
-                bound(base + j + 1.0)
-                chance(0.0)
-                piece(edges[0][1])
-                back(edges[0][2])
+        if unit not in self.units:
+            self.learn([unit])
+        return self.units[unit]
+
+    def learn(self, units: list[str]) -> None:
+        """Builds the lattices of new units, all at once: pieces by the hashes of all substrings, forward sums position by
+        position over all units. Long units go in runs of their own, as positions are as many as the longest has."""
+        short, long_ = [u for u in units if len(u) <= 64], [u for u in units if len(u) > 64]
+        for run in ([short] if short else []) + [[u] for u in long_]:
+            self._learn(run)
+
+    def _learn(self, units: list[str]) -> None:
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(u) for u in units], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        base = self.nodes + starts + np.arange(len(units))
+        node = np.repeat(base, sizes) + place + 1  # of the position after each character
+        ends, lengths, ids, weights = [], [], [], []
+        at, h, power = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 1
+        for n, (keys, piece, weight, seen) in enumerate(self.tables, 1):
+            at = at[place[at] >= n - 1]
+            if not len(at):
+                break
+            h[at] += (codes[at - n + 1] + np.uint64(1)) * np.uint64(power)
+            power = power * FACTOR % (1 << 64)
+            if not len(keys):
                 continue
-            top = max(edges)[0]
-            parts = [exp(e[0] - top) for e in edges]
-            total = sum(parts)
-            whole = top + log(total)
-            sums.append(whole)
-            run = 0.0
-            for e, p in zip(edges, parts, strict=True):
-                run += p / total
-                bound(base + j + min(run, 1.0))
-                chance(e[0] - whole)
-                piece(e[1])
-                back(e[2])
-            self.bound[-1] = base + j + 1.0
-        number = self.units[unit] = len(self.first)
-        self.first.append(base)
-        self.nodes += len(unit) + 1
-        self.last.append(base + len(unit))
-        return number
+            may = np.flatnonzero(seen[(h[at] >> np.uint64(46)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(keys, h[at[may]]), len(keys) - 1)
+            hit = keys[found] == h[at[may]]
+            ends.append(at[may[hit]])
+            lengths.append(np.full(int(hit.sum()), n))
+            ids.append(piece[found[hit]])
+            weights.append(weight[found[hit]])
+            if n == 1:  # characters without a piece: their bytes
+                lost = np.delete(at, may[hit])
+                c = codes[lost].astype(np.int64)
+                ends.append(lost)
+                lengths.append(np.full(len(lost), 1))
+                ids.append(-1 - c)
+                weights.append(self.byte_cost * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
+        end, length, piece, weight = map(np.concatenate, (ends, lengths, ids, weights))
+        order = np.argsort(place[end] * len(codes) + end, kind="stable")
+        end, length, piece, weight = end[order], length[order], piece[order], weight[order]
+        sums, chance = np.zeros(len(codes) + len(units)), np.empty(len(end))
+        here = node[end] - self.nodes
+        levels = np.searchsorted(place[end], np.arange(int(sizes.max()) + 1))
+        for lo, hi in zip(levels[:-1], levels[1:], strict=True):
+            came = sums[here[lo:hi] - length[lo:hi]] + weight[lo:hi]
+            heads = np.flatnonzero(np.r_[True, end[lo + 1 : hi] != end[lo : hi - 1]])
+            n = np.diff(np.r_[heads, hi - lo])
+            top = np.maximum.reduceat(came, heads)
+            whole = top + np.log(np.add.reduceat(np.exp(came - np.repeat(top, n)), heads))
+            sums[here[lo:hi][heads]] = whole
+            chance[lo:hi] = came - np.repeat(whole, n)
+        order = np.argsort(2.0 * end - np.exp(chance), kind="stable")  # likely edges first: a draw seldom looks further
+        end, length, piece, chance = end[order], length[order], piece[order], chance[order]
+        heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
+        n = np.diff(np.r_[heads, len(end)])
+        run = np.cumsum(np.exp(chance))
+        run = np.minimum(run - np.repeat(run[heads] - np.exp(chance[heads]), n), 1.0)
+        run[np.r_[heads[1:], len(end)] - 1] = 1.0
+        while self.edges + len(end) > len(self.held[0]):
+            self.held = [np.concatenate([x, np.zeros_like(x)]) for x in self.held]
+        for kept, new in zip(self.held, (node[end] + run, chance, piece, place[end] + 1 - length), strict=True):
+            kept[self.edges : self.edges + len(end)] = new
+        grown = self.nodes + len(codes) + len(units)
+        while grown > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.begin[node[end[heads]]] = self.edges + heads
+        self.edges += len(end)
+        self.nodes = grown
+        for unit, b, size in zip(units, base.tolist(), sizes.tolist(), strict=True):
+            self.units[unit] = len(self.first)
+            self.first.append(b)
+            self.last.append(b + size)
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.array(x) for x in (self.bound, self.chance, self.piece, self.back, self.first, self.last))
+        return *(x[: self.edges] for x in self.held), np.array(self.first), np.array(self.last), self.begin
 
 
-def uniform(seed: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+def uniform(seed: np.ndarray, at: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on the row's seed, the place in its text and the purpose alone."""
     with np.errstate(over="ignore"):
-        x = mix(seed + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0xD1B54A32D192ED03 % (1 << 64)))
+        x = mix(seed + at.astype(np.uint64) * np.uint64(FACTOR) + np.asarray(salt, np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -118,16 +175,21 @@ def row_seed(doc_id: int | None, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}".encode())
 
 
-def draw(a: tuple[np.ndarray, ...], unit: np.ndarray, state: np.ndarray, place: np.ndarray, seed: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+def draw(a: tuple[np.ndarray, ...], unit: np.ndarray, state: np.ndarray, place: np.ndarray, seed: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Draws the edges of unit occurrences from ``state`` (a node) back to the unit's start: (edges of all occurrences one
     after another, each in the order drawn; how many each has)."""
-    bound, _, _, back, first, _ = a
+    bound, _, _, back, first, _, begin = a
     n, rounds, start = np.zeros(len(unit), np.int64), [], first[unit]
     alive = np.flatnonzero(state > start)
     state = state.copy()
     while len(alive):
         here = state[alive]
-        edge = np.searchsorted(bound, here + uniform(seed[alive], place[alive] + here - start[alive], salt), "right")
+        target = here + uniform(seed[alive], place[alive] + here - start[alive], salt[alive])
+        edge = begin[here]
+        more = np.flatnonzero(bound[edge] <= target)
+        while len(more):
+            edge[more] += 1
+            more = more[bound[edge[more]] <= target[more]]
         rounds.append((alive, edge))
         n[alive] += 1
         state[alive] = start[alive] + back[edge]
@@ -154,11 +216,37 @@ class Sample:
     inclusion: float = 0.0
 
 
-def samples_of(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, k: int, first: tuple[np.ndarray, np.ndarray] | None = None) -> list[Sample]:
+def samples_of(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, k: int) -> list[Sample]:
     """At most k distinct segmentations of one text, by falling perturbed score; fewer if the text has no more."""
-    bound, chance, _, back, starts, ends = a
+    return searches(a, [(units, places, seed)], k)[0]
+
+
+def searches(a: tuple[np.ndarray, ...], texts: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> list[list[Sample]]:
+    """The searches of several texts (units, their places, seed), step by step together: what they ask for is drawn at once."""
+    runs = [search(a, *text, k) for text in texts]
+    out: list[list[Sample]] = [[] for _ in runs]
+    asked = {n: next(run) for n, run in enumerate(runs)}
+    while asked:
+        parts = list(asked.values())
+        n = [len(p[0]) for p in parts]
+        seeds, salts = (np.repeat(np.array([p[i] for p in parts], np.uint64), n) for i in (3, 4))
+        edges, counts = draw(a, *(np.concatenate([p[i] for p in parts]) for i in range(3)), seeds, salts)
+        stops, cut, then = np.r_[0, np.cumsum(counts)], 0, {}
+        for number, size in zip(asked, n, strict=True):
+            try:
+                then[number] = runs[number].send((edges[stops[cut] : stops[cut + size]], counts[cut : cut + size]))
+            except StopIteration as end:
+                out[number] = end.value
+            cut += size
+        asked = then
+    return out
+
+
+def search(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, k: int) -> Generator:
+    """One text's search: yields what is to be drawn (units, states, places, seed, salt), is sent the edges, returns samples."""
+    _, chance, _, _, _, ends, _ = a
     mass = float(-np.log(-np.log(uniform(np.array([seed], np.uint64), np.zeros(1, np.int64), 1))[0]))
-    drawn = first or draw(a, units, ends[units], places, np.full(len(units), seed, np.uint64), 2)
+    drawn = yield units, ends[units], places, seed, 2
     if not len(units):
         return [Sample(*drawn, 0.0, mass, 1.0)]
     out: list[Sample] = []
@@ -171,7 +259,7 @@ def samples_of(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray,
             edges, counts, at = *drawn, 0
         else:
             old, at, barred = held
-            edges, counts = redraw(a, units, places, seed, old, at, barred, made)
+            edges, counts = yield from redraw(a, units, places, seed, old, at, barred, made)
         log_p = chance[edges]
         before = np.cumsum(log_p) - log_p
         sample = Sample(edges, counts, float(before[-1] + log_p[-1]), -score)
@@ -197,10 +285,10 @@ def samples_of(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray,
     return out
 
 
-def redraw(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, old: Sample, at: int, barred: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
+def redraw(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, old: Sample, at: int, barred: tuple[int, ...], salt: int) -> Generator:
     """A segmentation that takes the old one's decisions before ``at``, none of the barred edges there, and what it likes
     after that."""
-    bound, chance, _, back, starts, ends = a
+    bound, chance, _, back, starts, ends, _ = a
     begin = np.cumsum(old.counts) - old.counts
     unit = int(np.searchsorted(begin, at, "right")) - 1
     while old.counts[unit] == 0:
@@ -215,7 +303,7 @@ def redraw(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, see
     edge = int(choice[min(int(np.searchsorted(weights, u * weights[-1], "right")), len(choice) - 1)])
     state = ends[units[unit:]].copy()
     state[0] = start + int(back[edge])
-    tail, n = draw(a, units[unit:], state, places[unit:], np.full(len(units) - unit, seed, np.uint64), 3 + 2 * salt)
+    tail, n = yield units[unit:], state, places[unit:], seed, 3 + 2 * salt
     edges = np.concatenate([old.edges[:at], [edge], tail])
     counts = np.concatenate([old.counts[:unit], n])
     counts[unit] += len(inner) + 1
@@ -260,14 +348,13 @@ def sampled_segmentations(docs: DataFrame, model: str, spec: Sampling | None = N
 
         gc.disable()  # the memo's many small objects are no garbage
         lattices = Lattices(model, spec.sharpness)
-        for batch in per_batch(batches, 48):
-            if len(lattices.bound) > lattices.EDGES:
+        for batch in per_batch(batches, 96):
+            if lattices.edges > lattices.EDGES:
                 lattices.clear()
-            docs_ = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = text_units(text or "", lattices)
-                units = np.fromiter(map(lattices.__getitem__, parts), np.int64, len(parts))
-                docs_.append((doc_id, units))
+            parts = [text_units(text or "", lattices) for text in batch.column("text").to_pylist()]
+            if new := list(set().union(*parts) - lattices.units.keys()):
+                lattices.learn(new)
+            docs_ = [(doc_id, np.fromiter(map(lattices.units.__getitem__, own), np.int64, len(own))) for doc_id, own in zip(batch.column("doc_id").to_pylist(), parts, strict=True)]
             a = lattices.arrays()
             sizes = np.array([len(u) for _, u in docs_])
             units = np.concatenate([u for _, u in docs_])
@@ -276,14 +363,11 @@ def sampled_segmentations(docs: DataFrame, model: str, spec: Sampling | None = N
             cut = np.cumsum(sizes)
             skip = np.r_[0, ends][np.r_[0, cut[:-1]]]
             places = ends - length - np.repeat(skip, sizes)
-            seeds = np.array([row_seed(i, spec.seed) for i, _ in docs_], np.uint64)
-            edges, counts = draw(a, units, a[5][units], places, np.repeat(seeds, sizes), 2)
-            stops = np.r_[0, np.cumsum(counts)]
+            cuts = np.r_[0, cut]
+            texts = [(own, places[cuts[k] : cuts[k + 1]], row_seed(i, spec.seed)) for k, (i, own) in enumerate(docs_)]
             rows = []
-            for k, (doc_id, own) in enumerate(docs_):
-                lo, hi = cut[k] - sizes[k], cut[k]
-                first = edges[stops[lo] : stops[hi]], counts[lo:hi]
-                for number, s in enumerate(samples_of(a, own, places[lo:hi], int(seeds[k]), spec.samples, first)):
+            for (doc_id, _), found in zip(docs_, searches(a, texts, spec.samples), strict=True):
+                for number, s in enumerate(found):
                     ids = ids_of(a, s, lattices)
                     rows.append((doc_id, number, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), s.log_prob, s.score, s.inclusion, *([ids.tolist()] if with_ids else [])))
             yield batch_of(schema, zip(*rows, strict=True))
