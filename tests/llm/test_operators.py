@@ -206,6 +206,27 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert good > 0.98
 
 
+def test_copies_leave_the_bands_alone(spark):
+    """A third of the rows are copies of one text; the planted junk is still rejected, and every verdict is as without them."""
+    from matchloom.llm import quality_rules as q
+
+    rnd = random.Random(3)
+    clean = spark.read.parquet(f"{CORRECT}/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    junk = [(-k, " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(80)), "en") for k in range(1, 11)]
+    base = clean.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))
+    calm = {r.doc_id: r for r in q.quality(base).collect()}
+    kept = sorted((r.log_ppl, i) for i, r in calm.items() if r.kept)
+    likely = base.where(F.col("doc_id") == kept[0][1]).limit(1)
+    copies = likely.crossJoin(spark.range(len(calm) // 2)).drop("id").withColumn("doc_id", F.lit(10**9).cast("long"))
+    both = base.unionByName(copies)
+    got = {r.doc_id: r for r in q.quality(both).where("doc_id < 1000000000").collect()}
+    assert not any(calm[-k].kept or got[-k].kept for k in range(1, 11))
+    assert {i: r.kept for i, r in got.items()} == {i: r.kept for i, r in calm.items()}
+    assert all(math.isclose(got[i].high, r.high) and math.isclose(got[i].low, r.low) for i, r in calm.items())
+    count = lambda df: sorted(map(tuple, q.ngram_counts(df).collect()))
+    assert count(both) == count(base.dropDuplicates(["lang", "text"]))
+
+
 # 4 URL filters
 
 
