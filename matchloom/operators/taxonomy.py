@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions import fuzzy, text
@@ -28,21 +28,33 @@ def match_exact(titles: DataFrame, index: DataFrame) -> DataFrame:
 def match_fuzzy(titles: DataFrame, index: DataFrame, threshold: float = 0.92, block: int = 3) -> DataFrame:
     """``title, key, id, label, ratio``: the most similar label of each title, if similar enough.
 
-    Titles meet labels by equal character trigrams (and equal whole keys), not by a cross join: with u characters left
-    over and M matched, a ratio of .92 needs M >= 11.5 * u / 2, which lie in u + 1 blocks at most, so one block has three
-    characters or more. The length bound cuts pairs before the UDF. Ties go to the smaller label, then id."""
+    Titles meet labels by equal character trigrams, not by a cross join. With u characters of both left over, the matched
+    ones lie in u + 1 blocks at most, so 3 * u of a text's trigrams at most are lost; if the texts share one trigram, they
+    then share one of the 3 * u + 1 rarest of each. They do from .92 on: M matched characters are 11.5 * u / 2 or more, so
+    one block has three. Lengths and character counts, which bound M from above, cut pairs before the UDF. Ties go to the
+    smaller label, then id."""
     if threshold < 0.92:
         raise ValueError("trigrams find every pair from a threshold of 0.92 only")
     keys = titles.select("title", text.taxonomy_key("title").alias("key")).where("key <> ''")
     labels = index.select(F.col("key").alias("lkey"), "id", "label")
 
-    def pieces(df: DataFrame, c: str) -> DataFrame:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - block + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(block)))
-        return df.select("*", F.explode(F.array_distinct(F.concat(grams, F.array(F.col(c))))).alias("piece"))
+    def grams(c: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - block + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(block))))
 
-    left = pieces(keys.select("key").distinct(), "key")
-    right = pieces(labels.select("lkey").distinct(), "lkey")
-    near = left.join(right, "piece").where(fuzzy.may_reach(F.col("key"), F.col("lkey"), threshold)).select("key", "lkey").distinct()
+    left, right = keys.select("key").distinct(), labels.select("lkey").distinct()
+    seen = left.select(F.explode(grams("key")).alias("piece")).unionByName(right.select(F.explode(grams("lkey")).alias("piece")))
+    seen = seen.groupBy("piece").agg(F.count("*").alias("n"))
+    seen = F.broadcast(seen) if seen.count() <= 500_000 else seen
+
+    def pieces(df: DataFrame, c: str, sign: str) -> DataFrame:
+        # the other text is at most 2 / threshold - 1 times as long
+        most = F.floor(F.length(c) * (1 - threshold) * (2 / threshold) + 1e-9)
+        rare = df.select(c, F.explode(grams(c)).alias("piece")).join(seen, "piece").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("p"))
+        rows = rare.select(c, fuzzy.char_bits(F.col(c)).alias(sign), F.slice("p", 1, (block * most + 1).cast("int")).alias("p"))
+        return rows.select(c, sign, F.explode("p.piece").alias("piece"))
+
+    close = fuzzy.may_reach(F.col("key"), F.col("lkey"), threshold) & fuzzy.bits_may_reach("key", "lkey", "a", "b", threshold)
+    near = pieces(left, "key", "a").join(pieces(right, "lkey", "b"), "piece").where(close).select("key", "lkey").distinct()
     scored = near.withColumn("ratio", fuzzy.sequence_ratio("key", "lkey")).where(F.col("ratio") >= threshold)
     order = Window.partitionBy("key").orderBy(F.desc("ratio"), "label", "id")
     best = scored.join(labels, "lkey").withColumn("rn", F.row_number().over(order)).where("rn = 1")

@@ -571,7 +571,11 @@ def constraints(t: Tables) -> DataFrame:
 # taxonomy
 
 def occupations(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey < 500").select(F.concat(F.lit("O"), F.col("p_partkey")).alias("id"), F.array(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", F.lit("alt"), "p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_brand", "p_type"))).alias("labels"))
+    return occupations_of(t.part.where("p_partkey < 500"))
+
+
+def occupations_of(part: DataFrame) -> DataFrame:
+    return part.select(F.concat(F.lit("O"), F.col("p_partkey")).alias("id"), F.array(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", F.lit("alt"), "p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_brand", "p_type"))).alias("labels"))
 
 
 OCC_SQL = f"occ AS (SELECT 'O' || p_partkey AS id, [p_name || ' ' || p_brand || ' ' || p_type, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' alt ' || p_brand ELSE p_name || ' ' || p_brand || ' ' || p_type END] AS labels FROM part WHERE p_partkey < 500), idx AS (SELECT id, {sql_skill('label')} AS key FROM (SELECT id, unnest(labels) AS label FROM occ))"
@@ -612,8 +616,8 @@ def validation(t: Tables) -> DataFrame:
 
 @query("j10_fuzzy_title")
 def fuzzy_title(t: Tables) -> DataFrame:
-    titles = t.part.where("p_partkey < 300").select(F.concat_ws(" ", F.translate("p_name", "aeiou", "aeioo"), "p_brand", "p_type").alias("title")).distinct()
-    return taxonomy.match_fuzzy(titles, taxonomy.label_index(occupations(t)))
+    titles = t.part.select(F.concat_ws(" ", F.translate("p_name", "aeiou", "aeioo"), "p_brand", "p_type").alias("title")).distinct()
+    return taxonomy.match_fuzzy(titles, taxonomy.label_index(occupations_of(t.part)))
 
 
 @query("a21_taxonomy_counts", "SELECT 'nations' AS name, count(*) AS n FROM nation UNION ALL SELECT 'regions', count(*) FROM region UNION ALL SELECT 'edges', count(*) FROM nation JOIN region ON r_regionkey = n_regionkey")

@@ -86,6 +86,23 @@ def test_fuzzy_titles_are_brute_force(spark):
     assert got == want
 
 
+def test_fuzzy_titles_of_the_whole_table_are_brute_force(spark, tmp_path):
+    """j10 reads parts of any key: here all have keys beyond 1000."""
+    from matchloom import queries as core
+
+    parts = [(1000 + 7 * i, f"{a} {b}", f"Brand#{i % 25 + 1}", k) for i, (a, b, k) in enumerate((a, b, k) for a in ("large", "hot", "blue", "cold") for b in ("ring", "bolt", "plate") for k in ("LARGE", "ECONOMY", "SMALL", "PROMO"))]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    labels = sorted({(label, f"O{k}") for k, n, b, p in parts for label in (f"{n} {b} {p}", f"{n} alt {b}" if k % 2 == 0 else f"{n} {b} {p}")})
+    want = {}
+    for _, n, b, p in parts:
+        title = f"{n.translate(str.maketrans('aeiou', 'aeioo'))} {b} {p}"
+        scores = [(-SequenceMatcher(None, title.lower(), label.lower()).ratio(), label, i) for label, i in labels]
+        if -min(scores)[0] >= 0.92:
+            want[title] = (*min(scores)[1:], round(-min(scores)[0], 4))
+    got = {r.title: (r.label, r.id, r.ratio) for r in core.queries()["j10_fuzzy_title"](spark, str(tmp_path)).collect()}
+    assert len(want) > 40 and got == want
+
+
 def test_sections_and_detection(spark):
     cv = "Jane Doe\nSkills:\n- python, sql; project management\nEDUCATION\nwent to school for some time here and there\n"
     docs = spark.createDataFrame([(1, cv), (2, ""), (3, None)], "doc_id int, text string")
