@@ -8,9 +8,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: Sides of at most so many narrow rows (under 64 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
@@ -21,10 +23,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one of this machine only where none is named."""
+    """The shared folder that the cluster names; a temporary one of this machine only where none is named and Spark runs
+    on this machine alone. On a cluster without one, executors would not find each other's files: that is an error."""
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="matchloom-checkpoints-")
         context.setCheckpointDir(named)
     return named
@@ -35,10 +40,36 @@ def stash(df: DataFrame) -> DataFrame:
     no more than the tasks that it ran."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stash/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Rows that a few steps read more than once, on the executors' disks, until ``release``. Nothing depends on a copy:
+    a lost block is computed again from what it came from. For short chains of steps; ``stash`` cuts longer ones."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.frames[-1]
+
+    def release(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        self.frames = []
+
+
+def modest_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``df`` itself; its session sends Python workers at most so many rows at once from now on. Texts make wide rows, and
+    the default of 10,000 of them would be held several times over, in the executor and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A broadcast hint if a count shows that the side is small enough, and none (a shuffle join) otherwise."""
     rows = df.count() if rows is None else rows
@@ -57,7 +88,7 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 class WordHashes(dict):
     """word (bytes) -> signed 64-bit hash, remembered for the words met lately; memory is bounded by LIMIT words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -91,11 +122,34 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def per_batch(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches, so that what a step derives from one stays small."""
+def per_batch(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into runs of at most ``rows`` rows and about ``size`` bytes of texts (one row at least), so that
+    what a step derives from one stays small, however long the texts are."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        wide = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+                wide += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(wide), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def fresh(columns: Iterable[str], *stems: str) -> list[str]:
+    """Names made from the stems that none of the columns has, whatever its case: for columns that a step adds to a
+    caller's table for a while."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name, k = f"{stem}_", 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{stem}_{k}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def tidy(run):

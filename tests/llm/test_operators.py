@@ -310,26 +310,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert m.recall > 0.9 and m.false < 0.02
 
 
-def test_pairing_takes_the_weight_off_group_names():
-    import pyarrow as pa
-
-    from matchloom.llm.toxicity import ToxicityModel, fit, swaps, text_features, word_features
-
-    other = swaps()
-    texts = [(b"awful muslims scum", 1)] * 10 + [(b"muslims trash", 1)] * 10 + [(b"nice christians here", 0)] * 10 + [(b"lovely day", 0)] * 10
-    rows = {c: [] for c in ("toxic", "ids", "n", "ids2", "n2")}
-    for text, toxic in texts:
-        words = text.split()
-        pair = [text_features(words, 22), text_features([other.get(w, w) for w in words], 22)]
-        for name, value in zip(rows, (toxic, *(x.tobytes() for p in pair for x in p))):
-            rows[name].append(value)
-
-    def gap(weight):
-        ids, w, _ = fit(pa.table(rows), ToxicityModel(pairing=weight, min_docs=1))
-        score = lambda word: sum(w[ids == f].sum() for f in word_features(word, 22))
-        return abs(score(b"muslims") - score(b"christians"))
-
-    assert gap(10.0) < 0.3 * gap(0.0)
+def test_every_labelled_sentence_has_a_twin(spark):
+    """The penalty is alive on the query's own data: each sampled row has a counterfactual that differs from it."""
+    from matchloom.llm.toxicity import ToxicityModel, training_rows
+
+    rows = training_rows(spark.read.parquet(f"{CORRECT}/documents.parquet"), spark.read.parquet(f"{CORRECT}/labels.parquet"), ToxicityModel())
+    assert rows.count() > 100 and rows.where("size(ids2) = 0 or (ids2 = ids and n2 = n)").count() == 0
+
+
+def test_pairing_takes_the_weight_off_group_names(spark):
+    """Toxic rows name a group far more often than clean ones. Without the penalty neutral mentions of it are taken for
+    toxic; with it they are not, and the toxic rows are still caught."""
+    from matchloom.llm.toxicity import ToxicityModel, toxicity
+
+    rnd = random.Random(5)
+    plain = [f"word{k}" for k in range(60)]
+    train, ids = [], (k for k in range(10_000) if zlib.crc32(str(k).encode()) % 4 != 2)
+    for k in range(400):
+        bad = k % 2
+        words = rnd.choices(plain, k=25) + (["scum"] if bad and rnd.random() < 0.7 else []) + (["muslims"] if rnd.random() < (0.8 if bad else 0.05) else [])
+        train.append((next(ids), " ".join(words), bad))
+    neutral = [(100_000 + k, " ".join(rnd.choices(plain, k=25) + ["muslims"])) for k in range(100)]
+    vile = [(200_000 + k, " ".join(rnd.choices(plain, k=25) + ["scum"])) for k in range(100)]
+    docs = spark.createDataFrame([t[:2] for t in train] + neutral + vile, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in train], "doc_id long, toxic int")
+
+    def rates(weight):
+        got = {r.doc_id: r.score for r in toxicity(docs, labels, ToxicityModel(pairing=weight)).collect()}
+        return tuple(np.mean([got[k] >= 0.6 for k in range(at, at + 100)]) for at in (100_000, 200_000))
+
+    (false, caught), (false0, _) = rates(50.0), rates(0.0)
+    assert false0 > 0.5 and false < 0.2 and caught > 0.8
+
+
+def test_scores_are_brute_force(spark, docs):
+    from matchloom.llm.toxicity import ToxicityModel, fit, score_text, toxicity, training_rows
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    ids, weights, bias = fit(training_rows(docs, labels, ToxicityModel()), ToxicityModel())
+    place = {int(f): k for k, f in enumerate(ids)}
+    got = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    assert all(got[r.doc_id] == pytest.approx(score_text(r.text.encode(), place, weights, bias, 22), abs=1e-9) for r in docs.collect())
 
 
 # 9 line dedup, 10 Jaccard join
