@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stash
+from .common import fresh, small_side, stash
 
 
 @dataclass(frozen=True)
@@ -26,33 +26,40 @@ LINE_END = "\n"
 
 
 def line_key(line: Column) -> tuple[Column, Column]:
-    """Two independent 64-bit hashes: 128 bits name a line, so different lines don't meet."""
-    return F.xxhash64(line), F.xxhash64(line, F.lit("second"))
+    """Two 64-bit hashes of different seeds: 128 bits name a line, so different lines don't meet. (The seed of the second
+    comes before the line: a hash that went on from the line's own would collide wherever that does.)"""
+    return F.xxhash64(line), F.xxhash64(F.lit("second"), line)
 
 
 def spread_lines(lines: DataFrame, spec: LineSpread) -> DataFrame:
-    """``h, g``: the lines that are boilerplate, of rows ``h, g, site`` (a null site counts as one site)."""
-    each = stash(lines.groupBy("h", "g", "site").agg(F.count("*").alias("n")).select("h", "g", "site"))
-    # lines on one site only need no sketch: their least and greatest site are equal
-    several = stash(each.groupBy("h", "g").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("h", "g"))
-    some = each.join(several, ["h", "g"], "left_semi")
-    estimates = some.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(spec.log2_registers))).alias("about"))
-    estimates = stash(estimates)
-    error = spec.sites * spec.band * 1.04 / 2 ** (spec.log2_registers / 2)
-    far = estimates.where(F.col("about") >= spec.sites + max(1.0, error)).select("h", "g")
-    near = estimates.where(F.abs(F.col("about") - spec.sites) < max(1.0, error)).select("h", "g")
-    exact = some.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count("site").alias("n")).where(F.col("n") >= spec.sites)
+    """``h, g``: the lines that are boilerplate, of rows ``h, g, site`` (a null site counts as one site).
+
+    Every task sketches the sites of each of its lines, and the sketches of a line are merged by the aggregation: what is
+    shuffled is one sketch for a line and task, however often the line occurs there. Only lines whose estimate is near
+    the threshold are counted exactly."""
+    sketch = F.hll_sketch_agg("site", F.lit(spec.log2_registers))
+    merged = lines.groupBy("h", "g").agg(sketch.alias("sketch"), F.min("site").alias("lo"), F.max("site").alias("hi"))
+    estimates = merged.where("lo <> hi").select("h", "g", F.hll_sketch_estimate("sketch").alias("about"))
+    margin = max(1.0, spec.sites * spec.band * 1.04 / 2 ** (spec.log2_registers / 2))
+    if spec.sites <= 1:
+        return stash(merged.select("h", "g"))
+    estimates = stash(estimates.where(F.col("about") > spec.sites - margin))
+    far = estimates.where(F.col("about") >= spec.sites + margin).select("h", "g")
+    near = estimates.where(F.col("about") < spec.sites + margin).select("h", "g")
+    some = lines.select("h", "g", "site").join(small_side(near), ["h", "g"], "left_semi").distinct()
+    exact = some.groupBy("h", "g").agg(F.count("site").alias("n")).where(F.col("n") >= spec.sites)
     return stash(far.unionByName(exact.select("h", "g")))
 
 
-def dedup_lines(docs: DataFrame, spec: LineSpread | None = None, site: str = "source") -> DataFrame:
-    """All columns of ``docs`` with ``text`` less its boilerplate lines, and ``lines_removed_``, how many were taken out.
+def dedup_lines(docs: DataFrame, spec: LineSpread | None = None, site: str = "source", removed: str = "lines_removed_") -> DataFrame:
+    """All columns of ``docs`` with ``text`` less its boilerplate lines, and ``removed``, how many were taken out.
 
     A boilerplate line stays at its first place, the document of the smallest doc_id (then of the smallest hash of the
     text, then the first line in it), and goes everywhere else; so what copies on many sites share is kept once and no
     content is lost from the corpus. Empty lines and lines of white space stay. A null text stays null, an empty one
-    empty; a null site counts as one site; repeated rows are treated alike (all of them are the first place, or none).
-    Other columns are carried along."""
+    empty; a null site counts as one site; repeated rows are treated alike (all of them are the first place, or none); a
+    null doc_id is the smallest. An empty table gives no rows. Other columns are carried along under whatever names (but
+    ``removed`` must be free)."""
     spec = spec or LineSpread()
     parts = F.split("text", LINE_END, -1)
     words = F.size(F.filter(F.split(F.col("line"), "[ \\t\\x0B\\f\\r]+", -1), lambda w: w != ""))
@@ -61,17 +68,16 @@ def dedup_lines(docs: DataFrame, spec: LineSpread | None = None, site: str = "so
     kept = F.col("line").rlike("[^ \\t\\x0B\\f\\r]") if spec.min_words <= 1 else words >= spec.min_words
     lines = ours.where(kept).select("doc_id", "t", "site", "pos", h.alias("h"), g.alias("g"))
     spread = spread_lines(lines, spec)
-    side = small_side(spread)
-    hits = stash(lines.join(side, ["h", "g"]).select("doc_id", "t", "pos", "h", "g"))
+    hits = stash(lines.join(small_side(spread), ["h", "g"]).select("doc_id", "t", "pos", "h", "g"))
     first = hits.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"))
     gone = hits.join(small_side(stash(first)), ["h", "g"]).where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("first")))
-    drop = stash(gone.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("drop_")))
-    keyed = docs.withColumn("t_", F.xxhash64("text"))
-    drop = small_side(drop.select(F.col("doc_id").alias("id_"), F.col("t").alias("of_"), "drop_"))
-    joined = keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("t_") == F.col("of_")), "left")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop_"), i)), LINE_END)
-    text = F.when(F.col("drop_").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("drop_"), F.lit(0)).cast("long").alias("lines_removed_"))
+    of_id, of_text, drop, own = fresh([*docs.columns, removed], "of_id", "of_text", "drop", "text_hash")
+    side = small_side(stash(gone.groupBy(F.col("doc_id").alias(of_id), F.col("t").alias(of_text)).agg(F.collect_set("pos").alias(drop))))
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    joined = keyed.join(side, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_text)), "left")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(drop), i)), LINE_END)
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(left)
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(drop), F.lit(0)).cast("long").alias(removed))
 
 
 def line_report(docs: DataFrame, spec: LineSpread | None = None) -> DataFrame:
