@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch_of, per_batch, tidy
+from .common import batch_of, modest_batches, per_batch, tidy
 
 PACKET, SYNC, PROGRAM, TABLE_PID, MEDIA_PID, PRIVATE_DATA = 188, 0x47, 1, 0x1000, 0x100, 0x06
 
@@ -93,8 +93,8 @@ def mux(payload: bytes, timing: Timing | None = None) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds: bytes of the first program's first stream, its units (presentation time, start in
-    the payload, random access) and faults."""
+    """One elementary stream: its bytes, its units (presentation time, start in the payload, random access) and faults;
+    ``streams`` counts all that the program tables name."""
 
     payload: bytes
     packets: int
@@ -106,25 +106,46 @@ class Stream:
     random_access: list[bool]
     gaps: int
     faults: list[str]
+    streams: int = 0
 
 
-def sections_of(packets: np.ndarray, offsets: np.ndarray, faults: list[str]) -> list[bytes]:
-    """Complete sections that start in a packet of the table and end within it, with their checksums tested."""
-    found = []
+def sections_of(packets: np.ndarray, offsets: np.ndarray, faults: list[str]) -> Iterator[bytes]:
+    """The sections of a table's packets whose checksum is right, one after another: a section may go on over packets, and
+    one packet may hold several. A damaged or broken one is a fault, and reading goes on at the next start."""
+    held, last = b"", None
     for packet, offset in zip(packets, offsets, strict=True):
-        own = packet[int(offset) :].tobytes()
-        if not packet[1] & 0x40 or not own:
-            continue
-        at = own[0] + 1
-        while at + 3 <= len(own) and own[at] != 0xFF:
-            size = 3 + (int.from_bytes(own[at + 1 : at + 3], "big") & 0x0FFF)
-            body = own[at : at + size]
-            if len(body) < size or crc32_mpeg_cached(body):
+        whole = packet.tobytes()
+        if last == whole:
+            continue  # a packet may be sent twice
+        last, own = whole, whole[int(offset) :]
+        if packet[1] & 0x40:
+            if not own:
+                continue
+            ended, held = held + own[1 : 1 + own[0]] if held else b"", own[1 + own[0] :]
+            rest = yield from cut(ended, faults)
+            if rest:
                 faults.append("table")
-            else:
-                found.append(body)
-            at += size
-    return found
+        elif held:
+            held += own
+        held = yield from cut(held, faults)
+    if held:
+        faults.append("table")
+
+
+def cut(data: bytes, faults: list[str]) -> Generator[bytes, None, bytes]:
+    """Yields the sound sections at the start of the data; returns what is left: a section's beginning, or nothing."""
+    at = 0
+    while at < len(data) and data[at] != 0xFF:
+        size = 3 + (int.from_bytes(data[at + 1 : at + 3], "big") & 0x0FFF)
+        if at + 3 > len(data) or at + size > len(data):
+            return data[at:]
+        body = data[at : at + size]
+        if size < 12 or crc32_mpeg_cached(body):
+            faults.append("table")
+        else:
+            yield body
+        at += size
+    return b""
 
 
 _CHECKED: dict[bytes, int] = {}
@@ -139,72 +160,111 @@ def crc32_mpeg_cached(body: bytes) -> int:
     return _CHECKED[body]
 
 
+class Packets:
+    """The sound packets of a stream: their bytes, packet ids, starts of their payloads, and whether they carry one."""
+
+    def __init__(self, media: bytes) -> None:
+        self.faults: list[str] = ["length"] if len(media) % PACKET else []
+        grid = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
+        good = grid[:, 0] == SYNC
+        if not good.all():
+            self.faults.append("sync")
+            grid = grid[good]
+        self.grid = grid
+        self.pids = (grid[:, 1].astype(int) & 0x1F) << 8 | grid[:, 2]
+        self.offsets = np.minimum(4 + np.where(grid[:, 3] & 0x20, 1 + grid[:, 4].astype(int), 0), PACKET)
+        self.carries = (grid[:, 3] & 0x10) > 0
+
+    def of(self, pid: int) -> tuple[np.ndarray, np.ndarray]:
+        own = (self.pids == pid) & self.carries
+        return self.grid[own], self.offsets[own]
+
+    def table(self, pid: int, ident: int, number: int | None = None) -> list[bytes]:
+        """The sections of one table in their order, from the first packets that hold them all."""
+        found: dict[int, bytes] = {}
+        for s in sections_of(*self.of(pid), self.faults):
+            if s[0] != ident or not s[5] & 1 or number not in (None, int.from_bytes(s[3:5], "big")):
+                continue
+            found.setdefault(s[6], s)
+            if len(found) > s[7]:
+                break
+        return [found[k] for k in sorted(found)]
+
+    def streams(self) -> list[tuple[int, int, int]]:
+        """(program, packet id, type) of every elementary stream of every program."""
+        out = []
+        programs = [(int.from_bytes(s[k : k + 2], "big"), int.from_bytes(s[k + 2 : k + 4], "big") & 0x1FFF) for s in self.table(0, 0) for k in range(8, len(s) - 7, 4)]
+        programs = [p for p in programs if p[0]]
+        if not programs:
+            self.faults.append("no program")
+        for program, pid in programs:
+            maps = self.table(pid, 2, program)
+            if not maps:
+                self.faults.append("no program map")
+            for s in maps:
+                at = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
+                while at + 5 <= len(s) - 4:
+                    out.append((program, int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF, s[at]))
+                    at += 5 + (int.from_bytes(s[at + 3 : at + 5], "big") & 0x0FFF)
+        if programs and not out:
+            self.faults.append("no stream")
+        return out
+
+    def elementary(self, program: int, pid: int, kind: int) -> Stream:
+        """Checks the continuity counters of one stream and puts its packetised units together."""
+        faults, (rows, offset) = list(self.faults), self.of(pid)
+        counters = rows[:, 3] & 15
+        steps = (counters[1:].astype(int) - counters[:-1]) & 15
+        repeated = np.r_[False, (steps == 0) & (rows[1:, 1:] == rows[:-1, 1:]).all(1)] if len(rows) else np.zeros(0, bool)
+        rows, offset, counters = rows[~repeated], offset[~repeated], counters[~repeated]  # a packet may be sent twice
+        jumps = ((counters[1:].astype(int) - counters[:-1]) & 15) != 1
+        allowed = (rows[1:, 3] & 0x20 > 0) & (rows[1:, 4] > 0) & (rows[1:, 5] & 0x80 > 0)  # marked discontinuities
+        gaps = int((jumps & ~allowed).sum())
+        data = rows[np.arange(PACKET) >= offset[:, None]]
+        ends = np.cumsum(PACKET - offset)
+        begins = np.flatnonzero(rows[:, 1] & 0x40)
+        marks = (rows[begins, 3] & 0x20 > 0) & (rows[begins, 4] > 0) & (rows[begins, 5] & 0x40 > 0)
+        edges = [int(ends[b] - (PACKET - offset[b])) for b in begins] + [len(data)]
+        parts, times, starts, random_access, done = [], [], [], [], 0
+        for k, mark in enumerate(marks.tolist()):
+            unit = data[edges[k] : edges[k + 1]].tobytes()
+            if unit[:3] != b"\x00\x00\x01" or len(unit) < 9:
+                faults.append("packet start")
+                continue
+            size = int.from_bytes(unit[4:6], "big")
+            body = unit[9 + unit[8] : 6 + size if size else len(unit)]
+            if size and len(unit) < 6 + size:
+                faults.append("short unit")
+            if unit[7] & 0x80 and len(unit) >= 14:
+                t = unit[9:14]
+                times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+            else:
+                times.append(times[-1] if times else 0)
+            starts.append(done)
+            random_access.append(mark)
+            parts.append(body)
+            done += len(body)
+        return Stream(b"".join(parts), len(self.grid), program, pid, kind, times, starts, random_access, gaps, faults)
+
+
+def demux_all(media: bytes) -> list[Stream]:
+    """Every elementary stream of every program, in the order of the tables; one empty stream with faults where the tables
+    name none. Damage gives faults, no exception."""
+    packets = Packets(media)
+    named = packets.streams()
+    out = [packets.elementary(*x) for x in named] or [Stream(b"", len(packets.grid), 0, 0, 0, [], [], [], 0, packets.faults)]
+    for s in out:
+        s.streams = len(named)
+    return out
+
+
 def demux(media: bytes) -> Stream:
-    """Reads a stream: program tables, continuity counters, packetised units. Damage gives faults, no exception."""
-    faults: list[str] = []
-    if len(media) % PACKET:
-        faults.append("length")
-    grid = np.frombuffer(media, np.uint8, len(media) // PACKET * PACKET).reshape(-1, PACKET)
-    good = grid[:, 0] == SYNC
-    if not good.all():
-        faults.append("sync")
-        grid = grid[good]
-    pids = (grid[:, 1].astype(int) & 0x1F) << 8 | grid[:, 2]
-    adaptation = np.where(grid[:, 3] & 0x20, 1 + grid[:, 4].astype(int), 0)
-    offsets = np.minimum(4 + adaptation, PACKET)
-    carries = (grid[:, 3] & 0x10) > 0
-    none = Stream(b"", len(grid), 0, 0, 0, [], [], [], 0, faults)
-    pat = next((s for s in sections_of(grid[(pids == 0) & carries][:8], offsets[(pids == 0) & carries][:8], faults) if s[0] == 0), None)
-    programs = [] if pat is None else [(int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(8, len(pat) - 4, 4)]
-    programs = [p for p in programs if p[0]]
-    if not programs:
-        faults.append("no program")
-        return none
-    program, table_pid = programs[0]
-    own = (pids == table_pid) & carries
-    pmt = next((s for s in sections_of(grid[own][:8], offsets[own][:8], faults) if s[0] == 2), None)
-    if pmt is None:
-        faults.append("no program map")
-        return none
-    at = 12 + (int.from_bytes(pmt[10:12], "big") & 0x0FFF)
-    if at + 5 > len(pmt) - 4:
-        faults.append("no stream")
-        return none
-    kind, pid = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    own = (pids == pid) & carries
-    rows, offset = grid[own], offsets[own]
-    counters = rows[:, 3] & 15
-    steps = (counters[1:].astype(int) - counters[:-1]) & 15
-    repeated = np.r_[False, (steps == 0) & (rows[1:, 1:] == rows[:-1, 1:]).all(1)] if len(rows) else np.zeros(0, bool)
-    rows, offset, counters = rows[~repeated], offset[~repeated], counters[~repeated]  # a packet may be sent twice
-    jumps = ((counters[1:].astype(int) - counters[:-1]) & 15) != 1
-    allowed = (rows[1:, 3] & 0x20 > 0) & (rows[1:, 4] > 0) & (rows[1:, 5] & 0x80 > 0)  # marked discontinuities
-    gaps = int((jumps & ~allowed).sum())
-    data = rows[np.arange(PACKET) >= offset[:, None]]
-    ends = np.cumsum(PACKET - offset)
-    begins = np.flatnonzero(rows[:, 1] & 0x40)
-    marks = (rows[begins, 3] & 0x20 > 0) & (rows[begins, 4] > 0) & (rows[begins, 5] & 0x40 > 0)
-    edges = [int(ends[b] - (PACKET - offset[b])) for b in begins] + [len(data)]
-    parts, times, starts, random_access, done = [], [], [], [], 0
-    for k, mark in enumerate(marks.tolist()):
-        unit = data[edges[k] : edges[k + 1]].tobytes()
-        if unit[:3] != b"\x00\x00\x01" or len(unit) < 9:
-            faults.append("packet start")
-            continue
-        size = int.from_bytes(unit[4:6], "big")
-        body = unit[9 + unit[8] : 6 + size if size else len(unit)]
-        if size and len(unit) < 6 + size:
-            faults.append("short unit")
-        if unit[7] & 0x80 and len(unit) >= 14:
-            t = unit[9:14]
-            times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
-        else:
-            times.append(times[-1] if times else 0)
-        starts.append(done)
-        random_access.append(mark)
-        parts.append(body)
-        done += len(body)
-    return Stream(b"".join(parts), len(grid), program, pid, kind, times, starts, random_access, gaps, faults)
+    """The first program's first stream; ``streams`` tells how many more there are (``demux_all`` reads them)."""
+    packets = Packets(media)
+    named = packets.streams()
+    s = packets.elementary(*named[0]) if named else Stream(b"", len(packets.grid), 0, 0, 0, [], [], [], 0, packets.faults)
+    s.streams = len(named)
+    return s
 
 
 def padded(text: bytes, multiple: int = 192) -> bytes:
@@ -231,9 +291,9 @@ def read_media(media: DataFrame) -> DataFrame:
     """Demultiplexes a media column: payload digests, the stored form's digest, tables, continuity and the index of units.
 
     A null or damaged stream gives an empty or partial payload and says so in ``faults``; it raises nothing."""
-    fields = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, program int, pid int, stream_type int, continuity_gaps int, units {UNITS}, faults array<string>, feature string"
+    fields = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, program int, pid int, stream_type int, n_streams int, continuity_gaps int, units {UNITS}, faults array<string>, feature string"
     unit = pa.struct([("pts", pa.int64()), ("start", pa.int64()), ("random_access", pa.bool_())])
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(unit), pa.list_(pa.string()), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(unit), pa.list_(pa.string()), pa.string()]
     schema = pa.schema(list(zip([f.split()[0] for f in fields.replace(UNITS, "x").split(", ")], types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,17 +303,35 @@ def read_media(media: DataFrame) -> DataFrame:
                 stored = stored or b""
                 s = demux(stored)
                 units = [{"pts": t, "start": b, "random_access": r} for t, b, r in zip(s.times, s.starts, s.random_access, strict=True)]
-                said = f"program={s.program};pid={s.pid};type={s.kind};packets={s.packets};units={len(units)};random_access={sum(s.random_access)};first_pts={s.times[0] if units else -1};last_pts={s.times[-1] if units else -1};gaps={s.gaps};faults={','.join(s.faults)}"
-                rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), s.packets, s.program, s.pid, s.kind, s.gaps, units, s.faults, said))
+                said = f"program={s.program};pid={s.pid};type={s.kind};packets={s.packets};streams={s.streams};units={len(units)};random_access={sum(s.random_access)};first_pts={s.times[0] if units else -1};last_pts={s.times[-1] if units else -1};gaps={s.gaps};faults={','.join(s.faults)}"
+                rows.append((doc_id, n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), s.packets, s.program, s.pid, s.kind, s.streams, s.gaps, units, s.faults, said))
             yield batch_of(schema, zip(*rows, strict=True))
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), fields)
 
 
+def elementary_streams(media: DataFrame) -> DataFrame:
+    """``doc_id, number, program, pid, stream_type, payload, continuity_gaps, units, faults``: a row for every elementary
+    stream of every program of a media column (a stream without any that can be read: one row, number 0, empty payload)."""
+    unit = pa.struct([("pts", pa.int64()), ("start", pa.int64()), ("random_access", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in ("number", "program", "pid", "stream_type")), ("payload", pa.binary()), ("continuity_gaps", pa.int32()), ("units", pa.list_(unit)), ("faults", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in per_batch(batches, 16):
+            rows = []
+            for doc_id, stored in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
+                for k, s in enumerate(demux_all(stored or b"")):
+                    units = [{"pts": t, "start": b, "random_access": r} for t, b, r in zip(s.times, s.starts, s.random_access, strict=True)]
+                    rows.append((doc_id, k, s.program, s.pid, s.kind, s.payload, s.gaps, units, s.faults))
+            yield batch_of(schema, zip(*rows, strict=True))
+
+    return media.select("doc_id", "media").mapInArrow(tidy(run), f"doc_id long, number int, program int, pid int, stream_type int, payload binary, continuity_gaps int, units {UNITS}, faults array<string>")
+
+
 def media_report(docs: DataFrame, timing: Timing | None = None) -> DataFrame:
     """Each document's text stored as a stream and read back: ``doc_id, n_bytes, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256, feature`` and what the tables, counters and units say.
 
     Null and empty texts are stored as one padded block of spaces. Equal texts give equal streams, so equal values; a null
     doc_id and repeated rows are kept; an empty table gives no rows; other columns are ignored."""
-    return read_media(encode_media(docs, timing))
+    return read_media(encode_media(modest_batches(docs), timing))

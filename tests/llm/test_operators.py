@@ -301,6 +301,62 @@ def test_streams_round_trip_and_show_damage():
     assert demux(b"junk").faults and demux(b"").faults
 
 
+def table_packets(pid, content):
+    """The packets of a section, over as many as it needs."""
+    content, out = b"\0" + content, []
+    while content or not out:
+        out.append(bytes([0x47]) + ((0 if out else 0x4000) | pid).to_bytes(2, "big") + bytes([0x10 | len(out) & 15]) + content[:184].ljust(184, b"\xff"))
+        content = content[184:]
+    return out
+
+
+def test_tables_are_found_behind_damaged_ones():
+    from matchloom.llm.transport_stream import Timing, demux, mux, padded
+
+    payload = padded(random.Random(1).randbytes(2_000_000))
+    media = mux(payload, Timing(every=8))
+    packets = [bytearray(media[k : k + 188]) for k in range(0, len(media), 188)]
+    pats = [p for p in packets if (p[1] & 0x1F, p[2]) == (0, 0)]
+    assert len(pats) >= 9
+    for p in pats[:8]:
+        p[10] ^= 0xFF
+    s = demux(b"".join(map(bytes, packets)))
+    assert s.payload == payload and s.faults.count("table") == 8
+
+
+def test_long_tables_several_programs_and_streams():
+    from matchloom.llm.transport_stream import PAT, PMT, demux, demux_all, mux, padded, section
+
+    texts = [padded(b"one " * 300), padded(b"two " * 500), padded(b"three " * 700)]
+    pids, maps = [0x101, 0x102, 0x103], {7: [0x101, 0x102], 9: [0x103]}
+    body = b"".join(n.to_bytes(2, "big") + (0xE000 | 0x1000 + n).to_bytes(2, "big") for n in maps)
+    packets = table_packets(0, section(0, 1, body))
+    for n, own in maps.items():
+        long = b"\x05" + bytes([200]) + b"d" * 200  # a descriptor that carries the section over a packet's end
+        each = b"".join(bytes([6]) + (0xE000 | p).to_bytes(2, "big") + (0xF000 | len(long)).to_bytes(2, "big") + long for p in own)
+        packets += table_packets(0x1000 + n, section(2, n, (0xE000 | own[0]).to_bytes(2, "big") + b"\xf0\x00" + each))
+    for text, pid in zip(texts, pids):
+        media = mux(text)
+        for k in range(0, len(media), 188):
+            p = bytearray(media[k : k + 188])
+            if bytes(p[:3]) not in (PAT[:3], PMT[:3]):
+                p[1:3] = (p[1] & 0xE0) | pid >> 8, pid & 0xFF
+                packets.append(bytes(p))
+    found = demux_all(b"".join(packets))
+    assert [(s.program, s.pid, s.payload, s.gaps, s.faults) for s in found] == [(7, 0x101, texts[0], 0, []), (7, 0x102, texts[1], 0, []), (9, 0x103, texts[2], 0, [])]
+    assert demux(b"".join(packets)).streams == 3
+
+
+def test_media_columns_give_every_stream(spark):
+    from matchloom.llm.transport_stream import elementary_streams, encode_media
+
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in elementary_streams(encode_media(docs)).collect()}
+    assert bytes(rows[1].payload) == b"some text".ljust(192) and bytes(rows[2].payload) == b" " * 192
+    broken = spark.createDataFrame([(3, bytearray(b"junk"))], "doc_id long, media binary")
+    assert elementary_streams(broken).collect()[0].faults
+
+
 # 7 toxicity
 
 
