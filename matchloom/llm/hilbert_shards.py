@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 
 
 @dataclass(frozen=True)
@@ -59,37 +59,53 @@ def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["index"])
 
 
-def as_number(column: Column, kind: str) -> Column:
-    """A value in its own order as a double; a string by its first six bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(column, "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    return column.cast("double")
+#: Name of the dimension that is the size of the text in bytes; no column has such a name.
+TEXT_BYTES = "<bytes of text>"
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean")
+#: Ranges into which the different values of a dimension are dealt while their places are summed up.
+PIECES = 64
+
+
+def cut_points(rows: DataFrame, name: str, kind: str, cells: int) -> list:
+    """The values, ``cells`` - 1 at most, that cut a dimension into cells of about equally many rows; a value with many
+    rows occurs as often as it fills cells, so few values are spread over all of the curve's range. Numbers by approximate
+    quantiles. Other values by their exact places: the different values are dealt into ranges and numbered there, after
+    the rows of the ranges before."""
+    if kind.startswith(NUMBERS):
+        shares = [i / cells for i in range(1, cells)]
+        return sorted(rows.agg(F.percentile_approx(F.col(name).cast("double"), shares, 1_000).alias("q")).first().q or [])
+    values = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    dealt = stash(values.repartitionByRange(PIECES, "v").select("v", "n", F.spark_partition_id().alias("p")))
+    sums = dealt.groupBy("p").agg(F.sum("n").alias("s"))  # a row for each range
+    starts = sums.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("own", own).join(F.broadcast(starts), "p")
+    cell = F.expr(f"((start + own) * {cells}) div total")  # by the rows of the values before
+    ends = placed.groupBy(cell.alias("cell")).agg(F.max("v").alias("v")).orderBy("cell").collect()  # at most ``cells`` rows
+    return [r.v for r, after in zip(ends, ends[1:], strict=False) for _ in range(after.cell - r.cell)]
 
 
 def quantised(df: DataFrame, dimensions: Sequence[str], bits: int) -> DataFrame:
-    """``q0..`` for each dimension: 0 for null, else by the cut points of its approximate quantiles, 2^bits - 1 at most."""
-    kinds = dict(df.dtypes)
-    numbers = df.select("*", *[as_number(F.col(d), kinds[d]).alias(f"v{k}") for k, d in enumerate(dimensions)])
-    cells = (1 << bits) - 1
-    shares = [i / cells for i in range(1, cells)]
-    row = numbers.agg(*[F.percentile_approx(f"v{k}", shares, 1_000).alias(f"v{k}") for k in range(len(dimensions))]).first()
-    out = numbers
+    """``q0..`` for each dimension: 0 for null, else by the dimension's cut points, 2^bits - 1 at most."""
+    kinds, out = dict(df.dtypes), df
 
     def below(value: Column):
         return lambda cut: cut < value
 
-    for k in range(len(dimensions)):
-        cuts = sorted(set(row[f"v{k}"] or []))
-        place = F.lit(1) if not cuts else F.lit(1) + F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), below(F.col(f"v{k}"))))
-        out = out.withColumn(f"q{k}", F.when(F.col(f"v{k}").isNull(), F.lit(0)).otherwise(place))
-    return out.drop(*[f"v{k}" for k in range(len(dimensions))])
+    for k, d in enumerate(dimensions):
+        cuts = cut_points(df, d, kinds[d], (1 << bits) - 1)
+        value = F.col(d).cast("double" if kinds[d].startswith(NUMBERS) else "string")
+        place = F.lit(1) if not cuts else F.lit(1) + F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), below(value)))
+        out = out.withColumn(f"q{k}", F.when(F.col(d).isNull(), F.lit(0)).otherwise(place))
+    return out
 
 
 SUBS = 4096
 
 
-def sharded(docs: DataFrame, layout: Layout | None = None, dimensions: Sequence[str] = ("lang", "source", "size_")) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``, and ``curve``, the row's curve index.
+def sharded(docs: DataFrame, layout: Layout | None = None, dimensions: Sequence[str] = ("lang", "source", TEXT_BYTES), row: str | None = None) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``, and ``curve``, the row's curve index; with ``row``, a
+    column of ``docs`` that numbers its rows, that number as well (as ``row_``).
 
     The global order is (curve cell, a hash of the row, doc_id, text hash). It needs no global sort: a cell's rows are
     spread over sub-cells by their hash, windows number each sub-cell, and sums over sub-cells and cells (bounded: at most
@@ -99,11 +115,13 @@ def sharded(docs: DataFrame, layout: Layout | None = None, dimensions: Sequence[
     no rows. Other columns are ignored. All is DataFrame functions."""
     layout = layout or Layout()
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    base = docs.select("doc_id", *[d for d in dimensions if d in docs.columns and d != "doc_id"], (F.length(text) + 1).cast("long").alias("size_"), F.crc32(text).alias("crc_"), F.xxhash64("text").alias("hash_"))
+    size = (F.length(text) + 1).cast("long")
+    dims = [f"d{k}" for k in range(len(dimensions))]
+    base = docs.select("doc_id", *[(size if d == TEXT_BYTES else F.col(d)).alias(n) for n, d in zip(dims, dimensions, strict=True)], size.alias("size_"), F.crc32(text).alias("crc_"), F.xxhash64("text").alias("hash_"), *([F.col(row).alias("row_")] if row else []))
     base = stash(base)
-    dims = [d for d in dimensions]
+    also = ["row_"] if row else []
     celled = quantised(base, dims, layout.bits)
-    celled = stash(celled.select("doc_id", "size_", "crc_", "hash_", hilbert_index([F.col(f"q{k}") for k in range(len(dims))], layout.bits).alias("cell")))
+    celled = stash(celled.select("doc_id", "size_", "crc_", "hash_", *also, hilbert_index([F.col(f"q{k}") for k in range(len(dims))], layout.bits).alias("cell")))
     by_bytes = layout.law == "bytes"
     weights = {"row": F.lit(1).cast("long")} | ({"byte": F.col("size_")} if by_bytes else {})
     sums = lambda df, *by: df.groupBy(*by).agg(*[F.sum(w).alias(k) for k, w in weights.items()])
@@ -125,13 +143,20 @@ def sharded(docs: DataFrame, layout: Layout | None = None, dimensions: Sequence[
         out = out.join(firsts, "shard")
     else:
         out = out.withColumn("first_", F.expr(f"(shard * all_row + {layout.shards - 1}) div {layout.shards}"))
-    return out.select("doc_id", F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit(layout.law).alias("law"), "shard", (F.col("at_row") - F.col("first_")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("curve"))
+    return out.select("doc_id", F.col("size_").alias("size"), F.col("crc_").alias("text_crc32"), F.lit(layout.law).alias("law"), "shard", (F.col("at_row") - F.col("first_")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("cell").alias("curve"), *also)
 
 
-def write_shards(docs: DataFrame, path: str, layout: Layout | None = None) -> None:
+def write_shards(docs: DataFrame, path: str, layout: Layout | None = None, dimensions: Sequence[str] = ("lang", "source", TEXT_BYTES)) -> str:
     """Writes ``docs`` as one folder for each shard, rows in curve order, so that the column statistics of files and row
-    groups let readers skip most of them for filters on any of the dimensions."""
-    order = sharded(docs, layout).select(F.col("doc_id").alias("id_"), F.col("text_crc32").alias("of_"), "shard", "slot")
-    keyed = docs.withColumn("crc_", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    joined = keyed.join(order, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("crc_") == F.col("of_")))
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("id_", "of_", "crc_", "slot").write.partitionBy("shard").parquet(path)
+    groups let readers skip most of them for filters on any of the dimensions. Returns the name of the folders' column
+    (``shard``, or one that is free).
+
+    Every row is written once: rows are numbered in a written copy, and their places are joined by that number, so equal
+    rows and rows without a doc_id are told apart."""
+    row, of, slot = fresh(docs.columns, "row", "of_row", "slot")
+    shard = "shard" if "shard" not in {c.lower() for c in docs.columns} else fresh(docs.columns, "shard")[0]
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    order = sharded(numbered, layout, dimensions, row).select(F.col("row_").alias(of), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    joined = numbered.join(order, F.col(row) == F.col(of))
+    joined.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).select(*docs.columns, shard).write.partitionBy(shard).parquet(path)
+    return shard

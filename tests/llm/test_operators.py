@@ -283,6 +283,68 @@ def test_shards_keep_their_law(docs, law):
         assert max(sums) - min(sums) <= 2 * max(r.size for r in rows)
 
 
+def test_places_follow_the_curve(spark, docs):
+    """Shards and slots against a sort in Python by the curve index of cells that are counted in Python."""
+    from matchloom.llm.hilbert_shards import Layout, curve_steps, sharded
+
+    layout = Layout(bits=5)
+    digits, states = curve_steps(3)
+    source = {r.doc_id: r for r in docs.collect()}
+    got = sorted(sharded(docs, layout).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in got] == sorted(r.curve for r in got) and len(got) == len(source)
+    n, cells = len(source), (1 << layout.bits) - 1
+
+    def cell_of(values):  # exact places; what percentile_approx gives for sizes is within a cell of them
+        order = sorted(values)
+        return {v: 1 + order.index(v) * cells // n for v in set(values)}
+
+    langs, sources = cell_of([r.lang for r in source.values()]), cell_of([r.source for r in source.values()])
+    sizes = cell_of([len(r.text.encode()) for r in source.values()])
+    back = {}
+    for cell in product(range(32), repeat=3):
+        state = index = 0
+        for level in range(4, -1, -1):
+            at = state << 3 | int("".join(str(c >> level & 1) for c in cell), 2)
+            index, state = index << 3 | digits[at], states[at]
+        back[index] = cell
+    for r in got:
+        lang, site, size = back[r.curve]
+        doc = source[r.doc_id]
+        assert (lang, site) == (langs[doc.lang], sources[doc.source]) and abs(size - sizes[len(doc.text.encode())]) <= 1
+
+
+def test_values_with_a_common_beginning_are_told_apart(spark):
+    from matchloom.llm.hilbert_shards import quantised
+
+    df = spark.createDataFrame([(f"https:site{k:03}",) for k in range(50) for _ in range(4)], "site string")
+    assert quantised(df, ["site"], 5).select("q0").distinct().count() == 31
+
+
+def test_shards_hold_each_row_once_and_files_are_pruned(spark, tmp_path):
+    from matchloom.llm.hilbert_shards import Layout, write_shards
+
+    rows = [(1, "same", "en", "s"), (1, "same", "en", "s"), (None, "a", "de", "t"), (None, "a", "de", "t"), (None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("mine") for c in ("shard", "slot", "row_", "of_row_", "id_", "of_", "crc_", "size_")})
+    name = write_shards(odd, f"{tmp_path}/odd", Layout(shards=4))
+    back = spark.read.parquet(f"{tmp_path}/odd")
+    assert name == "shard_" and Counter(map(str, back.select(*odd.columns).collect())) == Counter(map(str, odd.collect()))
+
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet(f"{CORRECT}/documents.parquet")
+    write_shards(docs, f"{tmp_path}/docs", Layout(shards=16))
+    files = glob.glob(f"{tmp_path}/docs/*/*.parquet")
+
+    def read(column, low, high):
+        groups = [g.column(k) for f in files for m in [pq.read_metadata(f)] for g in map(m.row_group, range(m.num_row_groups)) for k in range(g.num_columns) if g.column(k).path_in_schema == column]
+        return sum(c.statistics.min <= high and c.statistics.max >= low for c in groups) / len(groups)
+
+    assert len(files) >= 16 and spark.read.parquet(f"{tmp_path}/docs").count() == docs.count()
+    assert read("lang", "es", "es") < 0.5 and read("source", "src3", "src3") < 0.6 and read("n_chars", 0, 300) < 0.7
+
+
 # 6 transport streams
 
 
