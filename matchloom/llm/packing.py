@@ -14,19 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, per_batch, stash, tidy
+from .common import batch_of, modest_batches, per_batch, stash, tidy
 
 
 @dataclass(frozen=True)
 class Capacity:
     """What a sequence holds at most: tokens, documents' pieces, and attention cost (the sum of squared piece lengths).
     ``weights`` weigh these three, as shares of their capacity, in the choice of a bin; ``rule`` is ``norm`` (least
-    weighted norm of what stays free) or ``dot`` (greatest weighted dot product of free room and piece)."""
+    weighted norm of what stays free) or ``dot`` (greatest weighted dot product of free room and piece).
+
+    By default only tokens limit a sequence, so none is opened that its tokens would not need: a piece has a token at
+    least, and a sum of squares is at most the square of the sum. The two other capacities choose: of two sequences with
+    the same free tokens, the one whose pieces or attention are nearer to full is taken first."""
 
     tokens: int = 4096
-    pieces: int = 1024
+    pieces: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 0.001, 0.01)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.3)
     rule: str = "norm"
 
 
@@ -211,5 +215,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity | None = None,
 
     Null and empty texts are one piece of one id. Texts of any length are cut, none is dropped. Equal rows are packed as
     often as they occur; a null doc_id is kept. An empty table gives no rows. Other columns are ignored."""
-    cap = cap or Capacity()
+    cap, docs = cap or Capacity(), modest_batches(docs)
     return pack(stash(token_pieces(docs, tokenizer, cap.tokens, memo=memo)), cap)

@@ -110,6 +110,44 @@ def test_packing_is_gapless_and_tight(docs):
     assert len(bins) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
 
 
+def test_no_capacity_but_tokens_opens_a_sequence():
+    """One sequence for as many one-token pieces as it has tokens, and never more sequences than tokens alone lead to; yet
+    the attention and piece capacities change which pieces meet."""
+    from matchloom.llm.packing import Capacity, plan
+
+    assert [b for b, _ in plan({1: 4096}, Capacity())] == [1]
+    rng, differ = random.Random(9), 0
+    for _ in range(5):
+        counts = Counter(min(4096, int(rng.paretovariate(0.7) * 20)) for _ in range(3000))
+        least = -(-sum(k * n for k, n in counts.items()) // 4096)
+        made, plain = plan(counts, Capacity()), plan(counts, Capacity(weights=(1.0, 0.0, 0.0)))
+        assert least <= sum(b for b, _ in made) <= max(least, sum(b for b, _ in plain))
+        differ += sorted(made) != sorted(plain)
+    assert differ
+
+
+def test_plan_is_best_fit_one_by_one():
+    """The bulk plan against a loop that places one piece at a time."""
+    from matchloom.llm.packing import Capacity, plan
+
+    rng, cap = random.Random(4), Capacity(200, 9, 20_000, (1.0, 0.1, 0.3))
+    counts = Counter(rng.randint(1, 140) for _ in range(400))
+    limits, bins = (cap.tokens, cap.pieces, cap.attention), []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            item = (length, 1, length * length)
+            fits = [b for b in bins if all(f >= i for f, i in zip(b[0], item))]
+            score = lambda b: sum(w * ((f - i) / m) ** 2 for w, f, i, m in zip(cap.weights, b[0], item, limits))
+            best = min(fits, key=score, default=None)
+            if best is None:
+                bins.append(best := [list(limits), []])
+            best[0] = [f - i for f, i in zip(best[0], item)]
+            best[1].append(length)
+    made = [sorted(k for k, e in held for _ in range(e)) for b, held in plan(counts, cap) for _ in range(b)]
+    assert abs(len(made) - len(bins)) <= 1
+    assert Counter(k for x in made for k in x) == counts
+
+
 # 2 sampled pieces
 
 
