@@ -11,13 +11,13 @@ from .common import stash
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Every node of ``links`` (two long columns) with the smallest node that it reaches: columns ``node``, ``root``.
 
-    Each step rewires a node's neighbours to the smallest of them, which keeps the components and halves distances, so
+    ``links`` is read again at the end, so it should be a written table. Each step rewires a node's neighbours to the smallest of them, which keeps the components and halves distances, so
     rounds grow with the logarithm of the longest path. A node's smallest neighbour is found by an aggregate with
     map-side combine, not by gathering its neighbours, so hubs are no hot groups. Links of a node to itself, nulls and
     repeated links have no effect (a node known from a self-link alone is its own root).
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
-    nodes = stash(both.select("u").union(both.select("v")).distinct())
+    nodes = both.select("u").union(both.select("v")).distinct()
     edges = stash(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
         two_way = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

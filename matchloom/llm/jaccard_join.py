@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, grams, per_batch, small_side, stash, tidy, utf8
+from .common import Held, WordHashes, batch_of, grams, modest_batches, per_batch, small_side, stash, tidy, utf8
 from .components import components
 
 #: Bins of the suffix signature: how many shingles of a set fall into each range of hashes.
@@ -57,6 +57,8 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 CHUNK_BITS = 16
+#: Sets that a task remembers to have met; forgetting them costs repeated rows, which later steps drop.
+MEMO = 100_000
 
 
 def sketch_docs(docs: DataFrame, spec: JaccardJoin, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -77,7 +79,7 @@ def sketch_docs(docs: DataFrame, spec: JaccardJoin, keys: tuple[str, ...] = ())
                 sizes.append(len(own))
                 sigs.append(signature(own))
                 if key not in seen:  # copies met in this task count once, as they do in the join
-                    if len(seen) > 500_000:
+                    if len(seen) > MEMO:
                         seen.clear()
                     seen.add(key)
                     slots.append(own & mask)
@@ -129,7 +131,7 @@ def prefix_rows(docs: DataFrame, table: np.ndarray, spec: JaccardJoin) -> DataFr
                 own = shingle_set(text, words, spec.words)
                 if not len(own) or (cid := set_id(own)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > MEMO:
                     seen.clear()
                 seen.add(cid)
                 k = spec.prefix(len(own))
@@ -156,10 +158,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, spec: JaccardJoin) -> DataFrame:
     side = small_side(wanted)
     ours = docs.select("doc_id", "text").join(side.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     made = ours.select("text").mapInArrow(tidy(run), "cid long, body binary")
-    return made.join(side.select("cid"), "cid", "left_semi")
+    # several rows may share the representative's id (or have none): one body of each class is kept
+    return made.join(side.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: JaccardJoin) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: JaccardJoin, held: Held) -> DataFrame:
     """The pairs (``a``, ``b``) that link. The suffix filter first: where two sets differ by more in their counts by hash
     range than a link allows, no intersection is made (the filter's bound, over fixed ranges instead of a median)."""
 
@@ -185,7 +188,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, spec: Jaccar
             df = df.join(source.select(F.col("cid").alias(side), F.col(column).alias(f"{column}_{side}")), side)
         return df
 
-    close = stash(with_(pairs, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(near), "a long, b long"))
+    close = held(with_(pairs, classes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(near), "a long, b long"))
     named = close.select(F.col("a").alias("cid")).union(close.select("b")).distinct()
     sets = sets.join(named, "cid", "left_semi")
     return with_(close, sets, "body").select("a", "b", "body_a", "body_b").mapInArrow(tidy(run), "a long, b long")
@@ -242,7 +245,7 @@ def shared_least(spec: JaccardJoin):
     return F.greatest(t - F.greatest(outside("n"), outside("yn")) - 1, F.lit(1))
 
 
-def all_pairs(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
+def all_pairs(rows: DataFrame, spec: JaccardJoin, held: Held) -> DataFrame:
     """Every pair of classes of different roots that passes the filters. In a group, members of its most frequent root
     meet only the others. A pair shares ``shared_least`` rows, so one of them at least is among all but so many of the
     first rows of either class: only at the late rows of one of them, where the positional filter is sharpest, the pair is
@@ -251,7 +254,7 @@ def all_pairs(rows: DataFrame, spec: JaccardJoin) -> DataFrame:
     counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("h", "root")))
     topped = counted.withColumn("top", F.max(F.struct("c", "root")).over(group)["root"]).drop("c")
     rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("pos"), "h"))
-    placed = stash(topped.withColumn("late", rank))
+    placed = held(topped.withColumn("late", rank))
     side = placed.where("root <> top")
     other = placed.select("h", *[F.col(c).alias(n) for c, n in (("cid", "y"), ("n", "yn"), ("pos", "ypos"), ("k", "yk"), ("m", "ym"), ("late", "ylate"), ("root", "yroot"))])
     # the class of the pair with fewer rows looks for the other
@@ -270,38 +273,41 @@ def linked_classes(docs: DataFrame, spec: JaccardJoin | None = None, keys: tuple
     component. Then all other pairs that pass the filters are verified. So a group of m near copies costs about m pairs a
     round, and no pair that could join two components is left out. No pair is verified twice.
     """
-    spec = spec or JaccardJoin()
+    spec, held = spec or JaccardJoin(), Held()
+    docs = modest_batches(docs)
     sketches = stash(sketch_docs(docs, spec, keys))
     members = sketches.where("chunk is null").select("doc_id", "cid", "n", "sig", *keys)
     rows = candidates(prefix_rows(docs, frequency_table(sketches, spec), spec), spec)
-    classes = stash(members.where("n > 0").join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    classes = held(members.where("n > 0").join(rows.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     sets = stash(sets_of(docs, classes.select("cid", "rep"), spec))
     tried = links = None
     roots = classes.select("cid", F.col("cid").alias("root"))
     for step in range(spec.star_rounds + 1):
         last = step == spec.star_rounds
         open_ = of_several(rows.join(small_side(roots), "cid"), "root") if step else rows.withColumn("root", F.col("cid"))
-        chosen = None if last else stash(star_choices(open_, step, spec))
-        pairs = all_pairs(open_, spec) if last else chosen.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"))
+        chosen = None if last else held(star_choices(open_, step, spec))
+        pairs = all_pairs(open_, spec, held) if last else chosen.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stash(pairs)
-        good = stash(verified(pairs, classes, sets, spec))
+        good = verified(pairs, classes, sets, spec, held)
+        if last:
+            links = good if links is None else links.union(good)
+            break
+        good = stash(good)
         tried = pairs if tried is None else tried.union(pairs)
         links = good if links is None else links.union(good)
-        if not last:
-            # what a class chose becomes its parent, if they link; two jumps make most trees one root
-            held = chosen.join(good, (F.least("cid", "y") == F.col("a")) & (F.greatest("cid", "y") == F.col("b"))).select("cid", "y")
-            for _ in range(2):
-                up = held.select(F.col("cid").alias("y"), F.col("y").alias("z"))
-                held = stash(held.join(up, "y", "left").select("cid", F.coalesce("z", "y").alias("y")))
-            above = roots.select(F.col("cid").alias("y"), F.col("root").alias("top"))
-            moved = held.join(above, "y").select("cid", "top")
-            roots = stash(roots.join(moved, "cid", "left").select("cid", F.coalesce("top", "root").alias("root")))
-    if links is None:
-        return members.drop("sig"), roots
-    found = components(links)
-    return members.drop("sig"), stash(found.select(F.col("node").alias("cid"), "root"))
+        # what a class chose becomes its parent, if they link; two jumps make most trees one root
+        up = chosen.join(good, (F.least("cid", "y") == F.col("a")) & (F.greatest("cid", "y") == F.col("b"))).select("cid", "y")
+        for _ in range(2):
+            above = up.select(F.col("cid").alias("y"), F.col("y").alias("z"))
+            up = up.join(above, "y", "left").select("cid", F.coalesce("z", "y").alias("y"))
+        top = roots.select(F.col("cid").alias("y"), F.col("root").alias("top"))
+        moved = up.join(top, "y").select("cid", "top")
+        roots = stash(roots.join(moved, "cid", "left").select("cid", F.coalesce("top", "root").alias("root")))
+    found = components(stash(links)).select(F.col("node").alias("cid"), "root")
+    found = stash(found)
+    held.release()
+    return members.drop("sig"), found
 
 
 def near_duplicate_components(docs: DataFrame, spec: JaccardJoin | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -310,7 +316,8 @@ def near_duplicate_components(docs: DataFrame, spec: JaccardJoin | None = None,
 
     Null and empty texts, and texts of white space, have no shingles and stand alone, each for itself. Equal texts and
     texts with equal shingle sets are linked. Rows with a null doc_id take part; their component is the smallest id that
-    is known in it, or null. Columns other than doc_id and text are ignored; repeated rows are returned as often.
+    is known in it, or null. Columns other than doc_id and text are ignored; repeated rows are returned as often. Texts of
+    any length are read whole; an empty table gives no rows.
     """
     members, roots = linked_classes(docs, spec, keys)
     own = members.where("n > 0")
