@@ -1,13 +1,18 @@
 """Stupid-backoff scores: n-gram count tables partitioned by hash, joined to each block's n-grams, summed per document.
 
-Documents are handled in blocks. A block asks for each n-gram that it holds once, with its own count; the requests are
-dealt by hash, so every partition holds one part of the count table and all requests for it. It sums the counts and answers
-each block. The answers meet the block's word numbers, and scores are summed per document. So a frequent n-gram is one
-entry of each block, not a row of each occurrence, and no partition grows with an n-gram's frequency.
+Four tables follow from one another. ``blocks``: documents of about equally many words, as word numbers (written once, so
+all that follows speaks of the same blocks). ``requests``: a block's exploded n-grams by level and hash part, each once,
+with its count in the block: the block's own sums come before the shuffle. ``answers``: every part adds up its part of the
+count table and joins it to the requests, so a request gets its n-grams' counts. The answers of a block meet its words
+again, and scores are summed for each document. So a frequent n-gram is one entry of each block, not a row of each
+occurrence, and no partition grows with an n-gram's frequency.
+
+Keys are whole 64-bit hashes, sorted and stored as differences.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,21 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, mix, per_batch, tidy, utf8
-
-KEY_BYTES = 6
+from .common import WordHashes, batch_of, mix, modest_batches, per_batch, stash, tidy, utf8
 
 
 @dataclass(frozen=True)
 class Backoff:
-    """Order of the model, the factor of each back-off step, words of a block, and bytes of text to one partition of the
-    count tables (their number follows the input)."""
+    """Order of the model, the factor of each back-off step, and the least words of a block and of a part of the count
+    tables. Both grow with the root of the corpus, so that a block asks a part for ``row`` n-grams or more at once."""
 
     order: int = 2
     factor: float = 0.4
     block_words: int = 1_500_000
-    text_per_part: int = 16 << 20
+    part_words: int = 1_000_000
     least_parts: int = 64
+    row: int = 1_000
+
+    def sizes(self, words: int) -> tuple[int, int]:
+        """(words of a block, parts) for a corpus."""
+        root = math.isqrt(self.row * words)
+        return max(self.block_words, root), max(self.least_parts, -(-words // max(self.part_words, root)))
 
 
 @dataclass
@@ -54,7 +63,7 @@ class Block:
         return mix(out), place >= n - 1
 
 
-def blocks(batches: Iterator[pa.RecordBatch], spec: Backoff) -> Iterator[Block]:
+def cut_blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[Block]:
     words, ids, sizes, hashes, total = WordHashes(), [], [], [], 0
 
     def made() -> Block:
@@ -68,7 +77,7 @@ def blocks(batches: Iterator[pa.RecordBatch], spec: Backoff) -> Iterator[Block]:
             sizes.append(len(own))
             hashes.append(own)
             total += len(own)
-        if total >= spec.block_words:
+        if total >= block_words:
             yield made()
             ids, sizes, hashes, total = [], [], [], 0
     if ids:
@@ -89,11 +98,6 @@ def requests(block: Block, spec: Backoff, parts: int) -> Iterator[tuple[int, int
             yield level, part, keys[cuts[part] : cuts[part + 1]], counts[cuts[part] : cuts[part + 1]]
 
 
-def small(keys: np.ndarray) -> bytes:
-    """The low bytes of keys; the high ones follow from the part, as far as parts tell keys apart."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
-
-
 def pressed(numbers: np.ndarray) -> bytes:
     import zstandard
 
@@ -106,52 +110,64 @@ def opened(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-ROWS = "block long, level int, part int, keys binary, counts binary"
-ROW_SCHEMA = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+def press_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, like bytes together: the high ones are mostly zero."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return pressed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T))
 
 
-def block_id(k: int) -> int:
-    from pyspark import TaskContext
+def open_keys(blob: bytes) -> np.ndarray:
+    planes = opened(blob, np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
-    return TaskContext.get().partitionId() << 32 | k
 
+def blocks_of(docs: DataFrame, block_words: int) -> DataFrame:
+    """``block, doc_ids, sizes, numbers, words``: the documents as word numbers; a block's number is its place in the scan."""
+    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("numbers", pa.binary()), ("words", pa.binary())])
 
-def answers(docs: DataFrame, spec: Backoff, parts: int) -> DataFrame:
-    """``block, level, part, counts``: for each request the counts in the whole corpus, in the order of the request."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, block in enumerate(blocks(batches, spec)):
-            rows = [(block_id(k), level, part, small(keys), pressed(counts.astype(np.uint32))) for level, part, keys, counts in requests(block, spec, parts)]
-            if rows:
-                yield batch_of(ROW_SCHEMA, zip(*rows, strict=True))
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(cut_blocks(batches, block_words)):
+            yield batch_of(schema, ([first | k], [b.doc_ids], [b.sizes], [pressed(b.numbers)], [press_keys(b.words)]))
 
-    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """One part of one level's count table: sums the blocks' counts of each key, and answers the blocks."""
-        keys = [np.frombuffer(x, np.uint8).reshape(-1, KEY_BYTES) for x in table.column("keys").to_pylist()]
-        sizes = np.cumsum([len(x) for x in keys])[:-1]
-        wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
-        wide[:, :KEY_BYTES] = np.concatenate(keys)
-        _, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
-        counts = np.concatenate([opened(x, np.uint32) for x in table.column("counts").to_pylist()])
-        total = np.bincount(back, counts).astype(np.uint64)[back]
-        out = [pressed(x) for x in np.split(np.minimum(total, 0xFFFFFFFF).astype(np.uint32), sizes)]
-        return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "counts": pa.array(out, pa.binary())})
+    return docs.mapInArrow(tidy(run), "block long, doc_ids array<long>, sizes array<long>, numbers binary, words binary")
 
-    asked = docs.mapInArrow(tidy(ask), ROWS)
-    return asked.groupBy("level", "part").applyInArrow(answer, "block long, level int, part int, counts binary")
 
+def block_of(row: dict) -> Block:
+    return Block(row["doc_ids"], np.array(row["sizes"], np.int64), opened(row["numbers"], np.uint32), open_keys(row["words"]))
 
-def skeletons(docs: DataFrame, spec: Backoff) -> DataFrame:
-    """The same blocks again, as word numbers; a block's number follows from the scan's partition and its place there."""
+
+def requests_of(blocks: DataFrame, spec: Backoff, parts: int) -> DataFrame:
+    """``block, level, part, keys, counts``: each block's exploded n-grams and how often they occur in it."""
     schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
+        for batch in per_batch(batches, 1):
+            (row,) = batch.to_pylist()
+            asked = [(row["block"], level, part, press_keys(keys), pressed(counts.astype(np.uint32))) for level, part, keys, counts in requests(block_of(row), spec, parts)]
+            if asked:
+                yield batch_of(schema, zip(*asked, strict=True))
+
+    return blocks.mapInArrow(tidy(run), "block long, level int, part int, keys binary, counts binary")
+
+
+def answers_of(asked: DataFrame) -> DataFrame:
+    """``block, level, part, counts``: for each request the counts in the whole corpus, in the order of its n-grams. One
+    part of one level is one group: the sums of equal keys are its count table, and the requests are joined to it."""
 
-        for k, block in enumerate(blocks(batches, spec)):
-            yield batch_of(schema, ([block_id(k)], [0], [0], [pickle.dumps(block.doc_ids)], [pickle.dumps([pressed(x) for x in (block.sizes, block.numbers, block.words)])]))
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [open_keys(x) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([opened(x, np.uint32) for x in table.column("counts").to_pylist()])
+        every = np.concatenate(keys)
+        grams, back = np.unique(every, return_inverse=True)
+        sums = np.bincount(back, counts, len(grams))  # the count table of this part
+        found = np.minimum(sums[back], 0xFFFFFFFF).astype(np.uint32)
+        out = [pressed(x) for x in np.split(found, np.cumsum([len(x) for x in keys])[:-1])]
+        return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "counts": pa.array(out, pa.binary())})
 
-    return docs.mapInArrow(tidy(run), ROWS)
+    return asked.groupBy("level", "part").applyInArrow(answer, "block long, level int, part int, counts binary")
 
 
 def scores_of(block: Block, counts: dict[int, np.ndarray], total: int, spec: Backoff) -> tuple[np.ndarray, np.ndarray]:
@@ -191,31 +207,28 @@ def stupid_backoff(docs: DataFrame, spec: Backoff | None = None) -> DataFrame:
     """``doc_id, n_words, n_backoff, log_score, mean_log_score`` of every document against all the others.
 
     Words are lower-cased (A-Z) and end at ASCII white space. A null or empty text has no words, a score of 0 and no mean.
-    Copies count for one another. Rows with a null doc_id are scored; repeated rows are scored each; an empty table gives
+    Copies count for one another. Texts of any length are read whole. Rows with a null doc_id are scored; repeated rows are scored each; an empty table gives
     no rows; other columns are ignored."""
-    spec = spec or Backoff()
-    docs = docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.size(F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")).cast("long")).alias("words")).first()
-    parts = max(spec.least_parts, -(-(size["bytes"] or 0) // spec.text_per_part))
-    total = size["words"] or 0
+    spec, docs = spec or Backoff(), modest_batches(docs).select("doc_id", "text")
+    white = "[ \\t\\n\\x0B\\f\\r]+"
+    total = docs.agg(F.sum(F.size(F.filter(F.split("text", white), lambda w: w != "")).cast("long")).alias("n")).first().n or 0
+    block_words, parts = spec.sizes(total)
+    blocks = stash(blocks_of(docs, block_words))
+    answers = answers_of(requests_of(blocks, spec, parts))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backoff", pa.int64()), ("log_score", pa.float64())])
 
-    def score(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        import pickle
-
-        rows = sorted(zip(table.column("level").to_pylist(), table.column("part").to_pylist(), range(table.num_rows), strict=True))
-        head = rows[0][2]
-        sizes, numbers, words = (opened(x, t) for x, t in zip(pickle.loads(table.column("counts")[head].as_py()), (np.int64, np.uint32, np.uint64), strict=True))
-        block = Block(pickle.loads(table.column("keys")[head].as_py()), sizes, numbers, words)
-        counts = {}
+    def score(own: pa.Table, answered: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return schema.empty_table()
+        block, counts = block_of(own.to_pylist()[0]), {}
+        rows = sorted(zip(answered.column("level").to_pylist(), answered.column("part").to_pylist(), range(answered.num_rows), strict=True))
         for level in range(1, spec.order + 1):
-            own = [opened(table.column("counts")[k].as_py(), np.uint32) for at, _, k in rows if at == level]
-            counts[level] = np.concatenate(own) if own else np.empty(0, np.uint32)
+            parts = [opened(answered.column("counts")[k].as_py(), np.uint32) for at, _, k in rows if at == level]
+            counts[level] = np.concatenate(parts) if parts else np.empty(0, np.uint32)
         logs, backed = scores_of(block, counts, total, spec)
-        return pa.Table.from_batches([batch_of(schema, (block.doc_ids, sizes, backed, logs))])
+        return pa.Table.from_batches([batch_of(schema, (block.doc_ids, block.sizes, backed, logs))])
 
-    met = skeletons(docs, spec).unionByName(answers(docs, spec, parts).withColumn("keys", F.lit(None).cast("binary")).select("block", "level", "part", "keys", "counts"))
-    out = met.groupBy("block").applyInArrow(score, "doc_id long, n_words long, n_backoff long, log_score double")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, n_backoff long, log_score double")
     return out.select("doc_id", "n_words", "n_backoff", F.round("log_score", 3).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_log_score"))
 
 
