@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, per_batch, stash, tidy, utf8
+from .common import batch_of, modest_batches, per_batch, stash, tidy, utf8
 
 # Terms that name a group, by kind. A swap puts another term of the same kind and language in place.
 IDENTITY_TERMS = (
@@ -192,10 +192,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, spec: ToxicityModel | None = No
     Labels that are null or not 0 or 1 teach nothing; of several labels for one doc_id the toxic one counts. Texts are
     read whole; equal texts get equal scores, and repeated rows are returned as often; an empty table gives no rows; other
     columns are ignored, whatever their names."""
-    spec = spec or ToxicityModel()
+    spec, docs = spec or ToxicityModel(), modest_batches(docs)
     chosen, weights, bias = fit(training_rows(docs, labels, spec), spec)
     shared = docs.sparkSession.sparkContext.broadcast((chosen, weights, bias))
-    schema, bits, limit = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *((k, pa.int64()) for k in keys)]), spec.hash_bits, 150_000
+    schema, bits, limit = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *((k, pa.int64()) for k in keys)]), spec.hash_bits, 300_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weights, bias = shared.value

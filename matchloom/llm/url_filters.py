@@ -30,46 +30,57 @@ class Rule:
     def regex(self) -> str:
         return r"(?:[^/]*\.)?" + re.escape(self.text) if self.kind == "place" else self.text
 
-    def tokens(self) -> set[str]:
-        """Runs of letters and digits that any URL that fits has between other characters or its ends. What a pattern may
-        leave out or vary (classes, alternatives, what is repeated) gives none."""
+    def keys(self) -> set[frozenset[str]]:
+        """Ways to fit, each with the tokens that any URL that fits so has: runs of letters and digits between other
+        characters or the URL's ends. Alternatives and what may be left out are ways of their own; what a pattern varies
+        further (classes, repeats) gives no token."""
         if self.kind == "place":
             low = self.text.lower()
             whole = low if not TOKEN.match(low[-1:]) else low[: -len(TOKEN.findall(low)[-1])]  # a path may go on
-            return set(TOKEN.findall(whole))
-        runs, own, whole = set(), "", False  # a pattern's open ends may lie within a token
-        for item in [*flat(parser.parse(self.text)), VARIES]:
-            if len(item) == 1 and TOKEN.fullmatch(item):
-                own += item
-                continue
-            if own and whole and item in (EDGE, MARK):
-                runs.add(own)
-            own, whole = "", item in (EDGE, MARK)
-        return runs
+            return {frozenset(TOKEN.findall(whole))}
+        ways = set()
+        for way in spelled(parser.parse(self.text)):
+            runs, own, whole = set(), "", False  # a pattern's open ends may lie within a token
+            for item in (*way, VARIES):
+                if len(item) == 1 and TOKEN.fullmatch(item):
+                    own += item
+                    continue
+                if own and whole and item in (EDGE, MARK):
+                    runs.add(own)
+                own, whole = "", item in (EDGE, MARK)
+            ways.add(frozenset(runs))
+        return {w for w in ways if not any(other < w for other in ways)}  # a way with fewer tokens fetches for the others
 
 
 EDGE, MARK, VARIES = "edge", "mark", "varies"
+#: Ways of one pattern that are told apart; where it has more, the part that makes them counts as varying.
+WAYS = 256
 
 
-def flat(parts) -> Iterator[str]:
-    """A parsed pattern as characters (letters and digits), marks (one other character), edges (^ and $) and what varies."""
+def spelled(parts) -> set[tuple[str, ...]]:
+    """The ways to spell a parsed pattern, as characters (letters and digits), marks (one other character), edges (^ and $)
+    and what varies."""
+    out: set[tuple[str, ...]] = {()}
     for op, arg in parts:
         name = str(op)
         if name == "LITERAL":
-            yield chr(arg) if TOKEN.fullmatch(chr(arg)) else MARK
+            own = {(chr(arg) if TOKEN.fullmatch(chr(arg)) else MARK,)}
         elif name == "AT":
-            yield EDGE if str(arg) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END", "AT_END_STRING") else VARIES
-        elif name == "IN":
-            yield MARK if all(str(o) == "LITERAL" and not TOKEN.fullmatch(chr(a)) for o, a in arg) else VARIES
+            own = {(EDGE if str(arg) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END", "AT_END_STRING") else VARIES,)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            own = {(chr(a) if TOKEN.fullmatch(chr(a)) else MARK,) for _, a in arg}
         elif name == "SUBPATTERN":
-            yield from flat(arg[-1])
+            own = spelled(arg[-1])
         elif name == "BRANCH":
-            starts = [next(flat(x), VARIES) for x in arg[1]]
-            if all(x in (EDGE, MARK) for x in starts):
-                yield MARK  # whatever follows, no token goes on here
-            yield VARIES
+            own = set().union(*map(spelled, arg[1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and tuple(arg[:2]) == (0, 1):
+            own = {(), *spelled(arg[2])}
         else:
-            yield VARIES
+            own = {(VARIES,)}
+        if len(out) * len(own) > WAYS:
+            own = {(VARIES,)}
+        out = {x + y for x in out for y in own}
+    return out
 
 
 #: Place rules, as given, and patterns for pages that repeat others: listings, feeds, sessions, log-ins, downloads, ads.
@@ -122,11 +133,14 @@ def token_counts(pages: DataFrame, wanted: set[str]) -> dict[str, int]:
 
 
 def token_index(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str, list[int]]:
-    """token -> numbers of the rules whose rarest token it is; rules without any are under "" and meet every URL."""
+    """token -> numbers of the rules that it fetches: the rarest token of each way to fit. A rule that has a way without
+    any token is under "" and meets every URL."""
     index: dict[str, list[int]] = {}
     for k, rule in enumerate(rules):
-        token = min(rule.tokens(), key=lambda t: (counts.get(t, 0), -len(t), t), default="")
-        index.setdefault(token, []).append(k)
+        for way in rule.keys():
+            token = min(way, key=lambda t: (counts.get(t, 0), -len(t), t), default="")
+            if k not in index.setdefault(token, []):
+                index[token].append(k)
     return index
 
 
@@ -148,13 +162,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = PLACES + PATTERNS) ->
     by text); else a page is blocked if a blocking pattern fits and no allowing one does; else it is allowed.
 
     A null URL, an empty one and one without ``://`` have an empty host and path; patterns still see the whole URL. No
-    shuffle carries URLs, so a host with any share of the pages makes no large task. Repeated rows are judged alike."""
-    counts = token_counts(pages, set().union(*(r.tokens() for r in rules)) if rules else set())
+    shuffle carries URLs, so a host with any share of the pages makes no large task. Repeated rows are judged alike, a null
+    page_id is kept, an empty table gives no rows, and other columns are ignored, whatever their names. Rules and their
+    tokens are broadcast in slices of bounded size, each with a pass over the URLs."""
     out = pages.select("page_id", "url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("pattern"))
     parts = slices(rules)
     fields = "page_id long, url string, rule string, verdict string, pattern string"
     schema = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("url", "rule", "verdict", "pattern"))])
     for part in parts:
+        counts = token_counts(pages, {t for r in part for way in r.keys() for t in way})
         shared = pages.sparkSession.sparkContext.broadcast((part, token_index(part, counts)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

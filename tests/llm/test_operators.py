@@ -343,7 +343,7 @@ def test_rules_are_run_as_if_all_were(spark):
 
     from matchloom.llm.url_filters import PATTERNS, PLACES, filter_urls, split_url
 
-    urls = ["http://a.example.com/en/7x", "https://com/en/", "http://xcom/en/", "ftp://u.net/de/8", "http://b.example.net/de/81?x", "nothing", "", None, "http://A.ORG/es/?q", "http://x.org/ES/", "http://h?utm_source=feed", "http://ads.x.y/", "http://q/docs/a.exe?x#y", "http://docs.q/reference/login", "http://h/a?page=3&ref=z"]
+    urls = ["http://a.example.com/en/7x", "https://com/en/", "http://xcom/en/", "ftp://u.net/de/8", "http://b.example.net/de/81?x", "nothing", "", None, "http://A.ORG/es/?q", "http://x.org/ES/", "http://h?utm_source=feed", "http://ads.x.y/", "http://q/docs/a.exe?x#y", "http://docs.q/reference/login", "http://h/a?page=3&ref=z", "http://ad.x/", "http://bad.x/", "http://h/register#x", "http://h/signing/", "http://h/signin"]
     got = {r.page_id: r for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     for k, url in enumerate(urls):
         host, path, whole = split_url(url)
@@ -354,6 +354,16 @@ def test_rules_are_run_as_if_all_were(spark):
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, best and best.text, verdict)
 
 
+def test_every_rule_is_fetched_by_a_token():
+    from matchloom.llm.url_filters import PATTERNS, PLACES, Rule, token_index
+
+    index = token_index(PLACES + PATTERNS, {})
+    assert "" not in index and {k for own in index.values() for k in own} == set(range(len(PLACES + PATTERNS)))
+    assert Rule("block", r"://ads?\.", "pattern").keys() == {frozenset({"ad"}), frozenset({"ads"})}
+    assert Rule("block", r"/(?:login|sign-?in)(?:/|$)", "pattern").keys() == {frozenset({"login"}), frozenset({"signin"}), frozenset({"sign", "in"})}
+    assert Rule("block", r"/x[0-9]+/", "pattern").keys() == {frozenset()}
+
+
 # 5 sharding
 
 
