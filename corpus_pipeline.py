@@ -86,7 +86,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text is one piece of the end id alone, long texts are cut and no id is lost, a null doc_id is kept,
     equal rows are packed each, an empty table gives no rows, and further columns are ignored."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), memo=150_000)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), memo=60_000)
 
 
 STAGES = [
