@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import batch_of, mix, per_batch, tidy
+from .common import batch_of, mix, modest_batches, per_batch, tidy
 
 SPACE = "▁"
 FACTOR = 0x9E3779B97F4A7C15  # of the polynomial hash of pieces
@@ -42,9 +42,9 @@ class Lattices:
     character without a piece of its own is spelt in bytes.
 
     Flat arrays over all nodes and edges: an edge ends at its node; ``bound`` is the node's number plus the cumulative
-    probability of its edges, so one binary search draws the edges of many nodes at once."""
+    probability of its edges, so a number above the node's own draws an edge."""
 
-    EDGES = 4_000_000
+    EDGES, MET = 4_000_000, 300_000
 
     def __init__(self, model: str, sharpness: float) -> None:
         import sentencepiece
@@ -56,6 +56,7 @@ class Lattices:
         self.weight = {self.pieces[k]: (k, -sharpness * math.log1p(min(-self.model.get_score(k), 1e6))) for k in own}
         self.longest = max(map(len, self.weight))
         self.byte = {int(p[1:-1], 16): k for k, p in enumerate(self.pieces) if self.model.is_byte(k)}
+        self.ascii = np.array([self.byte[b] for b in range(0x80)], np.int64)
         self.byte_cost = -sharpness * math.log(n) - 10.0
         self.split = regex.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
         self.tables = []  # by length of a piece: sorted hashes, ids, weights
@@ -64,7 +65,8 @@ class Lattices:
             keys = np.array([x[0] for x in own], np.uint64)
             seen = np.zeros(1 << 18, bool)  # by the high bits: most substrings are no piece, and need no search
             seen[(keys >> np.uint64(46)).astype(np.int64)] = True
-            self.tables.append((keys, np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own]), seen))
+            self.tables.append((keys, np.array([x[1] for x in own], np.int32), np.array([x[2] for x in own]), seen))
+        self.powers = self.inverses = np.ones(1, np.uint64)
         self.clear()
 
     @staticmethod
@@ -76,89 +78,145 @@ class Lattices:
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
+        self.met: set[str] = set()
         self.first, self.last = array("q"), array("q")  # nodes of a unit
         self.nodes = self.edges = 0
+        self.mark, self.passing = (0, 0, 0), []
         self.begin = np.zeros(1 << 16, np.int64)  # first edge of a node
-        self.held = [np.zeros(1 << 16, t) for t in (np.float64, np.float64, np.int64, np.int64)]  # bound, chance, piece, back
+        self.held = [np.zeros(1 << 16, t) for t in (np.float64, np.float64, np.int32, np.int32)]  # bound, chance, piece, back
 
     def __getitem__(self, unit: str) -> int:
         if unit not in self.units:
             self.learn([unit])
         return self.units[unit]
 
-    def learn(self, units: list[str]) -> None:
-        """Builds the lattices of new units, all at once: pieces by the hashes of all substrings, forward sums position by
-        position over all units. Long units go in runs of their own, as positions are as many as the longest has."""
-        short, long_ = [u for u in units if len(u) <= 64], [u for u in units if len(u) > 64]
-        for run in ([short] if short else []) + [[u] for u in long_]:
-            self._learn(run)
+    def prepare(self, wanted: set[str]) -> None:
+        """Makes the lattices of these units available. Most units occur once: one that is met for the first time is given
+        back after the step, one that is met again is remembered."""
+        if self.passing:
+            for unit in self.passing:
+                del self.units[unit]
+            self.nodes, self.edges, kept = self.mark
+            del self.first[kept:], self.last[kept:]
+            if len(self.met) > self.MET:
+                self.met.clear()
+            self.met.update(self.passing)
+            self.passing = []
+        if self.edges > self.EDGES:
+            self.clear()
+        new = wanted - self.units.keys()
+        again = new & self.met
+        self.met -= again
+        self.learn(list(again))
+        self.mark, self.passing = (self.nodes, self.edges, len(self.first)), list(new - again)
+        self.learn(self.passing)
 
-    def _learn(self, units: list[str]) -> None:
+    def learn(self, units: list[str]) -> None:
+        """Builds the lattices of new units, many at once."""
+        short, long_ = sorted((u for u in units if len(u) <= 64), key=len, reverse=True), [u for u in units if len(u) > 64]
+        if short:
+            self._learn_many(short)
+        for unit in long_:
+            self._learn_one(unit)
+
+    def _learn_many(self, units: list[str]) -> None:
+        """Units in order of falling length, position by position: a position has the first of them, so what their
+        substrings' hashes and forward sums need lies side by side."""
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         sizes = np.array([len(u) for u in units], np.int64)
         starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(codes)) - np.repeat(starts, sizes)
-        base = self.nodes + starts + np.arange(len(units))
-        node = np.repeat(base, sizes) + place + 1  # of the position after each character
-        ends, lengths, ids, weights = [], [], [], []
-        at, h, power = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 1
+        powers, inverses = self.powers_to(int(sizes[0]))
+        hashed, forward, out = [np.zeros(len(units), np.uint64)], [np.zeros(len(units))], []
+        for k in range(1, int(sizes[0]) + 1):
+            m, reach = int(np.searchsorted(-sizes, -k, "right")), min(k, self.longest)
+            here = codes[starts[:m] + k - 1]
+            hashed.append(hashed[-1][:m] + (here + np.uint64(1)) * inverses[k - 1])
+            came, pieces = np.full((reach, m), -np.inf), np.empty((m, reach), np.int32)
+            for n in range(1, reach + 1):
+                keys, piece, weight, seen = self.tables[n - 1]
+                if not len(keys):
+                    continue
+                h = (hashed[k] - hashed[k - n][:m]) * powers[k - 1]
+                may = np.flatnonzero(seen[(h >> np.uint64(46)).astype(np.int64)])
+                found = np.minimum(np.searchsorted(keys, h[may]), len(keys) - 1)
+                hit = keys[found] == h[may]
+                own, found = may[hit], found[hit]
+                came[n - 1, own], pieces[own, reach - n] = weight[found] + forward[k - n][own], piece[found]
+                if n == 1:
+                    lost = np.flatnonzero(came[0] == -np.inf)
+                    cost, pieces[lost, reach - 1] = self.spelt(here[lost])
+                    came[0, lost] = cost + forward[k - 1][lost]
+            top = came.max(0)
+            forward.append(top + np.log(np.exp(came - top).sum(0)))
+            chances = (came - forward[-1])[::-1].T.ravel()  # longer pieces first: they tend to be likely, so a draw seldom looks further
+            kept = np.flatnonzero(chances > -np.inf)
+            own = kept // reach
+            out.append((own, np.full(len(own), k), chances[kept], pieces.ravel()[kept], k - reach + kept % reach))
+        self.store(units, sizes, *map(np.concatenate, zip(*out, strict=True)))
+
+    def _learn_one(self, unit: str) -> None:
+        """One long unit: all its substrings' hashes at once, forward sums position by position."""
+        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        total = len(codes)
+        powers, inverses = self.powers_to(total)
+        sums = np.cumsum(np.r_[np.uint64(0), (codes + np.uint64(1)) * inverses[:total]], dtype=np.uint64)
+        weights, pieces = np.full((total, self.longest), -np.inf), np.zeros((total, self.longest), np.int32)
         for n, (keys, piece, weight, seen) in enumerate(self.tables, 1):
-            at = at[place[at] >= n - 1]
-            if not len(at):
-                break
-            h[at] += (codes[at - n + 1] + np.uint64(1)) * np.uint64(power)
-            power = power * FACTOR % (1 << 64)
             if not len(keys):
                 continue
-            may = np.flatnonzero(seen[(h[at] >> np.uint64(46)).astype(np.int64)])
-            found = np.minimum(np.searchsorted(keys, h[at[may]]), len(keys) - 1)
-            hit = keys[found] == h[at[may]]
-            ends.append(at[may[hit]])
-            lengths.append(np.full(int(hit.sum()), n))
-            ids.append(piece[found[hit]])
-            weights.append(weight[found[hit]])
-            if n == 1:  # characters without a piece: their bytes
-                lost = np.delete(at, may[hit])
-                c = codes[lost].astype(np.int64)
-                ends.append(lost)
-                lengths.append(np.full(len(lost), 1))
-                ids.append(-1 - c)
-                weights.append(self.byte_cost * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))
-        end, length, piece, weight = map(np.concatenate, (ends, lengths, ids, weights))
-        order = np.argsort(place[end] * len(codes) + end, kind="stable")
-        end, length, piece, weight = end[order], length[order], piece[order], weight[order]
-        sums, chance = np.zeros(len(codes) + len(units)), np.empty(len(end))
-        here = node[end] - self.nodes
-        levels = np.searchsorted(place[end], np.arange(int(sizes.max()) + 1))
-        for lo, hi in zip(levels[:-1], levels[1:], strict=True):
-            came = sums[here[lo:hi] - length[lo:hi]] + weight[lo:hi]
-            heads = np.flatnonzero(np.r_[True, end[lo + 1 : hi] != end[lo : hi - 1]])
-            n = np.diff(np.r_[heads, hi - lo])
-            top = np.maximum.reduceat(came, heads)
-            whole = top + np.log(np.add.reduceat(np.exp(came - np.repeat(top, n)), heads))
-            sums[here[lo:hi][heads]] = whole
-            chance[lo:hi] = came - np.repeat(whole, n)
-        order = np.argsort(2.0 * end - np.exp(chance), kind="stable")  # likely edges first: a draw seldom looks further
-        end, length, piece, chance = end[order], length[order], piece[order], chance[order]
-        heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
-        n = np.diff(np.r_[heads, len(end)])
-        run = np.cumsum(np.exp(chance))
-        run = np.minimum(run - np.repeat(run[heads] - np.exp(chance[heads]), n), 1.0)
-        run[np.r_[heads[1:], len(end)] - 1] = 1.0
-        while self.edges + len(end) > len(self.held[0]):
+            h = (sums[n:] - sums[:-n]) * powers[n - 1 : total]
+            may = np.flatnonzero(seen[(h >> np.uint64(46)).astype(np.int64)])
+            found = np.minimum(np.searchsorted(keys, h[may]), len(keys) - 1)
+            hit = keys[found] == h[may]
+            end, found = may[hit] + n - 1, found[hit]
+            weights[end, self.longest - n], pieces[end, self.longest - n] = weight[found], piece[found]
+        lost = np.flatnonzero(weights[:, -1] == -np.inf)
+        weights[lost, -1], pieces[lost, -1] = self.spelt(codes[lost])
+        forward = np.full(total + self.longest, -np.inf)
+        forward[self.longest - 1] = 0.0
+        for k in range(total):
+            came = weights[k] + forward[k : k + self.longest]
+            top = came.max()
+            forward[k + self.longest] = top + math.log(np.exp(came - top).sum())
+            weights[k] = came - forward[k + self.longest]
+        kept = np.flatnonzero(weights.ravel() > -np.inf)
+        node = kept // self.longest + 1
+        self.store([unit], np.array([total]), np.zeros(len(kept), np.int64), node, weights.ravel()[kept], pieces.ravel()[kept], node - self.longest + kept % self.longest)
+
+    def powers_to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the hash's factor and of its inverse. A prefix's sum of codes times inverse powers, less that of a
+        shorter prefix, is the hash of what lies between them, but for a power."""
+        if len(self.powers) < n:
+            self.powers, self.inverses = (np.cumprod(np.r_[np.uint64(1), np.full(2 * n, f, np.uint64)], dtype=np.uint64) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+        return self.powers, self.inverses
+
+    def spelt(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of characters without a piece of their own, and the byte's piece or, of several bytes, a mark."""
+        c = codes.astype(np.int64)
+        return self.byte_cost * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)), np.where(c < 0x80, self.ascii[np.minimum(c, 0x7F)], -1 - c)
+
+    def store(self, units: list[str], sizes: np.ndarray, own: np.ndarray, place: np.ndarray, chance: np.ndarray, piece: np.ndarray, back: np.ndarray) -> None:
+        """Keeps edges, those that end at one node side by side: the unit, the place that they end at, and where they begin."""
+        base = self.nodes + np.cumsum(sizes) - sizes + np.arange(len(units))
+        node = base[own] + place
+        heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        each = np.exp(chance)
+        run = np.cumsum(each)
+        run = np.minimum(run - np.repeat(run[heads] - each[heads], np.diff(np.r_[heads, len(node)])), 1.0)
+        run[np.r_[heads[1:], len(node)] - 1] = 1.0
+        while self.edges + len(node) > len(self.held[0]):
             self.held = [np.concatenate([x, np.zeros_like(x)]) for x in self.held]
-        for kept, new in zip(self.held, (node[end] + run, chance, piece, place[end] + 1 - length), strict=True):
-            kept[self.edges : self.edges + len(end)] = new
-        grown = self.nodes + len(codes) + len(units)
+        for kept, new in zip(self.held, (node + run, chance, piece, back), strict=True):
+            kept[self.edges : self.edges + len(node)] = new
+        grown = self.nodes + int(sizes.sum()) + len(units)
         while grown > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.begin[node[end[heads]]] = self.edges + heads
-        self.edges += len(end)
+        self.begin[node[heads]] = self.edges + heads
+        self.edges += len(node)
         self.nodes = grown
-        for unit, b, size in zip(units, base.tolist(), sizes.tolist(), strict=True):
-            self.units[unit] = len(self.first)
-            self.first.append(b)
-            self.last.append(b + size)
+        self.units.update(zip(units, range(len(self.first), len(self.first) + len(units)), strict=True))
+        self.first.frombytes(base.astype(np.int64).tobytes())
+        self.last.frombytes((base + sizes).astype(np.int64).tobytes())
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         return *(x[: self.edges] for x in self.held), np.array(self.first), np.array(self.last), self.begin
@@ -171,6 +229,14 @@ def uniform(seed: np.ndarray, at: np.ndarray, salt: int | np.ndarray) -> np.ndar
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+#: Purposes of random numbers: a number is used for one of them alone. Those of a split set come three for each split.
+MASS, FIRST, SCORES, BRANCH, TAIL = 1, 2, 0, 1, 2
+
+
+def salt_of(split: int, purpose: int) -> int:
+    return 3 + 3 * split + purpose
+
+
 def row_seed(doc_id: int | None, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}".encode())
 
@@ -245,8 +311,8 @@ def searches(a: tuple[np.ndarray, ...], texts: list[tuple[np.ndarray, np.ndarray
 def search(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, k: int) -> Generator:
     """One text's search: yields what is to be drawn (units, states, places, seed, salt), is sent the edges, returns samples."""
     _, chance, _, _, _, ends, _ = a
-    mass = float(-np.log(-np.log(uniform(np.array([seed], np.uint64), np.zeros(1, np.int64), 1))[0]))
-    drawn = yield units, ends[units], places, seed, 2
+    mass = float(-np.log(-np.log(uniform(np.array([seed], np.uint64), np.zeros(1, np.int64), MASS))[0]))
+    drawn = yield units, ends[units], places, seed, FIRST
     if not len(units):
         return [Sample(*drawn, 0.0, mass, 1.0)]
     out: list[Sample] = []
@@ -273,8 +339,10 @@ def search(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, see
         steps = at + np.flatnonzero(free > 1e-12)
         if len(steps):
             made += 1
-            scores = gumbel(masses[steps - at], uniform(np.full(len(steps), seed, np.uint64), steps, 2 + 2 * made), -score)
-            best = np.argsort(-scores)[: k - len(out) + 1]  # no more can come to be drawn, and one more sets the bound
+            scores = gumbel(masses[steps - at], uniform(np.full(len(steps), seed, np.uint64), steps, salt_of(made, SCORES)), -score)
+            most = k - len(out) + 1  # no more can come to be drawn, and one more sets the bound
+            best = np.arange(len(scores)) if len(scores) <= most else np.argpartition(-scores, most - 1)[:most]
+            best = best[np.argsort(-scores[best], kind="stable")]
             for t in best.tolist():
                 step = int(steps[t])
                 bars = (*barred, int(edges[step])) if step == at and barred else (int(edges[step]),)
@@ -288,7 +356,7 @@ def search(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, see
 def redraw(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, seed: int, old: Sample, at: int, barred: tuple[int, ...], salt: int) -> Generator:
     """A segmentation that takes the old one's decisions before ``at``, none of the barred edges there, and what it likes
     after that."""
-    bound, chance, _, back, starts, ends, _ = a
+    bound, chance, _, back, starts, ends, begins = a
     begin = np.cumsum(old.counts) - old.counts
     unit = int(np.searchsorted(begin, at, "right")) - 1
     while old.counts[unit] == 0:
@@ -296,14 +364,17 @@ def redraw(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, see
     start = int(starts[units[unit]])
     inner = old.edges[begin[unit] : at]
     node = start + int(back[inner[-1]]) if len(inner) else int(ends[units[unit]])
-    low, high = int(np.searchsorted(bound, node, "right")), int(np.searchsorted(bound, node + 1.0, "left")) + 1
+    low = high = int(begins[node])
+    while bound[high] < node + 1.0:
+        high += 1
+    high += 1
     choice = np.array([e for e in range(low, high) if e not in barred])
     weights = np.cumsum(np.exp(chance[choice]))
-    u = uniform(np.array([seed], np.uint64), np.array([at]), 3 + 2 * salt)[0]
+    u = uniform(np.array([seed], np.uint64), np.array([at]), salt_of(salt, BRANCH))[0]
     edge = int(choice[min(int(np.searchsorted(weights, u * weights[-1], "right")), len(choice) - 1)])
     state = ends[units[unit:]].copy()
     state[0] = start + int(back[edge])
-    tail, n = yield units[unit:], state, places[unit:], seed, 3 + 2 * salt
+    tail, n = yield units[unit:], state, places[unit:], seed, salt_of(salt, TAIL)
     edges = np.concatenate([old.edges[:at], [edge], tail])
     counts = np.concatenate([old.counts[:unit], n])
     counts[unit] += len(inner) + 1
@@ -312,16 +383,30 @@ def redraw(a: tuple[np.ndarray, ...], units: np.ndarray, places: np.ndarray, see
 
 def ids_of(a: tuple[np.ndarray, ...], sample: Sample, lattices: Lattices) -> np.ndarray:
     """Piece ids in the order of the text; characters without a piece as their bytes."""
-    ends = np.cumsum(sample.counts)
-    turned = np.repeat(ends + ends - sample.counts - 1, sample.counts) - np.arange(len(sample.edges))
-    ids = a[2][sample.edges[turned]]
-    if len(ids) and ids.min() < 0:
-        ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [lattices.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])])
-    return ids
+    return next(ids_of_all(a, [sample], lattices))
+
+
+def ids_of_all(a: tuple[np.ndarray, ...], samples: list[Sample], lattices: Lattices) -> Iterator[np.ndarray]:
+    """The piece ids of each sample, from one look-up for all of them."""
+    counts, edges = (np.concatenate([getattr(s, f) for s in samples]) if samples else np.empty(0, np.int64) for f in ("counts", "edges"))
+    ends = np.cumsum(counts)
+    turned = np.repeat(2 * ends - counts - 1, counts) - np.arange(len(edges))
+    every, at = a[2][edges[turned]], 0
+    for s in samples:
+        ids = every[at : at + len(s.edges)]
+        at += len(s.edges)
+        if len(ids) and ids.min() < 0:
+            ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [lattices.byte[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])], np.int32)
+        yield ids
 
 
 def text_units(text: str, lattices: Lattices) -> list[str]:
-    return lattices.split(SPACE + text.replace(" ", SPACE)) if text else []
+    """The units of a text: its words, each with the space before it (the text's first word has one too)."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return lattices.split(SPACE + text.replace(" ", SPACE))
+    return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
 
 def decode_ids(ids: list[int], model) -> str:
@@ -348,12 +433,9 @@ def sampled_segmentations(docs: DataFrame, model: str, spec: Sampling | None = N
 
         gc.disable()  # the memo's many small objects are no garbage
         lattices = Lattices(model, spec.sharpness)
-        for batch in per_batch(batches, 96):
-            if lattices.edges > lattices.EDGES:
-                lattices.clear()
+        for batch in per_batch(batches, 256, 1 << 20):
             parts = [text_units(text or "", lattices) for text in batch.column("text").to_pylist()]
-            if new := list(set().union(*parts) - lattices.units.keys()):
-                lattices.learn(new)
+            lattices.prepare(set().union(*parts))
             docs_ = [(doc_id, np.fromiter(map(lattices.units.__getitem__, own), np.int64, len(own))) for doc_id, own in zip(batch.column("doc_id").to_pylist(), parts, strict=True)]
             a = lattices.arrays()
             sizes = np.array([len(u) for _, u in docs_])
@@ -365,15 +447,14 @@ def sampled_segmentations(docs: DataFrame, model: str, spec: Sampling | None = N
             places = ends - length - np.repeat(skip, sizes)
             cuts = np.r_[0, cut]
             texts = [(own, places[cuts[k] : cuts[k + 1]], row_seed(i, spec.seed)) for k, (i, own) in enumerate(docs_)]
+            made = [(doc_id, number, s) for (doc_id, _), found in zip(docs_, searches(a, texts, spec.samples), strict=True) for number, s in enumerate(found)]
             rows = []
-            for (doc_id, _), found in zip(docs_, searches(a, texts, spec.samples), strict=True):
-                for number, s in enumerate(found):
-                    ids = ids_of(a, s, lattices)
-                    rows.append((doc_id, number, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), s.log_prob, s.score, s.inclusion, *([ids.tolist()] if with_ids else [])))
+            for (doc_id, number, s), ids in zip(made, ids_of_all(a, [x[2] for x in made], lattices), strict=True):
+                rows.append((doc_id, number, len(ids), zlib.crc32(ids.astype("<u4", copy=False)), s.log_prob, s.score, s.inclusion, *([ids.tolist()] if with_ids else [])))
             yield batch_of(schema, zip(*rows, strict=True))
         gc.enable()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), FIELDS + (", ids array<int>" if with_ids else ""))
+    return modest_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), FIELDS + (", ids array<int>" if with_ids else ""))
 
 
 def decoded(encoded: DataFrame, model: str) -> DataFrame:
