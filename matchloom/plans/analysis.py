@@ -65,10 +65,9 @@ def customer_skills(t: Tables) -> DataFrame:
 WITH {OWNED_SQL}, {BRAND_SQL}, sets AS (SELECT c, list(s) AS have FROM owned GROUP BY c)
 SELECT c AS c_custkey, b AS brand, CAST(len(list_filter(names, lambda x: list_contains(have, x))) AS BIGINT) AS matched_cnt, CAST(len(list_filter(names, lambda x: NOT list_contains(have, x))) AS BIGINT) AS missing_cnt,
   list_filter(names, lambda x: NOT list_contains(have, x))[1] AS first_missing, CAST(len(list_filter(names, lambda x: NOT list_contains(have, x))) AS BIGINT) AS gap_num, CAST(len(names) AS BIGINT) AS gap_den
-FROM sets, brand WHERE b IN ('Brand#1', 'Brand#2', 'Brand#3')""")
+FROM sets, brand""")
 def gap(t: Tables) -> DataFrame:
-    jobs = F.broadcast(brands(t).where(F.col("b").isin("Brand#1", "Brand#2", "Brand#3")))  # three jobs
-    rows = customer_skills(t).crossJoin(jobs)
+    rows = customer_skills(t).crossJoin(F.broadcast(brands(t)))  # 25 jobs
     matched, missing = candidates.skill_gap(F.col("required"), F.col("skills"))
     return rows.select(F.col("c").alias("c_custkey"), F.col("b").alias("brand"), F.size(matched).cast("long").alias("matched_cnt"), F.size(missing).cast("long").alias("missing_cnt"), F.get(missing, F.lit(0)).alias("first_missing"), F.size(missing).cast("long").alias("gap_num"), F.size("required").cast("long").alias("gap_den"))
 
@@ -299,11 +298,11 @@ def dedupe(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("cand")).agg(F.min("l_linenumber").alias("first"))
 
 
-POS_SQL = "pos AS (SELECT DISTINCT o_custkey AS query, c_nationkey AS cand FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey < 200)"
+POS_SQL = "pos AS (SELECT DISTINCT o_custkey AS query, c_nationkey AS cand FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 
 def positives(t: Tables) -> DataFrame:
-    return t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).where("o_custkey < 200").select(F.col("o_custkey").alias("query"), F.col("c_nationkey").alias("cand")).distinct()
+    return t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_custkey").alias("query"), F.col("c_nationkey").alias("cand")).distinct()
 
 
 @query("j06_semi_inner", "SELECT o_orderkey AS query, o_custkey AS cand FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -571,14 +570,14 @@ def constraints(t: Tables) -> DataFrame:
 # taxonomy
 
 def occupations(t: Tables) -> DataFrame:
-    return occupations_of(t.part.where("p_partkey < 500"))
+    return occupations_of(t.part)
 
 
 def occupations_of(part: DataFrame) -> DataFrame:
     return part.select(F.concat(F.lit("O"), F.col("p_partkey")).alias("id"), F.array(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", "p_name", F.lit("alt"), "p_brand")).otherwise(F.concat_ws(" ", "p_name", "p_brand", "p_type"))).alias("labels"))
 
 
-OCC_SQL = f"occ AS (SELECT 'O' || p_partkey AS id, [p_name || ' ' || p_brand || ' ' || p_type, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' alt ' || p_brand ELSE p_name || ' ' || p_brand || ' ' || p_type END] AS labels FROM part WHERE p_partkey < 500), idx AS (SELECT id, {sql_skill('label')} AS key FROM (SELECT id, unnest(labels) AS label FROM occ))"
+OCC_SQL = f"occ AS (SELECT 'O' || p_partkey AS id, [p_name || ' ' || p_brand || ' ' || p_type, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' alt ' || p_brand ELSE p_name || ' ' || p_brand || ' ' || p_type END] AS labels FROM part), idx AS (SELECT id, {sql_skill('label')} AS key FROM (SELECT id, unnest(labels) AS label FROM occ))"
 
 
 @query("j09_title_exact", f"WITH {OCC_SQL}, k AS (SELECT key, count(*) AS n, min(id) AS id FROM idx GROUP BY 1), t AS (SELECT p_partkey, p_name || ' ALT ' || p_brand AS title FROM part) SELECT p_partkey AS key, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS match_type, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN id END AS id FROM t LEFT JOIN k ON k.key = {sql_skill('title')}")
@@ -590,10 +589,10 @@ def title_exact(t: Tables) -> DataFrame:
 
 def mapping(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    return t.part.where("p_partkey < 800").select(k.alias("row"), F.when(k % 11 > 0, F.concat(F.lit("C"), k % 97)).alias("code"), F.when(k % 13 > 0, F.col("p_type")).alias("title"), F.when(k % 3 > 0, F.concat(F.lit("O"), k % 600)).otherwise("").alias("id"), F.when(k % 5 > 0, F.concat_ws(" ", "p_name", F.lit("alt"), "p_brand")).alias("label"))
+    return t.part.select(k.alias("row"), F.when(k % 11 > 0, F.concat(F.lit("C"), k % 97)).alias("code"), F.when(k % 13 > 0, F.col("p_type")).alias("title"), F.when(k % 3 > 0, F.concat(F.lit("O"), k * 2)).otherwise("").alias("id"), F.when(k % 5 > 0, F.concat_ws(" ", "p_name", F.lit("alt"), "p_brand")).alias("label"))
 
 
-MAP_SQL = "m AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 11 > 0 THEN 'C' || (p_partkey % 97) ELSE '' END AS code, CASE WHEN p_partkey % 13 > 0 THEN p_type ELSE '' END AS title, CASE WHEN p_partkey % 3 > 0 THEN 'O' || (p_partkey % 600) ELSE '' END AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name || ' alt ' || p_brand ELSE '' END AS label FROM part WHERE p_partkey < 800)"
+MAP_SQL = "m AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 11 > 0 THEN 'C' || (p_partkey % 97) ELSE '' END AS code, CASE WHEN p_partkey % 13 > 0 THEN p_type ELSE '' END AS title, CASE WHEN p_partkey % 3 > 0 THEN 'O' || (p_partkey * 2) ELSE '' END AS id, CASE WHEN p_partkey % 5 > 0 THEN p_name || ' alt ' || p_brand ELSE '' END AS label FROM part)"
 
 
 @query("j11_code_mapping", f"""WITH {OCC_SQL}, {MAP_SQL}, one AS (SELECT key, min(id) AS lid FROM idx GROUP BY 1 HAVING count(*) = 1),
@@ -628,18 +627,18 @@ def counts(t: Tables) -> DataFrame:
 
 # upserts
 
-@query("j13_upsert_classify", "SELECT CASE WHEN c_custkey % 10 = 0 THEN 'invalid' WHEN c_custkey % 10 = 1 AND c_custkey >= 1001 THEN 'conflict' WHEN c_custkey < 1000 AND c_custkey % 10 = 2 THEN 'updated' WHEN c_custkey < 1000 THEN 'unchanged' WHEN c_custkey % 10 = 1 THEN 'conflict' ELSE 'created' END AS outcome, count(*) AS n FROM customer WHERE c_custkey % 10 <> 1 GROUP BY 1")
+@query("j13_upsert_classify", "SELECT CASE WHEN c_custkey % 10 = 0 THEN 'invalid' WHEN c_mktsegment <> 'BUILDING' AND c_acctbal > 5000 THEN 'updated' WHEN c_mktsegment <> 'BUILDING' THEN 'unchanged' ELSE 'created' END AS outcome, count(*) AS n FROM customer GROUP BY 1")
 def classify(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    old = t.customer.where("c_custkey < 1000").select(k.cast("string").alias("number"), F.concat(F.lit("m"), k).alias("mail"), F.col("c_mktsegment").alias("dept"))
-    new = t.customer.where("c_custkey % 10 <> 1").select(k.alias("ordinal"), F.when(k % 10 == 0, " ").otherwise(k.cast("string")).alias("number"), F.concat(F.lit("M"), k).alias("mail"), F.when(k % 10 == 2, "NEW").otherwise(F.col("c_mktsegment")).alias("dept"))
+    old = t.customer.where("c_mktsegment <> 'BUILDING'").select(k.cast("string").alias("number"), F.concat(F.lit("m"), k).alias("mail"), F.col("c_mktsegment").alias("dept"))
+    new = t.customer.select(k.alias("ordinal"), F.when(k % 10 == 0, " ").otherwise(k.cast("string")).alias("number"), F.concat(F.lit("M"), k).alias("mail"), F.when(F.col("c_acctbal") > 5000, "NEW").otherwise(F.col("c_mktsegment")).alias("dept"))
     return upserts.outcome_counts(upserts.classify(new, old, "number", "mail", ["dept"]))
 
 
-@query("j14_upsert_state", "SELECT coalesce(o.s_suppkey, n.k) AS s_suppkey, coalesce(n.a, o.s_acctbal) AS s_acctbal FROM (SELECT * FROM supplier WHERE s_suppkey < 80) o FULL JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 1.5::DOUBLE END AS a FROM supplier WHERE s_suppkey >= 40) n ON n.k = o.s_suppkey")
+@query("j14_upsert_state", "SELECT coalesce(o.s_suppkey, n.k) AS s_suppkey, coalesce(n.a, o.s_acctbal) AS s_acctbal FROM (SELECT * FROM supplier WHERE s_nationkey < 18) o FULL JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 1.5::DOUBLE END AS a FROM supplier WHERE s_acctbal > 2000) n ON n.k = o.s_suppkey")
 def state(t: Tables) -> DataFrame:
-    old = t.supplier.where("s_suppkey < 80").select("s_suppkey", "s_acctbal")
-    new = t.supplier.where("s_suppkey >= 40").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, 1.5).alias("s_acctbal"))
+    old = t.supplier.where("s_nationkey < 18").select("s_suppkey", "s_acctbal")
+    new = t.supplier.where("s_acctbal > 2000").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, 1.5).alias("s_acctbal"))
     return upserts.merged(old, new, ["s_suppkey"])
 
 
