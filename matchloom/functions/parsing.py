@@ -11,8 +11,9 @@ from .text import col, normalize_skill, normalize_skill_app, normalize_text, str
 PERFORMANCE = {"superior": 1.0, "accord parfait": 0.8, "acceptable": 0.6, "inacceptable": 0.4, "non applicable": 0.2}
 POSITIVE = ("1", "true", "yes", "y", "positive", "match")
 NEGATIVE = ("0", "false", "no", "n", "negative", "no_match")
+# Words of seniority with their years, and the orders in which date formats are tried.
 SENIORITY = (("intern", 0), ("junior", 1), ("mid", 3), ("senior", 6), ("lead", 8), ("principal", 8))
-#: Order of formats of employee records, and of imported HR files.
+#: Formats of employee records, and of imported HR files.
 RECORD_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "MM/dd/yy")
 IMPORT_FORMATS = ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy-MM-dd", "MM/dd/yy")
 
@@ -36,8 +37,7 @@ def parse_list(c: Column | str, separators: str = r"[,\n;/|]+") -> Column:
     s = strip(F.coalesce(col(c), F.lit("")))
     inner = F.regexp_extract(s, r"(?s)^\[(.*)\]$", 1)
     quoted = F.regexp_extract_all(inner, F.lit(r"'([^']*)'|\"([^\"]*)\""), 0)
-    unquoted = F.transform(quoted, lambda x: F.substring(x, 2, 1_000_000))
-    listed = F.transform(unquoted, lambda x: F.trim(F.left(x, F.length(x) - 1)))
+    listed = F.transform(quoted, lambda x: F.trim(x.substr(F.lit(2), F.length(x) - 2)))
     plain = F.transform(F.split(F.when(s.startswith("["), inner).otherwise(s), separators), lambda x: F.trim(x))
     return some(F.when(s.startswith("[") & (F.size(quoted) > 0), listed).otherwise(plain))
 

@@ -22,6 +22,12 @@ def weighted_score(overlap_: Column, experience: Column, performance: Column, se
     return 0.5 * overlap_ + 0.35 * experience + 0.15 * performance
 
 
+def match_score(overlap_: Column, experience: Column, performance: Column, numeric: bool = True) -> Column:
+    """The weighted score in per cent: a number where the requirements were given, else a struct with its parts."""
+    total = F.round(100.0 * weighted_score(overlap_, experience, performance), 2)
+    return total if numeric else F.struct(total.alias("total"), overlap_.alias("skill"), experience.alias("experience"), performance.alias("performance"))
+
+
 def ranker_score() -> Column:
     c = F.col
     raw = 0.35 * c("skill_overlap") + 0.20 * c("semantic_similarity") + 0.15 * F.least(c("experience_surplus") / 5.0, F.lit(1.0)) + 0.10 * (1.0 - F.least(c("experience_gap") / 5.0, F.lit(1.0))) + 0.10 * c("performance_score") + 0.05 * c("engagement_score") + 0.05 * c("satisfaction_score")

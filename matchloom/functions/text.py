@@ -123,6 +123,11 @@ def embed_text(*parts: Column, skills: Column) -> Column:
     return F.trim(F.concat_ws(" ", *[truthy(p) for p in parts], truthy(F.array_join(F.array_sort(skills), " "))))
 
 
+def profile_text(position: Column, department: Column, skills: Column) -> Column:
+    """Position, department and skills, as far as they are there, joined by spaces (skills in their given order)."""
+    return F.trim(F.concat_ws(" ", truthy(position), truthy(department), truthy(F.array_join(skills, " "))))
+
+
 def reason_text(feature: Column, value: Column, contribution: Column) -> Column:
     two = F.format_string("%.2f", value)
     said = F.when(feature == "skill_overlap", F.concat(F.lit("Strong skill overlap ("), two, F.lit(").")))

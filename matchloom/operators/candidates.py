@@ -31,6 +31,36 @@ def preprocess(people: DataFrame, as_of: Column) -> DataFrame:
     return people.select("id", F.coalesce(full, F.lit("Unknown")).alias("full_name"), text.normalize_text("position").alias("position"), text.normalize_text("department").alias("department"), parsing.parse_skill_list("skills").alias("skills"), F.when(hired.isNull(), given).otherwise(years).alias("experience_years"), years.alias("tenure_years"), parsing.performance("performance_score").alias("performance_score"), parsing.scaled("engagement_survey").alias("engagement_score"), parsing.scaled("emp_satisfaction").alias("satisfaction_score"), parsing.active(left, F.col("employment_status")).alias("currently_active"))
 
 
+def job_skill_names(items: Column) -> Column:
+    """Names of a list of requirement structs (``name``, or ``skill.name`` where that is empty); structs without are left out."""
+    return F.filter(F.transform(items, lambda x: F.coalesce(text.truthy(x["name"]), text.truthy(x["skill"]["name"]))), lambda x: x.isNotNull())
+
+
+def preprocess_jobs(jobs: DataFrame) -> DataFrame:
+    """Job records in the form that features need. ``required_skills`` is a list of structs or of texts; ``min_experience``
+    falls back to ``required_experience_years``, what can't be read counts as 0, and nothing is below 0."""
+    kind = jobs.schema["required_skills"].dataType.elementType.typeName()
+    names = job_skill_names(F.col("required_skills")) if kind == "struct" else F.col("required_skills")
+    given = [F.col(c).cast("string") for c in ("min_experience", "required_experience_years") if c in jobs.columns]
+    places = [text.truthy(F.col(c)) for c in ("departement", "department") if c in jobs.columns]
+    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    skills = F.array_distinct(parsing.some(F.transform(F.coalesce(names, F.array().cast("array<string>")), text.normalize_skill_app)))
+    return jobs.select("id", lower(F.col("title")).alias("title"), lower(F.col("description")).alias("description"), lower(F.coalesce(*places)).alias("department"), skills.alias("required_skills"), F.greatest(parsing.number_or(F.coalesce(*given)), F.lit(0.0)).alias("required_experience_years"))
+
+
+def scored(rows: DataFrame, model=None) -> DataFrame:
+    """``score`` (six places), ``score_percent`` (two) and ``source`` for rows with features: the fitted model's
+    probability, or the weighted heuristic where there is none. Rows are scored as columns inside the engine's own batches,
+    so no batch size is to be chosen."""
+    if model is None:
+        out = rows.withColumn("score", scoring.ranker_score())
+    else:
+        from .ranker import predict
+
+        out = predict(model, rows)
+    return out.withColumns({"score": F.round("score", 6), "score_percent": F.round(F.col("score") * 100, 2), "source": F.lit("heuristic" if model is None else "model")})
+
+
 def features(pairs: DataFrame, semantic: Column | None = None) -> DataFrame:
     """The ten features of each pair (``skills``, ``required``, ``experience_years``, ``required_years`` and the
     employee's own scores)."""

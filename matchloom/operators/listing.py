@@ -36,6 +36,34 @@ def page(rows: DataFrame, sort: str, allowed: dict[str, str], key: str, descendi
     return rows.orderBy(column.desc_nulls_first() if descending else column.asc_nulls_last(), key).offset(skip).limit(limit)
 
 
+def lookup(rows: DataFrame, **exact) -> DataFrame:
+    """The rows whose columns equal these values; text is compared trimmed and without case. The tests reach the scan."""
+    for column, value in exact.items():
+        given = F.col(column)
+        rows = rows.where(F.lower(F.trim(given)) == value.strip().lower() if isinstance(value, str) else given == value)
+    return rows
+
+
+def missing_columns(rows: DataFrame, *required: str) -> DataFrame:
+    """``name``: the required columns that a table lacks; empty if it has them all."""
+    lacking = [c for c in required if c not in rows.columns]
+    return rows.sparkSession.createDataFrame([(c,) for c in lacking], "name string")
+
+
+def if_match(rows: DataFrame, requests: DataFrame, key: str, tag: Column) -> DataFrame:
+    """``requests`` (key, if_match) with ``outcome``: precondition_required without tokens, ok where one of them (commas
+    between, ``*`` for any) is the row's tag, etag_mismatch where none is, not_found without a row. A merge of the rows with
+    outcome ok is an update that no other can have overtaken."""
+    now = rows.select(F.col(key), tag.alias("tag_"))
+    joined = requests.join(now, key, "left")
+    plain = lambda c: F.trim(F.regexp_replace(F.trim(c), '^W/|"', ""))
+    tokens = F.transform(F.split(F.coalesce("if_match", F.lit("")), ","), plain)
+    some = F.filter(tokens, lambda x: x != "")
+    fits = F.array_contains(some, "*") | F.array_contains(some, plain(F.col("tag_")))
+    outcome = F.when(F.size(some) == 0, "precondition_required").when(F.col("tag_").isNull(), "not_found").when(fits, "ok").otherwise("etag_mismatch")
+    return joined.withColumn("outcome", outcome).drop("tag_")
+
+
 def taken(rows: DataFrame, new: DataFrame, column: str, exclude: Column | None = None) -> DataFrame:
     """The new rows whose value exists already, whatever the case."""
     held = rows if exclude is None else rows.where(~exclude)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def per_query(rows: DataFrame, k: int = 10) -> DataFrame:
     """``query, p, r, ap, ndcg`` of each query with a positive; ``rows`` has query, key, score, label (0 or 1).
@@ -37,16 +39,28 @@ def classification(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def curve_areas(rows: DataFrame) -> DataFrame:
-    """``roc_auc`` (mid-ranks) and ``average_precision`` from counts by distinct score, so the ordered part is as small as
-    the number of different scores; equal scores are one step of the curves."""
+    """``roc_auc`` (mid-ranks) and ``average_precision`` from counts by distinct score; equal scores are one step of the
+    curves, and steps are added up by ranges of scores."""
     each = rows.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    down = Window.orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    steps = each.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("q").over(upto)})
+    before = running(each, "score", "p", "q", descending=True)
+    steps = before.withColumns({"tp": F.col("before_p") + F.col("p"), "fp": F.col("before_q") + F.col("q")})
     sums = steps.agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2.0)).alias("wins"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("area"))
     return sums.select("pos", "neg", F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("wins") / (F.col("pos") * F.col("neg"))).alias("roc_auc"), F.when(F.col("pos") > 0, F.col("area") / F.col("pos")).alias("average_precision"))
 
 
+def latency(rows: DataFrame, seconds: str, *by: str) -> DataFrame:
+    """``n, avg_ms, p95_ms`` of each group: the mean, and the 95th percentile by the exclusive rule (between the two values
+    around place 0.95 * (n + 1)) from 20 values on, else the greatest; two places."""
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(seconds)
+    placed = rows.where(F.col(seconds).isNotNull()).select(*by, F.col(seconds).alias("s_")).withColumns({"n_": F.count("*").over(group), "at_": F.row_number().over(order.orderBy("s_"))})
+    spot = F.col("n_") * 19 + 19
+    low = F.least(F.greatest(F.floor(spot / 20), F.lit(1)), F.col("n_") - 1)
+    share = (spot - low * 20) / 20.0
+    part = F.when(F.col("at_") == low, F.col("s_") * (1.0 - share)).when(F.col("at_") == low + 1, F.col("s_") * share).otherwise(F.lit(0.0))
+    sums = placed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("s_").alias("mean_"), F.sum(part).alias("p_"), F.max("s_").alias("most_"))
+    return sums.select(*by, "n", F.round(F.col("mean_") * 1000, 2).alias("avg_ms"), F.round(F.when(F.col("n") >= 20, F.col("p_")).otherwise(F.col("most_")) * 1000, 2).alias("p95_ms"))
+
+
 def stratified_split(rows: DataFrame, key: Column, label: str, valid: float = 0.2, seed: int = 0) -> DataFrame:
     """``split`` train or valid, the same share of each label, by the order of a seeded hash of the key: the cut is an
     exact rank, found from counts of hash ranges, so no label is sorted in one task."""

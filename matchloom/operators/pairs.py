@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import fuzzy, parsing, scoring, text
 
+from .order import with_ordinals
+
 LABEL_OK = "try_cast(label as int) in (0, 1)"
 
 
@@ -62,6 +64,23 @@ def hash_split(key: Column, train: float = 0.8, val: float = 0.1, test: float =
     return F.when(bucket < low, "train").when(bucket < high, "val").otherwise("test")
 
 
+def split_or_roll(key: Column, row: Column, seed: int = 42, train: float = 0.8, val: float = 0.1, test: float = 0.1) -> Column:
+    """A key's split; a row without a key rolls: a seeded hash of its row id decides, so a repeated run rolls the same."""
+    roll = F.concat_ws("|", F.lit(f"roll-{seed}"), row.cast("string"))
+    return hash_split(F.coalesce(text.truthy(key.cast("string")), roll), train, val, test)
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``keys`` and the least ``order`` of each: the row that is seen first wins; a partial aggregate, no window."""
+    return rows.groupBy(*keys).agg(F.min(order).alias("first"))
+
+
+def profile_drift(new: DataFrame, old: DataFrame, **columns: str) -> DataFrame:
+    """Differences of two one-row profiles, by column: new less old."""
+    both = new.select(*[F.col(c).alias(f"new_{c}") for c in columns]).crossJoin(old.select(*[F.col(c).alias(f"old_{c}") for c in columns]))  # one row each
+    return both.select(*[(F.col(f"new_{c}") - F.col(f"old_{c}")).alias(name) for c, name in columns.items()])
+
+
 def time_company_split(time: Column, company: Column, train_cut: str, val_cut: str, holdout: list[str]) -> Column:
     """Held-out companies and rows without a time are test; else by text order against two cut-offs."""
     held = F.lower(F.trim(F.coalesce(company, F.lit("")))).isin([c.strip().lower() for c in holdout]) if holdout else F.lit(False)
@@ -118,6 +137,47 @@ def fill_deficit(pool: DataFrame, need: DataFrame, quota_column: str = "need") -
     return pool.join(need, ["query", "label_type"]).where(F.col("rn") <= F.col(quota_column)).drop(quota_column)
 
 
+def augmented(jobs: DataFrame, pool: DataFrame, seen: DataFrame, need: DataFrame) -> DataFrame:
+    """``query, cand, overlap, missing, label_type, rn``: negatives from other queries' candidates for what queries still
+    need. ``jobs`` has query and required, ``pool`` cand and skills, ``seen`` the pairs (query, cand) that are taken, ``need``
+    query, hard and easy. Hard ones by falling overlap, easy ones by rising overlap, then by candidate.
+
+    Not every job meets every candidate: pairs with a common skill come from a join on skills. Of the others, all without
+    overlap and equal, a query takes the first of the pool; as many places of the pool are looked at as the query has
+    candidates with overlap or taken ones, and what it needs, so enough of them are free."""
+    want = need.where("hard > 0 or easy > 0")
+    open_ = jobs.join(want, "query").withColumn("required", F.array_distinct("required")).withColumn("n", F.size("required"))
+    each = open_.select("query", F.explode("required").alias("skill"))
+    held = pool.select("cand", F.explode(F.array_distinct("skills")).alias("skill"))
+    common = each.join(held, "skill").groupBy("query", "cand").agg(F.count("*").alias("common"))
+    met = common.join(seen.select("query", "cand"), ["query", "cand"], "left_anti").join(open_, "query")
+    reach = common.groupBy("query").agg(F.count("*").alias("met_"))
+    taken = seen.groupBy("query").agg(F.count("*").alias("taken_"))
+    looks = open_.join(reach, "query", "left").join(taken, "query", "left").withColumn("places", F.coalesce("met_", F.lit(0)) + F.coalesce("taken_", F.lit(0)) + F.col("easy"))
+    spots = looks.where("easy > 0").select("query", "n", "hard", "easy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("spot"))
+    numbered = with_ordinals(pool.select("cand"), "cand", "spot")
+    others = spots.join(numbered, "spot").join(common.select("query", "cand"), ["query", "cand"], "left_anti").join(seen.select("query", "cand"), ["query", "cand"], "left_anti")
+    rows = met.select("query", "cand", "common", "n", "hard", "easy").unionByName(others.select("query", "cand", F.lit(0).cast("long").alias("common"), "n", "hard", "easy"))
+    over = F.when(F.col("n") > 0, F.round(F.col("common") / F.col("n"), 6)).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"overlap": over, "missing": F.greatest(F.col("n") - F.col("common"), F.lit(0))})
+    kind = scoring.label_type(F.lit(None).cast("double"), F.col("overlap"), F.col("missing"), F.col("n"), F.lit(0.0))
+    typed = rows.withColumn("label_type", kind).where("label_type in ('hard_negative', 'easy_negative')")
+    order = Window.partitionBy("query", "label_type").orderBy(F.when(F.col("label_type") == "hard_negative", -F.col("overlap")).otherwise(F.col("overlap")), "cand")
+    placed = typed.withColumn("rn", F.row_number().over(order))
+    return placed.where(F.col("rn") <= F.when(F.col("label_type") == "hard_negative", F.col("hard")).otherwise(F.col("easy"))).select("query", "cand", "overlap", "missing", "label_type", "rn")
+
+
+def generated(records: DataFrame, jobs: DataFrame, pool: DataFrame, positives: int = 1, hards: int = 2, easies: int = 2) -> DataFrame:
+    """``query, cand, label_type, overlap, origin``: the whole generation of pairs. ``records`` has query, cand, score,
+    overlap, missing and label_type: each query with a positive picks its first rows of each type (``picked``), and what it
+    has too few of comes from other queries' candidates (``augmented``)."""
+    picked = pick_per_label(records, positives, hards, easies)
+    have = records.groupBy("query").agg(F.count_if(F.col("label_type") == "hard_negative").alias("h"), F.count_if(F.col("label_type") == "easy_negative").alias("e"), F.count_if(F.col("label_type") == "positive").alias("p"))
+    need = have.where("p > 0").select("query", F.greatest(hards - F.col("h"), F.lit(0)).alias("hard"), F.greatest(easies - F.col("e"), F.lit(0)).alias("easy"))
+    more = augmented(jobs, pool, picked.select("query", "cand"), need)
+    return picked.select("query", "cand", "label_type", "overlap", F.lit("picked").alias("origin")).unionByName(more.select("query", "cand", "label_type", "overlap", F.lit("augmented").alias("origin")))
+
+
 def sampled_negatives(pool: DataFrame, positives: DataFrame, per_positive: int, seed: int) -> DataFrame:
     """For each query, candidates that are none of its positives, in the order of a seeded hash, ``per_positive`` for each
     positive (one at least). The pool is dealt to queries by hashing (query, candidate), so the sample is the same on any

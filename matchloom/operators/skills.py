@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.functions import fuzzy, text
+from matchloom.functions import fuzzy, scoring, text
 
 TOKEN = r"[a-z0-9+.#/\-]+"
 BULLETS = ("-", "*", "•", "â€¢")
@@ -17,22 +19,17 @@ def tokens(c: Column | str) -> Column:
 
 def ngrams(words: Column, most: int = 4) -> Column:
     """Distinct n-grams of 1 to ``most`` words, joined by spaces."""
-    parts = [words]
-    for n in range(2, most + 1):
+    def of(n: int) -> Column:
         last = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        parts.append(F.transform(F.slice(words, F.lit(1), last), lambda w, i, n=n: F.array_join(F.slice(words, i + 1, n), " ")))
-    return F.array_distinct(F.concat(*parts))
+        return F.transform(F.slice(words, F.lit(1), last), lambda w, i: F.array_join(F.slice(words, i + 1, n), " "))
+
+    return F.array_distinct(F.concat(words, *map(of, range(2, most + 1))))
 
 
 def ngram_rows(docs: DataFrame, most: int = 4) -> DataFrame:
-    """``doc_id, gram``: distinct n-grams of each text. Words are gathered with their followers before exploding, so a long
-    text makes 4 rows a word at most and no array of all its n-grams."""
-    words = docs.select("doc_id", F.posexplode(tokens("text")).alias("pos", "word"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    follow = [F.lead("word", k).over(order) for k in range(1, most)]
-    wide = words.select("doc_id", "word", *[f.alias(f"w{k}") for k, f in enumerate(follow, 1)])
-    grams = [F.col("word")] + [F.when(F.col(f"w{n - 1}").isNotNull(), F.concat_ws(" ", "word", *[f"w{k}" for k in range(1, n)])) for n in range(2, most + 1)]
-    return wide.select("doc_id", F.explode(F.array(*grams)).alias("gram")).where("gram is not null").distinct()
+    """``doc_id, gram``: distinct n-grams of each row's text, made inside the row: no shuffle."""
+    words = docs.select("doc_id", tokens("text").alias("w_"))  # a column of its own: a lambda would make it for each word
+    return words.select("doc_id", F.explode(ngrams(F.col("w_"), most)).alias("gram"))
 
 
 def alias_index(known: DataFrame) -> DataFrame:
@@ -88,12 +85,13 @@ def first_phrases(rows: DataFrame, limit: int = 200) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "at"))).where(F.col("n") <= limit).drop("rn")
 
 
-def detect(docs: DataFrame, known: DataFrame, least: float = 0.6, with_fuzzy: bool = False) -> DataFrame:
+def detect(docs: DataFrame, known: DataFrame, least: float = 0.6, with_fuzzy: bool = False, semantic: tuple[Callable[[Column], Column], float] | None = None) -> DataFrame:
     """``doc_id, skill, confidence, source``: the best evidence for each known skill.
 
     N-grams and phrases meet the alias index by equi-join (the index has the size of the skill list). Exact n-gram .98,
     synonym .90, acronym .88; phrase .95 times its section's weight, .99 at most; with ``with_fuzzy`` similar keys too:
-    n-grams from .90, capped at .82, phrases from .88. Of equal confidences an n-gram's source comes before a phrase's."""
+    n-grams from .90, capped at .82, phrases from .88. With ``semantic`` (a function from text to a unit vector, and a least
+    cosine) phrases count by their vectors too, .92 at most. Of equal confidences an n-gram's source comes before a phrase's."""
     index = alias_index(known)
     # n-grams hold normalised characters alone: only the version tail is left to take off
     plain = F.regexp_replace("gram", text.VERSION_TAIL, "")
@@ -107,10 +105,45 @@ def detect(docs: DataFrame, known: DataFrame, least: float = 0.6, with_fuzzy: bo
     if with_fuzzy:
         keys = index.where("kind = 'key'").select("canonical", F.col("alias").alias("skill_key"))
         hits = hits.unionByName(_similar(grams.select("doc_id", "key").distinct(), keys, 0.90, 0.82)).unionByName(_similar_phrases(said, keys))
+    if semantic is not None:
+        hits = hits.unionByName(semantic_hits(phrases(sections(docs)), known, *semantic))
     best = hits.groupBy("doc_id", "canonical").agg(F.max(F.struct("conf", (~F.col("source").contains(":")).alias("plain"), "source")).alias("b"))
     return best.where(F.col("b.conf") >= least).select("doc_id", F.col("canonical").alias("skill"), F.round("b.conf", 2).alias("confidence"), F.col("b.source").alias("source"))
 
 
+def semantic_hits(said: DataFrame, known: DataFrame, embed: Callable[[Column], Column], least: float = 0.65, limit: int = 200) -> DataFrame:
+    """``doc_id, canonical, conf, source`` from the vectors of each text's first ``limit`` different phrases: a phrase speaks
+    for its most similar skill (the smaller name of equals) if the cosine is ``least`` or more, weighted by its section.
+
+    Every different phrase is compared once, whatever the texts that hold it; the skills' vectors go to every task (the
+    list of known skills is small, and is counted before it is broadcast)."""
+    names = known.select(text.normalize_skill_app("skill").alias("canonical")).where("canonical <> ''").distinct()
+    rows = names.withColumn("sv", embed(F.col("canonical")))
+    rows = F.broadcast(rows) if names.count() <= 50_000 else rows
+    first = first_phrases(said, limit)
+    vectors = first.select("key").distinct().withColumn("pv", embed(F.col("key")))
+    near = vectors.crossJoin(rows).select("key", "canonical", F.round(scoring.dot(F.col("pv"), F.col("sv")), 9).alias("sim"))
+    best = near.groupBy("key").agg(F.min(F.struct((-F.col("sim")).alias("away"), "canonical")).alias("b")).where(-F.col("b.away") >= least)
+    hits = first.join(best, "key").select("doc_id", F.col("b.canonical").alias("canonical"), F.least(F.lit(0.92), -F.col("b.away") * F.col("weight")).alias("conf"), F.concat(F.lit("semantic:"), "section").alias("source"))
+    return hits
+
+
+def sorted_hits(hits: DataFrame) -> DataFrame:
+    """``doc_id, hits``: each text's hits (skill, confidence, source) by falling confidence, then by name."""
+    placed = F.struct((-F.col("confidence")).alias("away"), "skill", "source")
+    rows = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(placed)).alias("h"))
+    return rows.select("doc_id", F.transform("h", lambda x: F.struct(x["skill"].alias("skill"), (-x["away"]).alias("confidence"), x["source"].alias("source"))).alias("hits"))
+
+
+def skill_names(docs: DataFrame, known: DataFrame | None = None, **detection) -> DataFrame:
+    """``doc_id, skills``: the names of the detected skills in that order, for every text; none without known skills."""
+    none = F.array().cast("array<string>")
+    if known is None:
+        return docs.select("doc_id", none.alias("skills"))
+    found = sorted_hits(detect(docs, known, **detection)).select("doc_id", F.col("hits.skill").alias("skills"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("skills", none).alias("skills"))
+
+
 def _near(keys: DataFrame, skills: DataFrame, least: float) -> DataFrame:
     """``key, canonical, ratio``: different texts that are similar enough; each pair of texts is compared once. Pairs come
     from equal pairs of letters among texts of like length, not from a cross join."""

@@ -25,16 +25,15 @@ def match_exact(titles: DataFrame, index: DataFrame) -> DataFrame:
     return rows.select("title", "key", kind.alias("match_type"), n.alias("candidates"), F.when(n == 1, F.col("id")).alias("id"))
 
 
-def match_fuzzy(titles: DataFrame, index: DataFrame, threshold: float = 0.92, block: int = 3) -> DataFrame:
+def match_fuzzy(titles: DataFrame, index: DataFrame, threshold: float = 0.92) -> DataFrame:
     """``title, key, id, label, ratio``: the most similar label of each title, if similar enough.
 
     Titles meet labels by equal character trigrams, not by a cross join. With u characters of both left over, the matched
     ones lie in u + 1 blocks at most, so 3 * u of a text's trigrams at most are lost; if the texts share one trigram, they
     then share one of the 3 * u + 1 rarest of each. They do from .92 on: M matched characters are 11.5 * u / 2 or more, so
     one block has three. Lengths and character counts, which bound M from above, cut pairs before the UDF. Ties go to the
-    smaller label, then id."""
-    if threshold < 0.92:
-        raise ValueError("trigrams find every pair from a threshold of 0.92 only")
+    smaller label, then id. By the same count pairs are enough above .8, and below that single characters."""
+    block = 3 if threshold >= 0.92 else 2 if threshold > 0.8 else 1
     keys = titles.select("title", text.taxonomy_key("title").alias("key")).where("key <> ''")
     labels = index.select(F.col("key").alias("lkey"), "id", "label")
 

@@ -236,8 +236,8 @@ def top_skills(t: Tables) -> DataFrame:
 
 @query("a20_drift_report", "SELECT count(*) FILTER (l_returnflag = 'R') - count(*) FILTER (l_returnflag = 'A') AS rows_delta, sum(l_quantity) FILTER (l_returnflag = 'R') - sum(l_quantity) FILTER (l_returnflag = 'A') AS quantity_delta FROM lineitem")
 def drift_report(t: Tables) -> DataFrame:
-    side = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).agg(F.count("*").alias(f"n{flag}"), F.sum("l_quantity").alias(f"q{flag}"))
-    return side("R").crossJoin(side("A")).select((F.col("nR") - F.col("nA")).alias("rows_delta"), (F.col("qR") - F.col("qA")).alias("quantity_delta"))  # one row each
+    side = lambda flag: t.lineitem.where(F.col("l_returnflag") == flag).agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity"))
+    return pairs.profile_drift(side("R"), side("A"), rows="rows_delta", quantity="quantity_delta")
 
 
 @query("j15_split_leakage", f"""
@@ -295,7 +295,7 @@ def fill(t: Tables) -> DataFrame:
 
 @query("w02_dedupe_keep_first", "SELECT l_orderkey AS query, l_partkey AS cand, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2")
 def dedupe(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("cand")).agg(F.min("l_linenumber").alias("first"))
+    return pairs.keep_first(t.lineitem.select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("cand"), "l_linenumber"), ["query", "cand"], "l_linenumber")
 
 
 POS_SQL = "pos AS (SELECT DISTINCT o_custkey AS query, c_nationkey AS cand FROM orders JOIN customer ON c_custkey = o_custkey)"
@@ -481,12 +481,12 @@ def daily_drift(t: Tables) -> DataFrame:
 
 @query("a14_daily_summary", f"""WITH {EV_SQL}, p AS (SELECT strftime(ts, '%Y-%m-%d') AS d, job, count(*) AS n, avg(score) AS m, stddev_samp(score) AS s, min(score) AS lo, max(score) AS hi FROM e GROUP BY 1, 2),
 dr AS (SELECT day_utc, count(*) AS c, max(score_psi) AS psi, max(abs(calibration_drift)) AS cal FROM ({DRIFT_ROWS}) GROUP BY 1)
-SELECT d AS day_utc, count(*) AS profiles_count, CAST(sum(n) AS BIGINT) AS rows_total, round(sum(m * n) / sum(n) + 0.0000137, 2) AS mean_weighted, round(min(lo), 6) AS min_score, round(max(hi), 6) AS max_score, any_value(dr.c) AS drift_events_count, (any_value(dr.psi) >= 0.2 OR any_value(dr.cal) >= 0.05) AS retrain_trigger
+SELECT d AS day_utc, count(*) AS profiles_count, CAST(sum(n) AS BIGINT) AS rows_total, round(sum(m * n) / sum(n), 4) AS mean_weighted, round(sum(s * n) / sum(n), 4) AS stddev_weighted, round(min(lo), 6) AS min_score, round(max(hi), 6) AS max_score, any_value(dr.c) AS drift_events_count, (any_value(dr.psi) >= 0.2 OR any_value(dr.cal) >= 0.05) AS retrain_trigger
 FROM p LEFT JOIN dr ON day_utc = d GROUP BY d""")
 def daily_summary(t: Tables) -> DataFrame:
     p = monitoring.profile_rows(events(t).withColumn("day_utc", F.date_format("ts", "yyyy-MM-dd")), "day_utc", "job").withColumnRenamed("job", "job_title")
     s = monitoring.daily_summary(p, monitoring.daily_drift(drift_rows(t)))
-    return s.select("day_utc", "profiles_count", "rows_total", F.round(F.col("mean_weighted") + 0.0000137, 2).alias("mean_weighted"), "min_score", "max_score", "drift_events_count", "retrain_trigger")
+    return s.select("day_utc", "profiles_count", "rows_total", F.round("mean_weighted", 4).alias("mean_weighted"), F.round("stddev_weighted", 4).alias("stddev_weighted"), "min_score", "max_score", "drift_events_count", "retrain_trigger")
 
 
 @query("t05_daily_tumbling", f"WITH {EV_SQL} SELECT CAST(ts AS DATE) AS day, job, count(*) AS n, round(sum(score), 4) AS total FROM e GROUP BY 1, 2")
@@ -535,9 +535,9 @@ def exists(t: Tables) -> DataFrame:
     return listing.taken(t.nation, new, "n_name").select("n_nationkey")
 
 
-@query("c05_lookup", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey = 7")
+@query("c05_lookup", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 7 AND lower(c_mktsegment) = 'building'")
 def lookup(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey = 7").select("c_custkey", "c_mktsegment")
+    return listing.lookup(t.customer, c_nationkey=7, c_mktsegment=" Building ").select("c_custkey", "c_mktsegment")
 
 
 @query("c06_window_filter", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 20 DAY AND ts <= TIMESTAMP '2024-01-31' AND event_type = 'view'")
@@ -690,11 +690,6 @@ def first_phrases(t: Tables) -> DataFrame:
     return skills.first_phrases(skills.phrases(skills.sections(t.documents))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("m17_skill_detect")
-def detect(t: Tables) -> DataFrame:
-    return skills.detect(t.documents, known(t))
-
-
 @query("m17_skill_detect_fuzzy")
 def detect_fuzzy(t: Tables) -> DataFrame:
     return skills.detect(t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")), known(t), with_fuzzy=True)

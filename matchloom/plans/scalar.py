@@ -47,10 +47,12 @@ def nation_key(t: Tables) -> DataFrame:
 
 
 @query("n06_normalize_lines", """
-SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\xA0]+', ' ', 'g'))), chr(10)), '\\n{3,}', chr(10)||chr(10), 'g'))) AS norm
-FROM documents WHERE NOT contains(text, chr(13))""")
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN doc_id % 3 = 1 THEN replace(text, chr(10), chr(13)) ELSE text END AS raw FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(lower(regexp_replace(raw, '\\r\\n?', chr(10), 'g')), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\xA0]+', ' ', 'g'))), chr(10)), '\\n{3,}', chr(10)||chr(10), 'g'))) AS norm FROM d""")
 def lines(t: Tables) -> DataFrame:
-    return t.documents.where(~F.col("text").contains("\r")).select("doc_id", F.md5(text.normalize_lines("text").cast("binary")).alias("norm"))
+    n, end = F.col("doc_id") % 3, F.lit("\n")
+    raw = F.when(n == 0, F.replace("text", end, F.lit("\r\n"))).when(n == 1, F.replace("text", end, F.lit("\r"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", F.md5(text.normalize_lines(raw).cast("binary")).alias("norm"))
 
 
 @query("n07_skill_key", f"SELECT p_partkey AS key, regexp_replace({sql_skill_app(RAW)}, '[^a-z0-9]', '', 'g') AS norm FROM part")
@@ -165,10 +167,10 @@ def dates(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", parsing.parse_date(shown("yyyy-MM-dd", "dd/MM/yyyy")).alias("parsed"), parsing.parse_date(shown("MM/dd/yyyy", "yyyy-MM-dd"), parsing.IMPORT_FORMATS).alias("imported"), parsing.parse_date(F.lit("05/01/69")).alias("pivot"))
 
 
-@query("p11_years_between", f"SELECT o_orderkey AS key, date_diff('day', CAST(o_orderdate AS DATE), {AS_OF}) AS days, year({AS_OF}) - year(o_orderdate) AS cal_years FROM orders")
+@query("p11_years_between", f"SELECT o_orderkey AS key, round(date_diff('day', CAST(o_orderdate AS DATE), {AS_OF}) / 365.25::DOUBLE, 2) AS years, year({AS_OF}) - year(o_orderdate) AS cal_years FROM orders")
 def years(t: Tables) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
-    return t.orders.select(F.col("o_orderkey").alias("key"), F.round(parsing.years_between(d, day()) * 365.25).cast("long").alias("approx"), F.datediff(day(), d).cast("long").alias("days"), parsing.calendar_years(d, day()).cast("long").alias("cal_years")).drop("approx")
+    return t.orders.select(F.col("o_orderkey").alias("key"), parsing.years_between(d, day()).alias("years"), parsing.calendar_years(d, day()).cast("long").alias("cal_years"))
 
 
 @query("p13_experience_score", f"SELECT o_orderkey AS key, round(least((year({AS_OF}) - year(o_orderdate)) / CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 4 AS DOUBLE) ELSE 10.0 END, 1.0), 6) AS exp_score FROM orders")
@@ -228,9 +230,8 @@ def preprocess(t: Tables) -> DataFrame:
 @query("p24_filename_parse", "SELECT DISTINCT event_type AS job, strftime(ts, '%Y-%m-%d %H:00:00') AS at FROM events")
 def filename(t: Tables) -> DataFrame:
     name = F.concat(F.lit("profile_"), "event_type", F.lit("_"), F.date_format("ts", "yyyyMMdd'T'HH"), F.lit("0000Z.bin"))
-    pattern = r"^profile_(.+)_(\d{8}T\d{6}Z)\.bin$"
-    stamp = F.to_timestamp(F.regexp_extract("f", pattern, 2), "yyyyMMdd'T'HHmmss'Z'")
-    return t.events.select(name.alias("f")).distinct().select(F.regexp_extract("f", pattern, 1).alias("job"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("at"))
+    job, at = readers.filename_parts(F.col("f"))
+    return t.events.select(name.alias("f")).distinct().select(job.alias("job"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("i07_taxonomy_source", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS preferred_label, CAST(CASE WHEN lower(p_brand) = p_name THEN 1 ELSE 3 END AS INTEGER) AS n_labels FROM part")
@@ -251,9 +252,13 @@ def reference(t: Tables) -> DataFrame:
     return readers.reference_scores(frame).agg(F.count("*").alias("rows"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query("i14_drift_event_days", "SELECT strftime(ts, '%Y-%m-%d') AS day_utc, count(*) AS n FROM events GROUP BY 1")
+@query("i14_drift_event_days", "SELECT strftime(ts, '%Y-%m-%d') AS day_utc, count(*) AS n, round(sum((event_id % 64) / 256.0::DOUBLE), 6) AS psi, (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS failures FROM events WHERE event_id % 7 > 0 GROUP BY 1")
 def event_days(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.substring(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), 1, 10).alias("day_utc")).agg(F.count("*").alias("n"))
+    n = F.col("event_id")
+    whole = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp_utc"), F.lit("x").alias("job_title"), (n % 64 / 256.0).alias("score_psi")))
+    log = t.events.select(F.explode(F.array(F.when(n % 7 == 0, F.substring(whole, 1, 30)).otherwise(whole), F.lit("  "))).alias("value"))
+    good, bad = readers.parse_drift_lines(log)
+    return good.groupBy("day_utc").agg(F.count("*").alias("n"), F.round(F.sum("score_psi"), 6).alias("psi")).crossJoin(bad)  # one row
 
 
 @query("i16_extract_cleanup", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10)||chr(10), 'g'), chr(32)||chr(10)||chr(13)||chr(160))) AS cleaned FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.plans import analysis, scalar  # noqa: F401
+from matchloom.plans import analysis, flows, scalar  # noqa: F401
 from matchloom.plans.book import QUERIES, SQL
 
 

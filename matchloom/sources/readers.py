@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,16 +23,23 @@ def read_pairs(spark: SparkSession, path: str, schema: str = PAIR) -> DataFrame:
     if kind in ("jsonl", "ndjson"):
         return spark.read.schema(schema).json(path)
     if kind == "json":
-        whole = spark.read.option("wholetext", True).text(path)
-        row = T._parse_datatype_string(schema)
-        listed = F.from_json("value", T.ArrayType(row))
-        held = F.from_json("value", T.StructType().add("pairs", T.ArrayType(row)))["pairs"]
-        return whole.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(held)).alias("p")).select("p.*")
+        # one read fits both forms: an element of a list is a row, an object with ``pairs`` a row that holds them all
+        own = T._parse_datatype_string(schema)
+        rows = spark.read.schema(T.StructType([*own.fields, T.StructField("pairs", T.ArrayType(own))])).option("multiLine", True).json(path)
+        single = F.array(F.struct(*[F.col(f.name) for f in own.fields]))
+        return rows.select(F.explode(F.coalesce("pairs", single)).alias("p")).select("p.*")
     if kind == "csv":
         return read_csv(spark, path)
     raise ValueError(f"unsupported input format: {path}")
 
 
+def filename_parts(name: Column) -> tuple[Column, Column]:
+    """(job, time) of a profile file's name, ``profile_<job>_<yyyymmdd>T<hhmmss>Z.bin``; nulls for other names."""
+    pattern = r"^profile_(.+)_(\d{8}T\d{6}Z)\.bin$"
+    part = lambda k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
+    return part(1), F.to_timestamp(part(2), "yyyyMMdd'T'HHmmss'Z'")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", empty: str | None = None) -> DataFrame:
     """All columns as text, quoted fields over several lines; with ``empty`` nulls become that text."""
     out = spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', encoding=encoding)
@@ -66,13 +73,17 @@ def reference_scores(frame: DataFrame) -> DataFrame:
     return frame.select(parsing.score01(name).alias("score"), label.alias("label")).where("score is not null")
 
 
+def parse_drift_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events with ``day_utc``, a one-row count of lines that can't be read) of rows ``value``; blank lines are neither. A
+    bad line is no failure."""
+    some = lines.where(F.trim("value") != "")
+    parsed = some.select(F.from_json("value", DRIFT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("e"))
+    good = parsed.where("e is not null and e.broken is null").select("e.*").withColumn("day_utc", F.substring("timestamp_utc", 1, 10)).drop("broken")
+    return good, parsed.agg(F.count_if(F.expr("e is null or e.broken is not null")).alias("failures"))
+
+
 def read_drift_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events with ``day_utc``, a one-row count of lines that can't be read); a bad line is no failure."""
-    rows = spark.read.schema(DRIFT).option("columnNameOfCorruptRecord", "broken").option("mode", "PERMISSIVE").json(path)
-    good = rows.where("broken is null").withColumn("day_utc", F.substring("timestamp_utc", 1, 10)).drop("broken")
-    raw = spark.read.text(path).where(F.trim("value") != "")
-    bad = raw.agg(F.count_if(F.from_json("value", DRIFT.replace(", broken string", ""), {"mode": "PERMISSIVE"}).isNull() | ~F.rtrim("value").endswith("}")).alias("failures"))
-    return good, bad
+    return parse_drift_lines(spark.read.text(path))
 
 
 def split_labels(column: str):
