@@ -34,28 +34,27 @@ class Capacity:
     rule: str = "norm"
 
 
-#: The tokenizer file's own split pattern, and words whose lower case and normal form are plain (no white
-#: space or controls, no letter that changes its length in lower case).
+#: The tokenizer file's own split pattern; the same for texts of plain characters (whose lower case and normal
+#: form are plain, and whose letters and digits Python's own classes tell); and those characters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f]+"
+PLAIN_SPLIT = r"[^\W\d_]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+"
+PLAIN = "[ \n!-~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017f]*"
 
 
 class WordIds(dict):
-    """Token ids by white-space word, remembered. The tokenizer's matches never hold a space or a line feed and its
-    normaliser works within words, so cutting there changes no ids; other white space stays with its word. A plain word
-    is split by the tokenizer's pattern and its parts, which many words share, go to the merges alone; any other word
-    goes through the whole tokenizer."""
+    """Token ids by parts of texts, remembered. A plain text is cut into lower-cased parts by the tokenizer's pattern, and
+    its parts, which many texts share, go to the merges alone. Any other text is cut at spaces and line feeds, which the
+    tokenizer's matches never hold and its normaliser works within, and its words go through the whole tokenizer; such a
+    word's key has a space before it."""
 
     def __init__(self, path: str, limit: int) -> None:
         import re
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain, self.split = re.compile(PLAIN).fullmatch, regex.compile(SPLIT).findall
+        self.plain, self.split = re.compile(PLAIN).fullmatch, re.compile(PLAIN_SPLIT).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
         self.limit = limit
@@ -63,39 +62,38 @@ class WordIds(dict):
 
     def clear(self) -> None:
         super().clear()
-        self.parts: dict[str, list[int]] = {}
         self.pool, self.ends = array("H"), array("q", [0])
 
-    def part(self, text: str) -> list[int]:
-        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)
-        own = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return own
-
-    def word(self, word: str) -> list[int]:
-        if not self.plain(word) or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self.split(word.lower())
-        if len(found) == 1:
-            return self.parts.get(found[0]) or self.part(found[0])
-        return [i for x in found for i in (self.parts.get(x) or self.part(x))]
-
-    def __missing__(self, word: str) -> int:
-        self.pool.extend(self.word(word))
-        at = self[word] = len(self.ends) - 1
+    def parts(self, text: str) -> list[str]:
+        if self.plain(text) and "<|" not in text:
+            return self.split(text.lower())
+        return [f" {w}" for w in text.replace("\n", " ").split(" ")]
+
+    def __missing__(self, part: str) -> int:
+        if part[0] == " ":
+            ids = self.tokenizer.encode(part[1:], add_special_tokens=False).ids
+        else:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        self.pool.extend(ids)
+        at = self[part] = len(self.ends) - 1
         self.ends.append(len(self.pool))
         return at
 
-    def texts(self, texts: list[list[str]]) -> Iterator[np.ndarray]:
-        """The ids of each text, given as its words."""
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         if len(self) > self.limit:
             self.clear()
-        numbers = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        numbers = []
+        for text in texts:
+            parts = self.parts(text)
+            numbers.append(np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)))
         pool, ends = np.array(self.pool), np.array(self.ends)
         sizes = np.diff(ends)
         for at in numbers:
             n = sizes[at]
             last = np.cumsum(n)
-            yield pool[np.repeat(ends[at] - last + n, n) + np.arange(last[-1])]
+            yield pool[np.repeat(ends[at] - last + n, n) + np.arange(last[-1])] if len(at) else pool[:0]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, memo: int = 600_000) -> DataFrame:
@@ -108,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
         words = WordIds(tokenizer, memo)
         gc.disable()  # the memo's many small lists are no garbage
         for batch in per_batch(batches, 128):
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             out = [[], [], [], [], []]
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), words.texts(texts), strict=True):
                 own = np.append(own, end_id).astype("<u4")
