@@ -504,7 +504,12 @@ def stream(t: Tables) -> DataFrame:
     return t.spark.table(name).select("day", "job", "n", F.round(F.col("mean") * F.col("n"), 4).alias("total"))
 
 
-@query("t06_rate_limit")
+@query("t06_rate_limit", """
+WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS k, trunc(epoch(ts) / 600.0::DOUBLE * 1000000.0::DOUBLE) / 1000000.0::DOUBLE AS t FROM events),
+o AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) AS rn FROM a),
+r AS (SELECT k, CAST(1 AS BIGINT) AS rn, [t] AS held, true AS ok FROM o WHERE rn = 1 UNION ALL
+  SELECT k, rn, CASE WHEN len(f) < 10 THEN list_append(f, t) ELSE f END, len(f) < 10 FROM (SELECT o.k, o.rn, o.t, list_filter(r.held, lambda x: x > o.t - 60) AS f FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1))
+SELECT k, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM r GROUP BY 1""")
 def rate_limit(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", (F.col("ts").cast("timestamp").cast("double") / 600.0).cast("timestamp").alias("ts"))
     return monitor.rate_limit(rows).groupBy("k").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))

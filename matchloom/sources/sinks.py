@@ -23,8 +23,8 @@ def ingest(spark: SparkSession, source: str, target: str) -> int:
 
 
 def append_csv(rows: DataFrame, path: str) -> None:
-    """Adds files to an append-only log; every file has a header."""
-    rows.write.mode("append").option("header", True).csv(path)
+    """Adds files to an append-only log; every file has a header, and quotes are doubled, as the readers expect them."""
+    rows.write.mode("append").option("header", True).option("escape", "\"").csv(path)
 
 
 def append_events(rows: DataFrame, path: str) -> None:
