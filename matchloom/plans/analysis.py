@@ -481,12 +481,12 @@ def daily_drift(t: Tables) -> DataFrame:
 
 @query("a14_daily_summary", f"""WITH {EV_SQL}, p AS (SELECT strftime(ts, '%Y-%m-%d') AS d, job, count(*) AS n, avg(score) AS m, stddev_samp(score) AS s, min(score) AS lo, max(score) AS hi FROM e GROUP BY 1, 2),
 dr AS (SELECT day_utc, count(*) AS c, max(score_psi) AS psi, max(abs(calibration_drift)) AS cal FROM ({DRIFT_ROWS}) GROUP BY 1)
-SELECT d AS day_utc, count(*) AS profiles_count, CAST(sum(n) AS BIGINT) AS rows_total, round(sum(m * n) / sum(n), 4) AS mean_weighted, round(sum(s * n) / sum(n), 4) AS stddev_weighted, round(min(lo), 6) AS min_score, round(max(hi), 6) AS max_score, any_value(dr.c) AS drift_events_count, (any_value(dr.psi) >= 0.2 OR any_value(dr.cal) >= 0.05) AS retrain_trigger
+SELECT d AS day_utc, count(*) AS profiles_count, CAST(sum(n) AS BIGINT) AS rows_total, round(sum(m * n) / sum(n), 6) AS mean_weighted, round(sum(s * n) / sum(n), 6) AS stddev_weighted, round(min(lo), 6) AS min_score, round(max(hi), 6) AS max_score, any_value(dr.c) AS drift_events_count, (any_value(dr.psi) >= 0.2 OR any_value(dr.cal) >= 0.05) AS retrain_trigger
 FROM p LEFT JOIN dr ON day_utc = d GROUP BY d""")
 def daily_summary(t: Tables) -> DataFrame:
     p = monitoring.profile_rows(events(t).withColumn("day_utc", F.date_format("ts", "yyyy-MM-dd")), "day_utc", "job").withColumnRenamed("job", "job_title")
     s = monitoring.daily_summary(p, monitoring.daily_drift(drift_rows(t)))
-    return s.select("day_utc", "profiles_count", "rows_total", F.round("mean_weighted", 4).alias("mean_weighted"), F.round("stddev_weighted", 4).alias("stddev_weighted"), "min_score", "max_score", "drift_events_count", "retrain_trigger")
+    return s.select("day_utc", "profiles_count", "rows_total", "mean_weighted", "stddev_weighted", "min_score", "max_score", "drift_events_count", "retrain_trigger")
 
 
 @query("t05_daily_tumbling", f"WITH {EV_SQL} SELECT CAST(ts AS DATE) AS day, job, count(*) AS n, round(sum(score), 4) AS total FROM e GROUP BY 1, 2")

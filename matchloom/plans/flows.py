@@ -77,11 +77,11 @@ def if_match(t: Tables) -> DataFrame:
     return listing.if_match(rows, asked, "key", tag).select("key", "outcome")
 
 
-@query("a22_latency", """WITH v AS (SELECT event_type, user_id % 50 AS g, value / 1000 AS s FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY event_type, g ORDER BY s) AS at_, count(*) OVER (PARTITION BY event_type, g) AS n FROM v),
+@query("a22_latency", """WITH v AS (SELECT event_type, user_id % 50 AS g, ln(1 + value) / 1000 AS s FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY event_type, g ORDER BY s) AS at_, count(*) OVER (PARTITION BY event_type, g) AS n FROM v),
 p AS (SELECT *, least(greatest((n * 19 + 19) // 20, 1), n - 1) AS low FROM o)
 SELECT event_type, g, count(*) AS n, round(avg(s) * 1000, 2) AS avg_ms, round(CASE WHEN any_value(n) >= 20 THEN sum(CASE WHEN at_ = low THEN s * (1.0::DOUBLE - (n * 19 + 19 - low * 20) / 20.0::DOUBLE) WHEN at_ = low + 1 THEN s * ((n * 19 + 19 - low * 20) / 20.0::DOUBLE) ELSE 0.0 END) ELSE max(s) END * 1000, 2) AS p95_ms FROM p GROUP BY 1, 2""")
 def latency(t: Tables) -> DataFrame:
-    rows = t.events.select("event_type", (F.col("user_id") % 50).alias("g"), (F.col("value") / 1000).alias("s"))
+    rows = t.events.select("event_type", (F.col("user_id") % 50).alias("g"), (F.log1p("value") / 1000).alias("s"))
     return metrics.latency(rows, "s", "event_type", "g")
 
 
