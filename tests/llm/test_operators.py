@@ -27,10 +27,17 @@ ODD = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+#: Names that the operators use inside.
+CLASHES = (
+    "h", "g", "cid", "n", "sig", "piece", "length", "score", "kept", "root", "shard", "slot", "block", "media", "pos", "t", "t_", "site", "line", "key", "toxic", "page_id", "url", "rule",
+    "id_", "of_", "drop_", "size_", "crc_", "hash_", "row_", "of_row_", "of_id_", "of_text_", "text_hash_", "lines_removed_", "cell", "sub", "curve", "law", "level", "part", "keys", "counts", "words", "base_failed",
+)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = spark.createDataFrame(ODD, SCHEMA)
-    return rows.withColumns({c: F.lit("clash") for c in ("h", "cid", "n", "piece", "length", "score", "kept", "root", "shard", "block", "media", "pos")})
+    return rows.withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -658,6 +665,27 @@ def test_against_sql(spark, name):
     same(entry.queries()[name](spark, SMALL), connect(SMALL).sql(entry.oracle_sql()[name]))
 
 
+def test_lines_keep_the_callers_columns(spark):
+    from matchloom.llm.line_dedup import dedup_lines
+
+    rows = spark.createDataFrame([(k, f"own {k}\nshared", f"s{k}") for k in range(9)], "doc_id long, text string, source string")
+    mine = rows.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    out = dedup_lines(mine, removed="gone")
+    assert out.columns == [*mine.columns, "gone"]
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES) and r.gone == (r.doc_id > 0)
+        assert r.text == (f"own {r.doc_id}\nshared" if r.doc_id == 0 else f"own {r.doc_id}")
+
+
+def test_line_keys_are_independent(spark):
+    """The second hash isn't one of the first: chained seeds would collide together."""
+    from matchloom.llm.line_dedup import line_key
+
+    h, g = line_key(F.col("x"))
+    r = spark.createDataFrame([("a line",)], "x string").select(h.alias("h"), g.alias("g"), F.xxhash64("x", F.lit("second")).alias("chained")).first()
+    assert len({r.h, r.g, r.chained}) == 3
+
+
 def test_spread_near_the_threshold_is_exact(spark):
     from matchloom.llm.line_dedup import LineSpread, dedup_lines
 
@@ -671,12 +699,13 @@ def test_spread_near_the_threshold_is_exact(spark):
 
 
 def operators():
-    from matchloom.llm import hilbert_shards, jaccard_join, line_dedup, lm_scores, packing, piece_sampling, quality_rules, toxicity, transport_stream
+    from matchloom.llm import hilbert_shards, jaccard_join, line_dedup, lm_scores, packing, piece_sampling, quality_rules, toxicity, transport_stream, url_filters
 
     return {
         "1": lambda d: packing.pack_documents(d, tokenizer("word_bpe_49k.json")),
         "2": lambda d: piece_sampling.sampled_segmentations(d, tokenizer("piece_bpe_32k.model")),
         "3": quality_rules.quality,
+        "4": lambda d: url_filters.filter_urls(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), "rule", "h", "key", "lang")),
         "5": hilbert_shards.sharded,
         "6": transport_stream.media_report,
         "7": lambda d: toxicity.toxicity(d, d.select("doc_id", F.lit(None).cast("int").alias("toxic"))),
@@ -686,15 +715,16 @@ def operators():
     }
 
 
-@pytest.mark.parametrize("n", ["1", "2", "3", "5", "6", "7", "8", "9", "10"])
+@pytest.mark.parametrize("n", ["1", "2", "3", "4", "5", "6", "7", "8", "9", "10"])
 def test_odd_and_empty_tables(odd, none, n):
     rows = operators()[n](odd).collect()
     want = Counter(r[0] for r in ODD)
-    got = Counter(r.doc_id for r in rows)
+    got = Counter(r.page_id if n == "4" else r.doc_id for r in rows)
     assert set(got) == set(want)
-    if n in ("3", "5", "6", "7", "8", "9", "10"):
+    if n in ("3", "4", "5", "6", "7", "8", "9", "10"):
         assert got == want
-    assert operators()[n](none).collect() == []
+    empty = none.withColumns({c: F.lit("clash") for c in CLASHES})
+    assert operators()[n](empty).collect() == []
     if n == "10":
         assert {r.doc_id: r.component_id for r in rows}[6] == 1
     if n == "6":
