@@ -93,10 +93,13 @@ def detect(docs: DataFrame, known: DataFrame, least: float = 0.6, with_fuzzy: bo
     n-grams from .90, capped at .82, phrases from .88. With ``semantic`` (a function from text to a unit vector, and a least
     cosine) phrases count by their vectors too, .92 at most. Of equal confidences an n-gram's source comes before a phrase's."""
     index = alias_index(known)
-    # n-grams hold normalised characters alone: only the version tail is left to take off
-    plain = F.regexp_replace("gram", text.VERSION_TAIL, "")
-    firsts = F.regexp_replace(F.regexp_replace(plain, r"(^| )([^ ])[^ ]*", "$2"), "[^a-z0-9]", "")
-    grams = ngram_rows(docs).select("doc_id", F.regexp_replace(plain, "[^a-z0-9]", "").alias("key"), firsts.alias("short")).where("key <> ''").distinct()
+    # n-grams hold normalised characters alone: only the version tail is left to take off, where a digit ends one, and what
+    # is no letter or digit is one of a few marks
+    ends = F.right("gram", F.lit(1)).between("0", "9")
+    plain = F.when(ends, F.regexp_replace("gram", text.VERSION_TAIL, "")).otherwise(F.col("gram"))
+    bare = lambda c: F.translate(c, "+.#/- ", "")
+    firsts = F.array_join(F.transform(F.split(F.col("plain"), " "), lambda w: F.left(w, F.lit(1))), "")
+    grams = ngram_rows(docs).select("doc_id", plain.alias("plain")).select("doc_id", bare(F.col("plain")).alias("key"), bare(firsts).alias("short")).where("key <> ''").distinct()
     by_key = grams.join(index, grams["key"] == index["alias"]).select("doc_id", "canonical", F.when(F.col("kind") == "key", 0.98).otherwise(0.90).alias("conf"), F.when(F.col("kind") == "key", "exact").otherwise("synonym").alias("source"))
     by_short = grams.join(index, (grams["short"] == index["alias"]) & (F.length(grams.short) > 0)).select("doc_id", "canonical", F.lit(0.88).alias("conf"), F.lit("synonym").alias("source"))
     said = phrases(sections(docs)).select("doc_id", text.skill_key("phrase").alias("key"), "section", "weight").where("key <> ''").distinct()
