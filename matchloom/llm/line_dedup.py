@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_side, stash
+from .common import BROADCAST_ROWS, fresh, small_side, stash
 
 
 @dataclass(frozen=True)
@@ -31,24 +31,47 @@ def line_key(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit("second"), line)
 
 
-def spread_lines(lines: DataFrame, spec: LineSpread) -> DataFrame:
-    """``h, g``: the lines that are boilerplate, of rows ``h, g, site`` (a null site counts as one site).
+#: A line is frequent if it has more than one in so many of all lines; so there are fewer frequent lines than that.
+FREQUENT = 10_000
+
+
+def line_counts(lines: DataFrame, spec: LineSpread) -> DataFrame:
+    """``h, g, n, about, lo, hi``: occurrences of each line, the estimate of its distinct sites, and two of its sites, equal
+    where it has one only. ``lines``: rows ``h, g, site`` (a null site counts as one site).
 
     Every task sketches the sites of each of its lines, and the sketches of a line are merged by the aggregation: what is
-    shuffled is one sketch for a line and task, however often the line occurs there. Only lines whose estimate is near
-    the threshold are counted exactly."""
+    shuffled is one sketch for a line and task, however often the line occurs there."""
     sketch = F.hll_sketch_agg("site", F.lit(spec.log2_registers))
-    merged = lines.groupBy("h", "g").agg(sketch.alias("sketch"), F.min("site").alias("lo"), F.max("site").alias("hi"))
-    estimates = merged.where("lo <> hi").select("h", "g", F.hll_sketch_estimate("sketch").alias("about"))
+    merged = lines.groupBy("h", "g").agg(F.count("*").alias("n"), sketch.alias("sketch"), F.min("site").alias("lo"), F.max("site").alias("hi"))
+    return merged.select("h", "g", "n", F.when(F.col("lo") == F.col("hi"), 1.0).otherwise(F.hll_sketch_estimate("sketch")).alias("about"))
+
+
+def spread_lines(lines: DataFrame, spec: LineSpread) -> tuple[DataFrame, DataFrame]:
+    """(``h, g`` of the lines that are boilerplate, ``h, g`` of the frequent lines). Lines whose estimate is far from the
+    threshold are decided by it; only those near are counted exactly."""
     margin = max(1.0, spec.sites * spec.band * 1.04 / 2 ** (spec.log2_registers / 2))
-    if spec.sites <= 1:
-        return stash(merged.select("h", "g"))
-    estimates = stash(estimates.where(F.col("about") > spec.sites - margin))
-    far = estimates.where(F.col("about") >= spec.sites + margin).select("h", "g")
-    near = estimates.where(F.col("about") < spec.sites + margin).select("h", "g")
-    some = lines.select("h", "g", "site").join(small_side(near), ["h", "g"], "left_semi").distinct()
-    exact = some.groupBy("h", "g").agg(F.count("site").alias("n")).where(F.col("n") >= spec.sites)
-    return stash(far.unionByName(exact.select("h", "g")))
+    wanted = F.col("about") > (spec.sites - margin if spec.sites > 1 else 0)
+    counts, total = line_counts(lines, spec), lines.agg(F.count("*").alias("n")).first().n
+    often = F.col("n") * FREQUENT > total
+    kept = stash(counts.where(wanted | often).select("h", "g", "about", wanted.alias("wanted"), often.alias("often")))
+    frequent = kept.where("often").select("h", "g")
+    some = kept.where("wanted")
+    far = some.where(F.col("about") >= (spec.sites + margin if spec.sites > 1 else 0)).select("h", "g")
+    near = some.where(F.col("about") < (spec.sites + margin if spec.sites > 1 else 0)).select("h", "g")
+    exact = of_lines(lines.select("h", "g", "site"), near, frequent).distinct().groupBy("h", "g").agg(F.count("site").alias("n")).where(F.col("n") >= spec.sites)
+    return stash(far.unionByName(exact.select("h", "g"))), frequent
+
+
+def of_lines(rows: DataFrame, side: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows joined to a side that has one row for a line. A small side is broadcast. With a large one the frequent
+    lines, fewer than FREQUENT whatever the input, are joined by a broadcast all the same, and only the others, none of
+    which has more than one in FREQUENT of the rows, are dealt by line: no line is a large task."""
+    count = side.count()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), ["h", "g"])
+    hot = F.broadcast(side.join(F.broadcast(frequent), ["h", "g"], "left_semi"))
+    rest = rows.join(F.broadcast(frequent), ["h", "g"], "left_anti").join(side, ["h", "g"])
+    return rows.join(hot, ["h", "g"]).unionByName(rest)
 
 
 def dedup_lines(docs: DataFrame, spec: LineSpread | None = None, site: str = "source", removed: str = "lines_removed_") -> DataFrame:
@@ -67,10 +90,10 @@ def dedup_lines(docs: DataFrame, spec: LineSpread | None = None, site: str = "so
     h, g = line_key(F.col("line"))
     kept = F.col("line").rlike("[^ \\t\\x0B\\f\\r]") if spec.min_words <= 1 else words >= spec.min_words
     lines = ours.where(kept).select("doc_id", "t", "site", "pos", h.alias("h"), g.alias("g"))
-    spread = spread_lines(lines, spec)
-    hits = stash(lines.join(small_side(spread), ["h", "g"]).select("doc_id", "t", "pos", "h", "g"))
-    first = hits.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"))
-    gone = hits.join(small_side(stash(first)), ["h", "g"]).where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("first")))
+    spread, frequent = spread_lines(lines, spec)
+    hits = stash(of_lines(lines, spread, frequent).select("doc_id", "t", "pos", "h", "g"))
+    first = stash(hits.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "pos")).alias("first")))
+    gone = of_lines(hits, first, frequent).where(~F.struct("doc_id", "t", "pos").eqNullSafe(F.col("first")))
     of_id, of_text, drop, own = fresh([*docs.columns, removed], "of_id", "of_text", "drop", "text_hash")
     side = small_side(stash(gone.groupBy(F.col("doc_id").alias(of_id), F.col("t").alias(of_text)).agg(F.collect_set("pos").alias(drop))))
     keyed = docs.withColumn(own, F.xxhash64("text"))

@@ -677,6 +677,17 @@ def test_lines_keep_the_callers_columns(spark):
         assert r.text == (f"own {r.doc_id}\nshared" if r.doc_id == 0 else f"own {r.doc_id}")
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_lines_by_shuffle_and_by_broadcast(spark, docs, monkeypatch, bound):
+    """Sides too large for a broadcast give the same result; the frequent lines go their own way."""
+    from matchloom.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", bound)
+    same(line_dedup.line_report(docs), connect(SMALL).sql(entry.oracle_sql()["op9_line_dedup"]))
+    monkeypatch.setattr(line_dedup, "FREQUENT", 50)
+    same(line_dedup.line_report(docs), connect(SMALL).sql(entry.oracle_sql()["op9_line_dedup"]))
+
+
 def test_line_keys_are_independent(spark):
     """The second hash isn't one of the first: chained seeds would collide together."""
     from matchloom.llm.line_dedup import line_key
