@@ -181,24 +181,26 @@ def embedder(c):
 
 
 WORDS_SQL = "string_split({x}, ' ')"
-@query("m17_semantic", LINES_SQL.rstrip() + f""", own AS (SELECT *, CASE WHEN head THEN CASE WHEN ends_with(rtrim(line), ':') OR up >= 0.75 * le THEN 1.1 ELSE 1.0 END END AS weight_ FROM c),
-most AS (SELECT doc_id, coalesce(section, 'other') AS section, max(weight_) AS m FROM own GROUP BY ALL),
-weights AS (SELECT doc_id, section, CASE WHEN section = 'other' THEN greatest(coalesce(m, 0.85), 0.85) ELSE m END AS weight FROM most),
-parts AS (SELECT doc_id, pos, section, unnest(regexp_split_to_array(body, '[,|;/]+')) AS raw, generate_subscripts(regexp_split_to_array(body, '[,|;/]+'), 1) AS at_ FROM (SELECT doc_id, pos, body, coalesce(section, 'other') AS section FROM c WHERE NOT head)),
-keyed AS (SELECT doc_id, pos, at_, section, {NORM_SQL.format(x='trim(raw)')} AS key FROM parts WHERE trim(raw) <> ''),
-firsts AS (SELECT * FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY pos, at_) = 1),
+#: Phrases and their most similar skill, after the tables ``c``, ``weights`` and ``skill``.
+SEMANTIC_SQL = f"""parts AS (SELECT doc_id, pos, section, unnest(regexp_split_to_array(body, '[,|;/]+')) AS raw, generate_subscripts(regexp_split_to_array(body, '[,|;/]+'), 1) AS at_ FROM (SELECT doc_id, pos, body, coalesce(section, 'other') AS section FROM c WHERE NOT head)),
+spoken AS (SELECT doc_id, pos, at_, section, {NORM_SQL.format(x='trim(raw)')} AS key FROM parts WHERE trim(raw) <> ''),
+firsts AS (SELECT * FROM spoken WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY pos, at_) = 1),
 few AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, at_) <= 200),
-skill AS (SELECT DISTINCT {sql_skill_app('s')} AS canonical FROM (SELECT unnest({list(KNOWN)}) AS s)),
 sv AS (SELECT canonical, {EMBED_SQL.format(w=WORDS_SQL.format(x='canonical'))} AS v FROM skill), pv AS (SELECT key, {EMBED_SQL.format(w=WORDS_SQL.format(x='key'))} AS v FROM (SELECT DISTINCT key FROM few)),
 sim AS (SELECT key, canonical, round(list_sum(list_transform(list_zip(pv.v, sv.v), lambda x: x[1] * x[2])) / sqrt(list_sum(list_transform(pv.v, lambda x: x * x)) * list_sum(list_transform(sv.v, lambda x: x * x))), 9) AS s FROM pv, sv),
-top AS (SELECT key, canonical, s FROM sim QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, canonical) = 1)
-SELECT doc_id, canonical, round(max(least(0.92::DOUBLE, s * weight)), 6) AS conf FROM few JOIN top USING (key) JOIN weights USING (doc_id, section) WHERE s >= 0.65 GROUP BY 1, 2""")
+top AS (SELECT key, canonical, s FROM sim QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, canonical) = 1),
+meant AS (SELECT doc_id, canonical, least(0.92::DOUBLE, s * weight) AS conf, 'semantic:' || section AS source FROM few JOIN top USING (key) JOIN weights USING (doc_id, section) WHERE s >= 0.65)
+"""
+
+
+@query("m17_semantic", DETECT_SQL.rstrip() + ", " + SEMANTIC_SQL + "SELECT doc_id, canonical, round(max(conf), 6) AS conf FROM meant GROUP BY 1, 2")
 def semantic(t: Tables) -> DataFrame:
     hits = skills.semantic_hits(skills.phrases(skills.sections(t.documents)), known(t), embedder)
     return hits.groupBy("doc_id", "canonical").agg(F.round(F.max("conf"), 6).alias("conf"))
 
 
-@query("m17_detect_semantic")
+@query("m17_detect_semantic", DETECT_SQL.rstrip() + ", " + SEMANTIC_SQL + """, every AS (SELECT doc_id, canonical, conf, plain_, source FROM hit UNION ALL SELECT doc_id, canonical, conf, 0, source FROM meant)
+SELECT doc_id, canonical AS skill, round(conf, 2) AS confidence, source FROM every WHERE conf >= 0.6 QUALIFY row_number() OVER (PARTITION BY doc_id, canonical ORDER BY conf DESC, plain_ DESC, source DESC) = 1""")
 def detect_semantic(t: Tables) -> DataFrame:
     """All evidence together, vectors included."""
     return skills.detect(t.documents, known(t), semantic=(embedder, 0.65))
