@@ -86,9 +86,10 @@ class Lattices:
         self.held = [np.zeros(1 << 16, t) for t in (np.float64, np.float64, np.int32, np.int32)]  # bound, chance, piece, back
 
     def __getitem__(self, unit: str) -> int:
-        if unit not in self.units:
-            self.learn([unit])
-        return self.units[unit]
+        """The number of a unit, given with its first space."""
+        if unit[1:] not in self.units:
+            self.learn([unit[1:]])
+        return self.units[unit[1:]]
 
     def prepare(self, wanted: set[str]) -> None:
         """Makes the lattices of these units available. Most units occur once: one that is met for the first time is given
@@ -112,8 +113,8 @@ class Lattices:
         self.learn(self.passing)
 
     def learn(self, units: list[str]) -> None:
-        """Builds the lattices of new units, many at once."""
-        short, long_ = sorted((u for u in units if len(u) <= 64), key=len, reverse=True), [u for u in units if len(u) > 64]
+        """Builds the lattices of new units, many at once. A unit is named without its first space, which all of them have."""
+        short, long_ = sorted((u for u in units if len(u) < 64), key=len, reverse=True), [u for u in units if len(u) >= 64]
         if short:
             self._learn_many(short)
         for unit in long_:
@@ -122,8 +123,8 @@ class Lattices:
     def _learn_many(self, units: list[str]) -> None:
         """Units in order of falling length, position by position: a position has the first of them, so what their
         substrings' hashes and forward sums need lies side by side."""
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(u) for u in units], np.int64)
+        codes = np.frombuffer((SPACE + SPACE.join(units)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array(list(map(len, units)), np.int64) + 1
         starts = np.cumsum(sizes) - sizes
         powers, inverses = self.powers_to(int(sizes[0]))
         hashed, forward, out = [np.zeros(len(units), np.uint64)], [np.zeros(len(units))], []
@@ -156,7 +157,7 @@ class Lattices:
 
     def _learn_one(self, unit: str) -> None:
         """One long unit: all its substrings' hashes at once, forward sums position by position."""
-        codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer((SPACE + unit).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         total = len(codes)
         powers, inverses = self.powers_to(total)
         sums = np.cumsum(np.r_[np.uint64(0), (codes + np.uint64(1)) * inverses[:total]], dtype=np.uint64)
@@ -401,12 +402,13 @@ def ids_of_all(a: tuple[np.ndarray, ...], samples: list[Sample], lattices: Latti
 
 
 def text_units(text: str, lattices: Lattices) -> list[str]:
-    """The units of a text: its words, each with the space before it (the text's first word has one too)."""
+    """The units of a text, each without its first space: its words (the text's first word has a space before it too);
+    more spaces in a row belong to the unit that they begin."""
     if not text:
         return []
     if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-        return lattices.split(SPACE + text.replace(" ", SPACE))
-    return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
+        return [unit[1:] for unit in lattices.split(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
 
 
 def decode_ids(ids: list[int], model) -> str:
