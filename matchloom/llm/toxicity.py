@@ -66,16 +66,6 @@ def swaps(lines: tuple[str, ...] = IDENTITY_TERMS) -> dict[bytes, bytes]:
     return out
 
 
-def twin_of(words: list[bytes], other: dict[bytes, bytes], at: int) -> list[bytes]:
-    """The counterfactual twin of a labelled sentence: each group name swapped for the next of its kind; a sentence that
-    names no group gets a neutral mention of one (the ``at``-th, in turn), at that place. Its label holds for the twin."""
-    twin = [w.replace(core, other[core]) if (core := w.strip(EDGES)) in other else w for w in words]
-    if twin == words and other:
-        place = at % (len(words) + 1)
-        twin = [*words[:place], sorted(other)[at % len(other)], *words[place:]]
-    return twin
-
-
 def word_features(word: bytes, bits: int) -> list[int]:
     """Hashed features of a word: itself without marks at its ends, and its beginnings of three to eight bytes."""
     core = word.strip(EDGES)
@@ -94,6 +84,20 @@ def text_features(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray
     return found, np.bincount(back, n, len(found)).astype(np.int32)
 
 
+def twin_features(words: list[bytes], own: tuple[np.ndarray, np.ndarray], other: dict[bytes, bytes], at: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a labelled sentence's counterfactual twin, given its own: each group name is swapped for the next of its
+    kind; a sentence that names no group gets a neutral mention of one (the ``at``-th, in turn), which adds that word's
+    features. The sentence's label holds for the twin."""
+    twin = [w.replace(core, other[core]) if (core := w.strip(EDGES)) in other else w for w in words]
+    if twin != words:
+        return text_features(twin, bits)
+    if not other:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    more = np.array(word_features(sorted(other)[at % len(other)], bits), np.int32)
+    found, back = np.unique(np.concatenate([own[0], more]), return_inverse=True)
+    return found, np.bincount(back, np.concatenate([own[1], np.ones(len(more), np.int32)]), len(found)).astype(np.int32)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, spec: ToxicityModel) -> DataFrame:
     """``key, toxic, ids, n, ids2, n2``: features of the sampled rows and of their counterfactual twins (none where no
     terms are given); at most ``sample`` documents of each class, so its size is bounded."""
@@ -109,8 +113,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, spec: ToxicityModel) -> Da
             rows = []
             for text, key in zip(utf8(batch.column("text")), batch.column("key").to_pylist(), strict=True):
                 words = (text or b"").lower().split()
-                twin = twin_of(words, other, key & 0xFFFFFFFF)
-                rows.append((*text_features(words, bits), *(text_features(twin, bits) if twin != words else ([], []))))
+                own = text_features(words, bits)
+                rows.append((*own, *twin_features(words, own, other, key & 0xFFFFFFFF, bits)))
             yield batch_of(schema, (batch.column("key"), batch.column("toxic"), *zip(*rows, strict=True)))
 
     ours = docs.select("doc_id", "text").join(picked, "doc_id").select("text", F.xxhash64("doc_id", "text").alias("key"), F.col("toxic").cast("int").alias("toxic"))

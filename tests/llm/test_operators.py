@@ -561,6 +561,15 @@ def test_every_labelled_sentence_has_a_twin(spark):
     assert rows.count() > 100 and rows.where("size(ids2) = 0 or (ids2 = ids and n2 = n)").count() == 0
 
 
+def test_twins_swap_names_or_get_one():
+    from matchloom.llm.toxicity import swaps, text_features, twin_features
+
+    other = swaps(("red blue green",))
+    features = lambda text: [x.tolist() for x in text_features(text.split(), 22)]
+    for text, twin, at in ((b"a red, dog", b"a blue, dog", 0), (b"a dog dog", b"a dog dog blue", 0), (b"a dog dog", b"a dog dog red", 2), (b"", b"green", 1)):
+        assert [x.tolist() for x in twin_features(text.split(), text_features(text.split(), 22), other, at, 22)] == features(twin)
+
+
 def test_pairing_takes_the_weight_off_group_names(spark):
     """Toxic rows name a group far more often than clean ones. Without the penalty neutral mentions of it are taken for
     toxic; with it they are not, and the toxic rows are still caught."""
