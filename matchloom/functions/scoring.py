@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the features; the weights of the scores below are fixed values too.
 FEATURES = ("skill_overlap", "missing_skill_ratio", "experience_gap", "experience_surplus", "semantic_similarity", "performance_score", "engagement_score", "satisfaction_score", "tenure_years", "currently_active")
 #: Inner edges of ten equal bins as 64-bit floats give them.
 EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)

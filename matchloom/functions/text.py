@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters that a skill keeps, and a version at its end.
 SKILL_CHARS = r"[^a-z0-9+.#/\-\s]"
 VERSION_TAIL = r"(?<=\D)\d+(\.\d+)*$"
 #: Python's and Unicode's white space that a plain trim leaves.
@@ -129,6 +130,7 @@ def profile_text(position: Column, department: Column, skills: Column) -> Column
 
 
 def reason_text(feature: Column, value: Column, contribution: Column) -> Column:
+    # fixed values: the sentences
     two = F.format_string("%.2f", value)
     said = F.when(feature == "skill_overlap", F.concat(F.lit("Strong skill overlap ("), two, F.lit(").")))
     for name, start, end in (("experience_surplus", "Experience exceeds requirement (", " years)."), ("experience_gap", "Low experience gap (", " years)."), ("semantic_similarity", "High semantic similarity (", ")."), ("performance_score", "Good performance history (", ").")):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import ranker
 
+# Fixed value: the name in the metadata.
 MODEL_NAME = "candidate_matcher"
 
 
