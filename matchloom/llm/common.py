@@ -152,23 +152,28 @@ def fresh(columns: Iterable[str], *stems: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Gives what was held and is free by now back to the system."""
+    import ctypes
+    import gc
+
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def tidy(run):
     """Gives what a finished task's memo held back to the system: a Python worker lives on for the next task, which may be
     another operator's."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-        import gc
-
         try:
             yield from run(batches)
         finally:
-            gc.enable()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not glibc
-                pass
+            trim()
 
     return wrapped

@@ -1,4 +1,5 @@
-"""Quality rules: base counts of a text and a modified Kneser-Ney perplexity with bands for each language."""
+"""Quality rules: base counts of a text and modified Kneser-Ney perplexities, of its symbols and of its words, with bands for
+each language."""
 
 from __future__ import annotations
 
@@ -7,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, batch_of, grams, modest_batches, per_batch, small_side, stash, tidy, utf8
+from .lm_scores import Backoff, press_keys
+from .word_model import press_numbers, with_nats
 
 ORDER, BITS = 4, 6
 
@@ -18,8 +21,8 @@ ORDER, BITS = 4, 6
 @dataclass(frozen=True)
 class QualityRules:
     """Fewest words, greatest share of repeated words (per cent), width of the perplexity bands in spreads of the
-    language's own log perplexities (median to a quartile) with least spreads (by symbol, and by word), and bytes of
-    models in one broadcast."""
+    language's own log perplexities (median to a quartile) with least spreads (by symbol, and by word), bytes of
+    models of symbols in one broadcast, order of the model of words, and least words of one of its blocks."""
 
     min_words: int = 50
     max_repeat: int = 50
@@ -28,12 +31,14 @@ class QualityRules:
     least_spread: float = 0.005
     least_word_spread: float = 0.5
     model_bytes: int = 128 << 20
+    word_order: int = 2
+    block_words: int = 250_000
 
 
 def symbols() -> np.ndarray:
     """byte -> one of 64 symbols. 0 bounds texts; then white space and line ends, a-z, capitals (vowel or not), digits,
     marks, and the bytes of other scripts folded by their low bits. So there are at most 64^4 n-grams of four symbols in
-    any corpus, and a model has a bounded size."""
+    any corpus, and a model has a bounded size. What is folded here is told apart by the model of words."""
     out = np.zeros(256, np.uint8)
     for b in range(256):
         c = chr(b)
@@ -78,13 +83,18 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def with_copies(docs: DataFrame, *more: Column) -> DataFrame:
+    """``lang, text, copies``: in how many rows the language has the text."""
+    source = docs.select(*more, F.coalesce("lang", F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("t_"))
+    copied = stash(source.groupBy("lang", "t_").agg(F.count("*").alias("copies")).where("copies > 1"))
+    return source.join(small_side(copied), ["lang", "t_"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("t_")
+
+
 def ngram_counts(docs: DataFrame) -> DataFrame:
     """``lang, key, n`` over the different texts of each language, so that copies add nothing; each task sums its own
     n-grams before the shuffle. Texts with equally many copies are summed together and divided by that number, which
     moves no texts."""
     schema = pa.schema([("lang", pa.string()), ("copies", pa.int64()), ("key", pa.int32()), ("n", pa.int64())])
-    source = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("t_"))
-    copied = stash(source.groupBy("lang", "t_").agg(F.count("*").alias("copies")).where("copies > 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -101,8 +111,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for (lang, copies), (k, n) in total.items():
             yield batch_of(schema, ([lang] * len(k), [copies] * len(k), k.astype(np.int32), n))
 
-    counted = source.join(small_side(copied), ["lang", "t_"], "left").select("lang", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
-    parts = counted.mapInArrow(tidy(run), "lang string, copies long, key int, n long")
+    parts = with_copies(docs).mapInArrow(tidy(run), "lang string, copies long, key int, n long")
     # the sum of n / copies is a whole number but for the last bits
     return parts.groupBy("lang", "key").agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("long").alias("n"))
 
@@ -158,14 +167,14 @@ def log_probs(model: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def base_counts(text: bytes, words: WordHashes) -> tuple[int, int, int, int, int]:
-    """Words, code points in words, symbol characters, repeated lines, words in repeated three-word windows."""
-    own = text.split()
+def base_counts(text: bytes, own: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Words, code points in words, symbol characters, repeated lines, words in repeated three-word windows; ``own``: the
+    hashes of the words."""
     bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeated = 0
     if len(own) >= 3:
-        _, back, n = np.unique(grams(words.of(own), 3), return_inverse=True, return_counts=True)
+        _, back, n = np.unique(grams(own, 3), return_inverse=True, return_counts=True)
         windows = np.flatnonzero(n[back] > 1)
         covered = np.zeros(len(own), bool)
         for k in range(3):
@@ -174,7 +183,8 @@ def base_counts(text: bytes, words: WordHashes) -> tuple[int, int, int, int, int
     return len(own), int(bytes_[IS_CHAR].sum()), int(bytes_[IS_SYMBOL].sum()), len(lines) - len(set(lines)), repeated
 
 
-FIELDS = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, word_ppl double")
+FIELDS = ("doc_id", "lang", "copies", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "word_ppl")
+KINDS = {"lang": ("string", pa.string()), "log_ppl": ("double", pa.float64()), "word_ppl": ("double", pa.float64())}
 
 
 def language_groups(counts: DataFrame, rules: QualityRules) -> list[list[str]]:
@@ -201,64 +211,96 @@ def models_of(counts: DataFrame, languages: list[str]) -> dict[str, dict[str, np
 
 
 def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Base counts and log perplexities (by symbol, and by word) of every text; the driver holds the models of one group of
-    languages at a time, and each group is one broadcast."""
+    """Base counts and log perplexities of every text: by symbol and by word of the model of symbols, and by word of the
+    model of words (``lm_ppl``). The driver holds the models of symbols of one group of languages at a time, and each group
+    is one broadcast; the words go on as blocks (see ``word_model``)."""
     counts = stash(ngram_counts(docs))
     groups = language_groups(counts, rules)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("log_ppl", pa.float64()), ("word_ppl", pa.float64())])
-    source = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), *[F.xxhash64("text").alias(k) for k in keys])
-    schema = pa.schema([*schema, *((k, pa.int64()) for k in keys)])
-    fields = FIELDS + "".join(f", {k} long" for k in keys)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    block_words, parts = Backoff(block_words=rules.block_words, row=500).sizes(size // 6)  # about so many words
+    fields = (*FIELDS, *keys)
+    kinds = [KINDS.get(c, ("long", pa.int64())) for c in fields]
+    schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, (_, t) in zip(fields, kinds, strict=True)), ("numbers", pa.binary()), ("words", pa.binary())])
+    source = with_copies(docs, F.col("doc_id"), *[F.xxhash64("text").alias(f"key{k}") for k in range(len(keys))]).withColumn("text", F.coalesce("text", F.lit("")))
     out = None
     for k, group in enumerate(groups):
         shared = docs.sparkSession.sparkContext.broadcast(models_of(counts, group))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, models = WordHashes(), shared.value
+        def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            words, models, made, total = WordHashes(), shared.value, 0, 0
+            rows: list[tuple] = []
+            hashes: list[np.ndarray] = []
+
+            def block() -> pa.RecordBatch:
+                own, numbers = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
+                number = (k << 24 | TaskContext.get().partitionId()) << 24 | made
+                return batch_of(schema, ([number], *([list(x)] for x in zip(*rows, strict=True)), [press_numbers(numbers.astype(np.uint32))], [press_keys(own)]))
+
             for batch in per_batch(batches, 64):
-                langs, texts = batch.column("lang").to_pylist(), utf8(batch.column("text"))
-                rows = [base_counts(t, words) for t in texts]
-                nats = [float(-log_probs(models[g], keys_of(t)).sum()) if t and g in models else None for g, t in zip(langs, texts, strict=True)]
-                by_symbol = [x if x is None else x / (len(t) + 1) for x, t in zip(nats, texts, strict=True)]
-                by_word = [x if x is None or not r[0] else x / r[0] for x, r in zip(nats, rows, strict=True)]
-                yield batch_of(schema, (batch.column("doc_id").to_pylist(), langs, *zip(*rows, strict=True), by_symbol, by_word, *(batch.column(k) for k in keys)))
+                further = [batch.column(f"key{j}").to_pylist() for j in range(len(keys))]
+                for doc_id, g, copies, t, *more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "copies")), utf8(batch.column("text")), *further, strict=True):
+                    own = words.of(t.split())
+                    base = base_counts(t, own)
+                    nats = float(-log_probs(models[g], keys_of(t)).sum()) if t and g in models else None
+                    rows.append((doc_id, g, copies, *base, nats if nats is None else nats / (len(t) + 1), nats / base[0] if nats is not None and base[0] else None, *more))
+                    hashes.append(own)
+                    total += len(own)
+                if total >= block_words or len(rows) >= 100_000:
+                    yield block()
+                    rows, hashes, total, made = [], [], 0, made + 1
+            if rows:
+                yield block()
 
         own = source
         if len(groups) > 1:  # the last group also has the languages without a model: texts that are all empty
             others = [x for g in groups[:-1] for x in g]
             own = source.where(F.col("lang").isin(group) if k < len(groups) - 1 else ~F.col("lang").isin(others))
-        own = own.mapInArrow(tidy(run), fields)
+        listed = ", ".join(f"{c} array<{t}>" for c, (t, _) in zip(fields, kinds, strict=True))
+        own = own.mapInArrow(tidy(run), f"block long, {listed}, numbers binary, words binary")
         out = own if out is None else out.unionByName(own)
-    return out
+    blocks = stash(out)
+    rows = blocks.select("block", *fields).join(with_nats(blocks, rules.word_order, parts), "block")
+    rows = rows.select(F.inline(F.arrays_zip(*fields, "nats")))
+    return rows.select(*(c for c in fields if c != "copies"), F.when(F.col("n_words") > 0, F.col("nats") / F.col("n_words")).alias("lm_ppl"))
+
+
+def distance(ppl: str, middle: str) -> Column:
+    return (F.col(ppl) - F.col(middle)) * F.sqrt("n_words")
 
 
 def bands(scores: DataFrame, rules: QualityRules, hashed: str) -> DataFrame:
-    """``lang, low, high`` of log perplexity by symbol and ``middle, word_low, word_high`` of log perplexity by word, from
+    """``lang, low, high`` of log perplexity by symbol, ``middle, word_low, word_high`` of log perplexity by word and
+    ``lm_middle, lm_high`` of that of the model of words, from
     the quartiles of each language's different texts (by the hash in column ``hashed``) that pass the base rules. Copies
     count once: a large group of them would be a quartile itself.
 
     The band by word is for the distance from the language's median times the root of the words: a mean over few words
-    spreads more. By symbol, marks after every word are cheap, as they repeat; by word they are dear."""
+    spreads more. By symbol, marks after every word are cheap, as they repeat; by word they are dear. The model of words has
+    no lower bound: a text that it finds likely without the text's own counts has near copies, which is no fault of it."""
     spread = lambda far, middle, least: F.greatest(F.abs(far - middle), F.lit(least))
-    texts = scores.where("not base_failed and log_ppl is not null").select("lang", hashed, "log_ppl", "word_ppl", "n_words").dropDuplicates(["lang", hashed])
-    q = texts.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("word_ppl", 0.5, 10_000).alias("middle"))
+    texts = scores.where("not base_failed and log_ppl is not null").select("lang", hashed, "log_ppl", "word_ppl", "lm_ppl", "n_words").dropDuplicates(["lang", hashed])
+    q = texts.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("word_ppl", 0.5, 10_000).alias("middle"), F.percentile_approx("lm_ppl", 0.5, 10_000).alias("lm_middle"))
     small = F.broadcast(q) if scores.select("lang").distinct().count() < 10_000 else q
-    away = texts.join(small, "lang").select("lang", ((F.col("word_ppl") - F.col("middle")) * F.sqrt("n_words")).alias("away"))
-    w = away.groupBy("lang").agg(F.percentile_approx("away", [0.25, 0.5, 0.75], 10_000).alias("w"))
+    away = texts.join(small, "lang").select("lang", distance("word_ppl", "middle").alias("away"), distance("lm_ppl", "lm_middle").alias("lm_away"))
+    w = away.groupBy("lang").agg(F.percentile_approx("away", [0.25, 0.5, 0.75], 10_000).alias("w"), F.percentile_approx("lm_away", [0.5, 0.75], 10_000).alias("m"))
     least, least_word = rules.least_spread, rules.least_word_spread
     return q.join(w, "lang").select(
-        "lang", "middle",
+        "lang", "middle", "lm_middle",
         (F.col("q")[1] - rules.lower * spread(F.col("q")[0], F.col("q")[1], least)).alias("low"),
         (F.col("q")[1] + rules.upper * spread(F.col("q")[2], F.col("q")[1], least)).alias("high"),
         (F.col("w")[1] - rules.lower * spread(F.col("w")[0], F.col("w")[1], least_word)).alias("word_low"),
         (F.col("w")[1] + rules.upper * spread(F.col("w")[2], F.col("w")[1], least_word)).alias("word_high"),
+        (F.col("m")[0] + rules.upper * spread(F.col("m")[1], F.col("m")[0], least_word)).alias("lm_high"),
     )
 
 
 def quality(docs: DataFrame, rules: QualityRules | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``kept``, ``log_ppl, low, high`` (by symbol), ``word_ppl`` and
-    ``word_away, word_low, word_high``; ``keys`` name further columns, each the 64-bit hash of the text. A text is kept
-    if it passes the base rules and lies inside both bands of its language.
+    ``word_away, word_low, word_high``, ``lm_ppl`` (by word, of the model of words, by all other texts of the language) and
+    ``lm_away, lm_high``; ``keys`` name further columns, each the 64-bit hash of the text. A text is kept if it passes the
+    base rules, lies inside both bands of its language and isn't above the limit of the model of words.
 
     A null text counts as empty: no words, base_failed. A null language is a language of its own. Texts of any length
     are read whole; repeated rows are judged alike and count once in the models and bands; an empty table gives no rows;
@@ -268,7 +310,7 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, keys: tuple[str,
     hashed = keys or ("t_",)
     scores = stash(scored(docs, rules, hashed).withColumn("base_failed", failed))
     limits = stash(bands(scores, rules, hashed[0]))
-    away = (F.col("word_ppl") - F.col("middle")) * F.sqrt("n_words")
-    judged = scores.join(small_side(limits), "lang", "left").withColumn("word_away", away)
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")) & F.col("word_away").between(F.col("word_low"), F.col("word_high")), F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high", "word_ppl", "word_away", "word_low", "word_high", *keys)
+    judged = scores.join(small_side(limits), "lang", "left").withColumn("word_away", distance("word_ppl", "middle")).withColumn("lm_away", distance("lm_ppl", "lm_middle"))
+    inside = F.col("log_ppl").between(F.col("low"), F.col("high")) & F.col("word_away").between(F.col("word_low"), F.col("word_high")) & (F.col("lm_away") <= F.col("lm_high"))
+    inside = F.coalesce(inside, F.lit(True))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high", "word_ppl", "word_away", "word_low", "word_high", "lm_ppl", "lm_away", "lm_high", *keys)

@@ -342,6 +342,91 @@ def test_copies_leave_the_bands_alone(spark):
     assert count(both) == count(base.dropDuplicates(["lang", "text"]))
 
 
+def words_left_out(texts, order):
+    """text -> minus its log probability by a modified Kneser-Ney model of words, counted anew from all other texts;
+    discounts and the number of words are those of all texts. Dictionaries only."""
+
+    def counted(some):
+        tables = [Counter() for _ in range(order + 1)]
+        for text in some:
+            own = ["<s>"] * (order - 1) + text.split()
+            for k in range(order - 1, len(own)):
+                tables[order][tuple(own[k - order + 1 : k + 1])] += 1
+        for n in range(order - 1, 0, -1):
+            for g in tables[n + 1]:
+                tables[n][g[1:]] += 1
+        return tables
+
+    cuts = [None]
+    for c in (counted(texts)[1:]):
+        n = [sum(v == k for v in c.values()) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+        made = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] and n[k] else k * 0.5 for k in (1, 2, 3)]
+        cuts.append([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(made, 1))])
+    n_words, out = len({w for t in texts for w in t.split()}), {}
+    for text in texts:
+        tables = counted([t for t in texts if t != text])
+        after = [defaultdict(dict) for _ in tables]
+        for n in range(1, order + 1):
+            for g, v in tables[n].items():
+                after[n][g[:-1]][g[-1]] = v
+
+        def p(context, word, n, after=after):
+            if not n:
+                return 1 / (1 + n_words)
+            under, seen = p(context[1:], word, n - 1), after[n].get(context)
+            if not seen:
+                return under
+            total, v = sum(seen.values()), seen.get(word, 0)
+            return (v - cuts[n][min(v, 3)]) / total + sum(cuts[n][min(x, 3)] for x in seen.values()) / total * under
+
+        own = ["<s>"] * (order - 1) + text.split()
+        out[text] = -sum(math.log(p(tuple(own[k - order + 1 : k]), own[k], order)) for k in range(order - 1, len(own)))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_words_are_scored_by_all_other_texts(spark, order, monkeypatch):
+    """Against dictionaries, over several blocks and languages, with copies, empty texts and a language of one text."""
+    from matchloom.llm import quality_rules as q
+
+    rnd = random.Random(order)
+    prose = lambda n: " ".join(rnd.choices(["Ἀλφα", "βῆτα", "the", "The", "THE", "1", "2", "x,", "x;", "мир", "мор"], range(1, 12), k=n))
+    rows = [(k, prose(rnd.randrange(1, 40)), "en" if k % 3 else "de") for k in range(40)]
+    rows += [(100 + k, rows[k % 4][1], rows[k % 4][2]) for k in range(9)] + [(200, None, "en"), (201, "", "de"), (202, " \n", None), (203, "one text alone", "xx"), (None, "the the мир", None)]
+    monkeypatch.setattr(q, "Backoff", lambda **k: q_sizes)
+    q_sizes = type("Sizes", (), {"sizes": staticmethod(lambda n: (150, 7))})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = q.scored(docs, q.QualityRules(word_order=order)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    want = {g: words_left_out(sorted({t for _, t, x in rows if (x or "") == g and (t or "").split()}), order) for g in ("en", "de", "xx", "")}
+    by_id = {r[0]: r for r in rows}
+    for r in got:
+        text = by_id[r.doc_id][1] or ""
+        if text.split():
+            assert r.lm_ppl == pytest.approx(want[r.lang][text] / len(text.split()), abs=1e-9)
+        else:
+            assert r.lm_ppl is None
+
+
+def test_letters_that_one_symbol_holds_are_told_apart(spark):
+    """Words in which each letter is another one of its symbol have the same symbols as prose, but are none of its words."""
+    from matchloom.llm import quality_rules as q
+
+    rnd = random.Random(5)
+    cyrillic, latin = [f"{chr(0x430 + a)}{chr(0x430 + b)}{chr(0x430 + c)}" for a in range(4) for b in range(3) for c in range(4)], ["BRAND", "CRAFT", "DRIFT", "PLANT", "STORM", "GRAND"]
+    vocabulary = [(a + x).strip() for a in ("", "BD", "FG") for x in cyrillic + latin]
+    other = {chr(0x430 + k): chr(0x430 + 12 + k) for k in range(4)} | dict(zip("BCDFGLMNPRST", "QWXZVKHJQWXZ", strict=True))
+    junk = lambda t: "".join(other.get(c, c) for c in t)
+    assert all((q.TABLE[list(junk(x).encode())] == q.TABLE[list(x.encode())]).all() for x in vocabulary)
+    clean = [(k, " ".join(rnd.choices(vocabulary, k=120)), "ru") for k in range(120)]
+    bad = [(1000 + k, junk(" ".join(rnd.choices(vocabulary, k=120)[:60] + rnd.choices(vocabulary, k=60))), "ru") for k in range(3)]
+    got = {r.doc_id: r for r in q.quality(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].low <= got[i].log_ppl <= got[i].high and got[i].word_low <= got[i].word_away <= got[i].word_high for i, _, _ in bad)  # the symbols see nothing
+    assert not any(got[i].kept for i, _, _ in bad) and not any(got[i].base_failed for i, _, _ in bad)
+    assert all(got[i].kept for i, _, _ in clean)
+
+
 # 4 URL filters
 
 
