@@ -44,6 +44,39 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Rows that later steps of one operator read, in the checkpoint folder until ``release``: what they lead to must be
+    written by then, or nothing could make it again."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def path(self) -> str:
+        self.paths.append(f"{checkpoint_dir(self.spark).rstrip('/')}/stash/{self.spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def by(self, df: DataFrame, key: str, parts: int) -> DataFrame:
+        """The rows in buckets of the key, so that what groups by it needs no second shuffle of them."""
+        parts = max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.tables.append(f"scratch_{uuid.uuid4().hex}")
+        writer = df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", self.path())
+        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
+    def release(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths, self.tables = [], []
+
+
 class Held:
     """Rows that a few steps read more than once, on the executors' disks, until ``release``. Nothing depends on a copy:
     a lost block is computed again from what it came from. For short chains of steps; ``stash`` cuts longer ones."""
@@ -152,13 +185,25 @@ def fresh(columns: Iterable[str], *stems: str) -> list[str]:
     return out
 
 
-def trim() -> None:
-    """Gives what was held and is free by now back to the system."""
+def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct value, the values in order; the number of each place's value; how often each occurs): as
+    ``np.unique`` tells them, but any place of a value, not the first, which spares the stable sort."""
+    order = np.argsort(x)
+    own = x[order]
+    head = np.r_[True, own[1:] != own[:-1]] if len(x) else np.empty(0, bool)
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(head) - 1
+    return order[head], back, np.diff(np.r_[np.flatnonzero(head), len(x)])
+
+
+def trim(collect: bool = True) -> None:
+    """Gives what was held and is free by now back to the system; without ``collect`` what no cycle holds."""
     import ctypes
     import gc
 
-    gc.enable()
-    gc.collect()
+    if collect:
+        gc.enable()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

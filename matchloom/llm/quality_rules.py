@@ -3,6 +3,7 @@ each language."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_of, grams, modest_batches, per_batch, small_side, stash, tidy, utf8
+from .common import Scratch, batch_of, grams, grouped, mix, modest_batches, per_batch, small_side, stash, tidy, utf8
 from .lm_scores import Backoff, press_keys
-from .word_model import press_numbers, with_nats
+from .word_model import BITS as WORD_BITS
+from .word_model import coded, press_places, seeded, swept, with_nats
 
 ORDER, BITS = 4, 6
 
@@ -22,7 +24,8 @@ ORDER, BITS = 4, 6
 class QualityRules:
     """Fewest words, greatest share of repeated words (per cent), width of the perplexity bands in spreads of the
     language's own log perplexities (median to a quartile) with least spreads (by symbol, and by word), bytes of
-    models of symbols in one broadcast, order of the model of words, and least words of one of its blocks."""
+    models of symbols in one broadcast, order of the model of words, least words of one of its blocks, and about how many
+    bytes of texts its dictionary is taken from."""
 
     min_words: int = 50
     max_repeat: int = 50
@@ -32,7 +35,8 @@ class QualityRules:
     least_word_spread: float = 0.5
     model_bytes: int = 128 << 20
     word_order: int = 2
-    block_words: int = 250_000
+    block_words: int = 1_000_000
+    sample_bytes: int = 32 << 20
 
 
 def symbols() -> np.ndarray:
@@ -63,6 +67,7 @@ def symbols() -> np.ndarray:
 
 TABLE = symbols()
 IS_SYMBOL = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
+IS_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 IS_CHAR = np.array([(b & 0xC0) != 0x80 and not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
 
@@ -83,14 +88,21 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def with_copies(docs: DataFrame, *more: Column) -> DataFrame:
+def with_hash(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.coalesce("lang", F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("t_"))
+
+
+def copies_of(docs: DataFrame) -> DataFrame:
+    """``lang, t_, copies``: in how many rows the language has the text, of texts that it has in more than one."""
+    return small_side(stash(with_hash(docs).groupBy("lang", "t_").agg(F.count("*").alias("copies")).where("copies > 1")))
+
+
+def with_copies(docs: DataFrame, copied: DataFrame, *more: Column) -> DataFrame:
     """``lang, text, copies``: in how many rows the language has the text."""
-    source = docs.select(*more, F.coalesce("lang", F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("t_"))
-    copied = stash(source.groupBy("lang", "t_").agg(F.count("*").alias("copies")).where("copies > 1"))
-    return source.join(small_side(copied), ["lang", "t_"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("t_")
+    return with_hash(docs, *more).join(copied, ["lang", "t_"], "left").withColumn("copies", F.coalesce("copies", F.lit(1))).drop("t_")
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
+def ngram_counts(docs: DataFrame, copied: DataFrame | None = None) -> DataFrame:
     """``lang, key, n`` over the different texts of each language, so that copies add nothing; each task sums its own
     n-grams before the shuffle. Texts with equally many copies are summed together and divided by that number, which
     moves no texts."""
@@ -111,7 +123,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for (lang, copies), (k, n) in total.items():
             yield batch_of(schema, ([lang] * len(k), [copies] * len(k), k.astype(np.int32), n))
 
-    parts = with_copies(docs).mapInArrow(tidy(run), "lang string, copies long, key int, n long")
+    parts = with_copies(docs, copies_of(docs) if copied is None else copied).mapInArrow(tidy(run), "lang string, copies long, key int, n long")
     # the sum of n / copies is a whole number but for the last bits
     return parts.groupBy("lang", "key").agg(F.round(F.sum(F.col("n") / F.col("copies"))).cast("long").alias("n"))
 
@@ -149,8 +161,36 @@ def kneser_ney(keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     return base
 
 
-def log_probs(model: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """Log probability of the last symbol of each key, by back-off from the highest order."""
+class Tops(dict):
+    """language -> for each context of the highest order the place of its first key in the model and a bit for each symbol
+    that follows it, so a key's place is found without a search; of at most LIMIT languages at a time."""
+
+    LIMIT = 16
+
+    def __init__(self, models: dict[str, dict[str, np.ndarray]]) -> None:
+        self.models = models
+
+    def __missing__(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        k = self.models[lang][f"k{ORDER}"]
+        context, size = (k >> np.uint32(BITS)).astype(np.int64), 1 << BITS * (ORDER - 1)
+        n = np.bincount(context, minlength=size)
+        bits = np.zeros(size, np.uint64)
+        np.bitwise_or.at(bits, context, np.uint64(1) << (k & np.uint32((1 << BITS) - 1)).astype(np.uint64))
+        self[lang] = (np.cumsum(n) - n).astype(np.int32), bits
+        return self[lang]
+
+
+def log_probs(model: dict[str, np.ndarray], keys: np.ndarray, top: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Log probability of the last symbol of each key, by back-off from the highest order. ``top``: where its keys are; if
+    all keys are there, as those of the model's own texts, that is all."""
+    if top is not None:
+        first, bits = top
+        context = keys >> np.uint32(BITS)
+        symbol, own = (keys & np.uint32((1 << BITS) - 1)).astype(np.uint64), bits[context]
+        if (own >> symbol & np.uint64(1)).all():
+            return model[f"p{ORDER}"][first[context] + np.bitwise_count(own & ((np.uint64(1) << symbol) - np.uint64(1)))].astype(np.float64)
     out, open_ = np.zeros(len(keys)), np.arange(len(keys))
     for order in range(ORDER, 0, -1):
         k = keys[open_] & np.uint32((1 << BITS * order) - 1)
@@ -167,6 +207,41 @@ def log_probs(model: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+PIECE = 1 << 20
+POWERS = np.cumprod(np.r_[np.uint64(1), np.full(255, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after another, and how many each text has: a word's bytes as the digits
+    of a number, mixed. In pieces of about PIECE bytes that end at white space."""
+    global POWERS
+    data = b"\n".join(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        to = at + PIECE
+        white = WHITE.search(data, to) if to < len(data) else None
+        to = white.start() if white else len(data)
+        own = np.frombuffer(data, np.uint8, to - at, at)
+        inside = np.zeros(len(own) + 2, bool)
+        inside[1:-1] = ~IS_SPACE[own]
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, sizes = turns[::2], turns[1::2] - turns[::2]
+        if len(starts):
+            while sizes.max() > len(POWERS):
+                POWERS = np.r_[POWERS, POWERS * POWERS[-1] * POWERS[1]]
+            first = np.cumsum(sizes) - sizes
+            digits = own[inside[1:-1]].astype(np.uint64) + np.uint64(1)
+            digits *= POWERS[np.arange(len(digits)) - np.repeat(first, sizes)]
+            hashes.append(mix(np.add.reduceat(digits, first)))
+            places.append(starts + at)
+        at = to
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(places), ends), prepend=0)
+
+
 def base_counts(text: bytes, own: np.ndarray) -> tuple[int, int, int, int, int]:
     """Words, code points in words, symbol characters, repeated lines, words in repeated three-word windows; ``own``: the
     hashes of the words."""
@@ -174,7 +249,7 @@ def base_counts(text: bytes, own: np.ndarray) -> tuple[int, int, int, int, int]:
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeated = 0
     if len(own) >= 3:
-        _, back, n = np.unique(grams(own, 3), return_inverse=True, return_counts=True)
+        _, back, n = grouped(grams(own, 3))
         windows = np.flatnonzero(n[back] > 1)
         covered = np.zeros(len(own), bool)
         for k in range(3):
@@ -210,18 +285,39 @@ def models_of(counts: DataFrame, languages: list[str]) -> dict[str, dict[str, np
     return {langs[a]: kneser_ney(keys[a:b], n[a:b]) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)} if len(langs) else {}
 
 
-def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = ()) -> DataFrame:
+def dictionary(docs: DataFrame, size: int, rules: QualityRules) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and numbers of the most frequent words in about ``sample_bytes`` of the texts, taken by their hashes.
+    It only makes the keys of n-grams of such words smaller (see ``word_model``), whatever is in it."""
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in per_batch(batches, 512):
+            own, sizes = word_hashes(utf8(batch.column("text")))
+            each, n = np.unique(seeded(own, sizes, batch.column("lang").to_pylist()), return_counts=True)
+            yield batch_of(schema, (each.view(np.int64), n))
+
+    one_of = max(1, size // rules.sample_bytes)
+    sample = with_hash(docs).where(F.col("text").isNotNull() & (F.pmod("t_", F.lit(one_of)) == 0)).select("lang", "text")
+    often = sample.mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    words = often.orderBy(F.desc("n"), "word").limit(1 << WORD_BITS).select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64)  # at most 2^17 numbers
+    order = np.argsort(words)
+    return words[order], order.astype(np.uint64)
+
+
+def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """Base counts and log perplexities of every text: by symbol and by word of the model of symbols, and by word of the
     model of words (``lm_ppl``). The driver holds the models of symbols of one group of languages at a time, and each group
     is one broadcast; the words go on as blocks (see ``word_model``)."""
-    counts = stash(ngram_counts(docs))
+    scratch, copied = scratch or Scratch(docs.sparkSession), copies_of(docs)
+    counts = scratch(ngram_counts(docs, copied))
     groups = language_groups(counts, rules)
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
-    block_words, parts = Backoff(block_words=rules.block_words, row=500).sizes(size // 6)  # about so many words
+    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, size, rules))
+    block_words, parts = Backoff(block_words=rules.block_words, part_words=2_000_000, row=500).sizes(size // 6)  # about so many words
     fields = (*FIELDS, *keys)
     kinds = [KINDS.get(c, ("long", pa.int64())) for c in fields]
-    schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, (_, t) in zip(fields, kinds, strict=True)), ("numbers", pa.binary()), ("words", pa.binary())])
-    source = with_copies(docs, F.col("doc_id"), *[F.xxhash64("text").alias(f"key{k}") for k in range(len(keys))]).withColumn("text", F.coalesce("text", F.lit("")))
+    schema = pa.schema([("block", pa.int64()), *((c, pa.list_(t)) for c, (_, t) in zip(fields, kinds, strict=True)), ("numbers", pa.list_(pa.binary())), ("words", pa.binary())])
+    source = with_copies(docs, copied, F.col("doc_id"), *[F.xxhash64("text").alias(f"key{k}") for k in range(len(keys))]).withColumn("text", F.coalesce("text", F.lit("")))
     out = None
     for k, group in enumerate(groups):
         shared = docs.sparkSession.sparkContext.broadcast(models_of(counts, group))
@@ -229,24 +325,30 @@ def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = ()) ->
         def run(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            words, models, made, total = WordHashes(), shared.value, 0, 0
+            models, made, total = shared.value, 0, 0
+            tops = Tops(models)
             rows: list[tuple] = []
             hashes: list[np.ndarray] = []
 
             def block() -> pa.RecordBatch:
-                own, numbers = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
+                each, places = np.unique(seeded(np.concatenate(hashes), [r[3] for r in rows], [r[1] for r in rows]), return_inverse=True)
+                codes = coded(each, *known.value)
+                order = np.argsort(codes)  # frequent words first: most places are small numbers
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order))
                 number = (k << 24 | TaskContext.get().partitionId()) << 24 | made
-                return batch_of(schema, ([number], *([list(x)] for x in zip(*rows, strict=True)), [press_numbers(numbers.astype(np.uint32))], [press_keys(own)]))
+                return batch_of(schema, ([number], *([list(x)] for x in zip(*rows, strict=True)), [press_places(rank[places])], [press_keys(codes[order])]))
 
             for batch in per_batch(batches, 64):
                 further = [batch.column(f"key{j}").to_pylist() for j in range(len(keys))]
-                for doc_id, g, copies, t, *more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "copies")), utf8(batch.column("text")), *further, strict=True):
-                    own = words.of(t.split())
+                texts = utf8(batch.column("text"))
+                every, sizes = word_hashes(texts)
+                hashes.append(every)
+                total += len(every)
+                for doc_id, g, copies, t, own, *more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "copies")), texts, np.split(every, np.cumsum(sizes)[:-1]), *further, strict=True):
                     base = base_counts(t, own)
-                    nats = float(-log_probs(models[g], keys_of(t)).sum()) if t and g in models else None
+                    nats = float(-log_probs(models[g], keys_of(t), tops[g]).sum()) if t and g in models else None
                     rows.append((doc_id, g, copies, *base, nats if nats is None else nats / (len(t) + 1), nats / base[0] if nats is not None and base[0] else None, *more))
-                    hashes.append(own)
-                    total += len(own)
                 if total >= block_words or len(rows) >= 100_000:
                     yield block()
                     rows, hashes, total, made = [], [], 0, made + 1
@@ -258,10 +360,11 @@ def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = ()) ->
             others = [x for g in groups[:-1] for x in g]
             own = source.where(F.col("lang").isin(group) if k < len(groups) - 1 else ~F.col("lang").isin(others))
         listed = ", ".join(f"{c} array<{t}>" for c, (t, _) in zip(fields, kinds, strict=True))
-        own = own.mapInArrow(tidy(run), f"block long, {listed}, numbers binary, words binary")
+        own = own.mapInArrow(tidy(run), f"block long, {listed}, numbers array<binary>, words binary")
         out = own if out is None else out.unionByName(own)
-    blocks = stash(out)
-    rows = blocks.select("block", *fields).join(with_nats(blocks, rules.word_order, parts), "block")
+    with swept(docs.sparkSession):
+        blocks = scratch.by(out, "block", parts)
+    rows = blocks.select("block", *fields).join(with_nats(blocks, rules.word_order, parts, scratch), "block")
     rows = rows.select(F.inline(F.arrays_zip(*fields, "nats")))
     return rows.select(*(c for c in fields if c != "copies"), F.when(F.col("n_words") > 0, F.col("nats") / F.col("n_words")).alias("lm_ppl"))
 
@@ -308,7 +411,11 @@ def quality(docs: DataFrame, rules: QualityRules | None = None, keys: tuple[str,
     rules, docs = rules or QualityRules(), modest_batches(docs)
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat * F.col("n_words"))
     hashed = keys or ("t_",)
-    scores = stash(scored(docs, rules, hashed).withColumn("base_failed", failed))
+    scratch = Scratch(docs.sparkSession)
+    try:
+        scores = stash(scored(docs, rules, hashed, scratch).withColumn("base_failed", failed))
+    finally:
+        scratch.release()
     limits = stash(bands(scores, rules, hashed[0]))
     judged = scores.join(small_side(limits), "lang", "left").withColumn("word_away", distance("word_ppl", "middle")).withColumn("lm_away", distance("lm_ppl", "lm_middle"))
     inside = F.col("log_ppl").between(F.col("low"), F.col("high")) & F.col("word_away").between(F.col("word_low"), F.col("word_high")) & (F.col("lm_away") <= F.col("lm_high"))

@@ -5,7 +5,10 @@ parts of that order's count table, and gets their sums back; what a shorter n-gr
 its left, and what follows it as a context) comes from the longer ones, each told by the one block that owns it. So every
 n-gram of every text is in the model, no table is broadcast, and a frequent n-gram is one entry of each block.
 
-Keys are 64-bit hashes of language and words, sorted and stored as differences.
+Keys are sorted and stored as differences. A word's code is a 64-bit hash of language and word (the highest bit set), or, of
+words that are frequent in a sample of the texts, its number in a dictionary of at most 2^BITS words. An n-gram of numbered
+words alone has a key that holds the numbers themselves, spread over the parts by a reversible mix; other n-grams have a
+hash. So the dictionary only makes keys smaller: whatever is in it, the same n-grams are told apart and counted.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, mix, per_batch, stash, tidy, trim
+from .common import Scratch, batch_of, grouped, mix, per_batch, tidy, trim
 from .lm_scores import open_keys, opened, part_of, press_keys, pressed
 
 START = np.uint64(0x5354415254)
+#: The dictionary has at most 2^BITS words. Codes and keys from HASHED on are hashes.
+BITS, HASHED = 18, np.uint64(1 << 63)
 #: What an n-gram is sent and answered with: as a context the sum of what follows it and the n-grams counted 1, 2 and more;
 #: and its own count. The highest order has a count alone.
 VALUES = 5
-ASKED = "block long, part int, keys binary, amounts array<binary>, codes binary, names array<string>"
-ANSWERED = "block long, level int, part int, amounts array<binary>, owner binary, lang string, stats array<double>"
+ASKED = "block long, part int, keys binary, amounts array<array<binary>>, codes binary, names array<string>"
+ANSWERED = "block long, level int, part int, amounts array<array<binary>>, owner binary, lang string, stats array<double>"
 
 
 def press_numbers(numbers: np.ndarray) -> bytes:
@@ -51,40 +56,111 @@ def swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def press_places(numbers: np.ndarray) -> list[bytes]:
+    """Numbers of which most are below 255: a byte for each, and what is above that of the others."""
+    return [pressed(np.minimum(numbers, 255).astype(np.uint8)), press_numbers(numbers[numbers >= 255].astype(np.uint32) - np.uint32(255))]
+
+
+def open_places(blobs: list[bytes]) -> np.ndarray:
+    out = opened(blobs[0], np.uint8).astype(np.int64)
+    out[out == 255] += open_numbers(blobs[1], np.uint32)
+    return out
+
+
+def press_amounts(numbers: np.ndarray) -> list[bytes]:
+    """Amounts: their whole parts, and the rest of those that have one, as a text of several copies counts for its share."""
+    whole = numbers.astype(np.uint32)
+    rest = numbers - whole
+    at = np.flatnonzero(rest)
+    out = [press_numbers(whole)]
+    return [*out, press_numbers(np.diff(at, prepend=0).astype(np.uint32)), press_numbers(rest[at])] if len(at) else out
+
+
+def open_amounts(blobs: list[bytes]) -> np.ndarray:
+    out = open_numbers(blobs[0], np.uint32).astype(np.float64)
+    if len(blobs) > 1:
+        out[np.cumsum(open_numbers(blobs[1], np.uint32), dtype=np.int64)] += open_numbers(blobs[2], np.float64)
+    return out
+
+
+def seed_of(lang: str) -> np.uint64:
+    """The language's own hash, another than that of its name as a word: or the word de in English and the word en in
+    German would be one."""
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1))
+
+
+def seeded(hashes: np.ndarray, sizes: list[int], langs: list[str]) -> np.ndarray:
+    """Hashes of words of so many of each text, with the texts' languages."""
+    return mix(hashes + np.repeat(np.array([seed_of(x) for x in langs], np.uint64), sizes))
+
+
+def coded(hashes: np.ndarray, known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Codes of hashes of words; ``known``: the dictionary's, sorted, with their numbers."""
+    out = hashes | HASHED
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hit = known[at] == hashes
+        out[hit] = numbers[at[hit]]
+    return out
+
+
+def spread(x: np.ndarray, bits: int) -> np.ndarray:
+    """A reversible mix of numbers of so many bits."""
+    few = np.uint64((1 << bits) - 1)
+    for factor in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
+        x = (x * np.uint64(factor)) & few
+        x ^= x >> np.uint64((bits + 1) // 2)
+    return x
+
+
 def grams(x: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n words that end at each place."""
+    """Keys of the n words that end at each place, from their codes."""
     out = np.full(len(x), n, np.uint64)
     for k in range(n - 1, -1, -1):
         out = out * np.uint64(0x9E3779B97F4A7C15) + np.r_[np.zeros(min(k, len(x)), np.uint64), x[: len(x) - k]]
         out ^= out >> np.uint64(29)
-    return mix(out)
+    out = mix(out) | HASHED
+    if n * BITS < 64:
+        known = x < HASHED
+        every = known.copy()
+        for k in range(1, n):
+            every[k:] &= known[:-k]
+            every[:k] = False
+        at = np.flatnonzero(every)
+        packed = np.zeros(len(at), np.uint64)
+        for k in range(n - 1, -1, -1):
+            packed = packed << np.uint64(BITS) | x[at - k]
+        out[at] = spread(packed, n * BITS) << np.uint64(63 - n * BITS)
+    return out
 
 
 class Block:
-    """Words of some documents, each after ``order`` - 1 starts, hashed with their language; ``doc`` the document of each word."""
+    """Codes of the words of some documents, each after ``order`` - 1 starts; ``doc`` the document of each word."""
 
     def __init__(self, row: dict, order: int) -> None:
         sizes = np.array(row["n_words"], np.int64)
         self.order, self.docs = order, len(sizes)
         self.names, codes = np.unique(np.array(row["lang"], object).astype(str), return_inverse=True) if len(sizes) else (np.empty(0, str), np.empty(0, np.int64))
         self.codes, self.copies = codes, np.array(row["copies"], np.float64)
-        seeds = np.array([xxhash.xxh3_64_intdigest(str(x).encode()) for x in self.names], np.uint64)
-        h = np.full(int(sizes.sum()) + (order - 1) * len(sizes), START, np.uint64)
+        starts = seeded(np.full(len(self.names), START), [1] * len(self.names), self.names.tolist()) | HASHED
+        self.words = np.repeat(starts[codes], sizes + order - 1)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.places = np.arange(len(self.doc)) + (order - 1) * (self.doc + 1)
-        h[self.places] = open_keys(row["words"])[open_numbers(row["numbers"], np.uint32)]
-        self.hashes = mix(h + np.repeat(seeds[codes], sizes + order - 1)) if len(h) else h
+        self.words[self.places] = open_keys(row["words"])[open_places(row["numbers"])]
         self.made: dict[int, tuple] = {}
 
     def level(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys of the n-grams and of the contexts that are as long, place of each word's n-gram among them, place
         of each word's context of n words, empty for the highest order)."""
         if n not in self.made:
-            every = grams(self.hashes, n)
-            own = every[self.places]
-            before = every[self.places - 1] if n < self.order else np.empty(0, np.uint64)
-            keys, at = np.unique(np.concatenate([own, before]), return_inverse=True)
-            self.made[n] = keys, at[: len(own)], at[len(own) :]
+            every = grams(self.words, n)
+            met = np.zeros(len(every), bool)
+            met[self.places] = True
+            if n < self.order:
+                met[self.places - 1] = True
+            at = np.empty(len(every), np.uint32)
+            keys, at[met] = np.unique(every[met], return_inverse=True)
+            self.made[n] = keys, at[self.places].astype(np.int64), at[self.places - 1].astype(np.int64) if n < self.order else np.empty(0, np.int64)
         return self.made[n]
 
     def some_word(self, n: int) -> np.ndarray:
@@ -111,7 +187,7 @@ class Block:
         cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
         for part in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[part], cuts[part + 1])
-            yield part, press_keys(keys[own]), [press_numbers(x[own].astype(np.float64)) for x in amounts], pressed(codes[own]), self.names.tolist()
+            yield part, press_keys(keys[own]), [press_amounts(x[own]) for x in amounts], press_numbers(codes[own]), self.names.tolist()
 
     def nats(self, amounts: dict[int, list[np.ndarray]], stats: dict[tuple[int, str], list[float]]) -> np.ndarray:
         """Minus the log probability of each document under the model of all other texts of its language."""
@@ -122,25 +198,24 @@ class Block:
         for n in range(self.order, 0, -1):
             keys, own, _ = self.level(n)
             count = amounts[n][-1]
-            pair, first, back, times = np.unique(self.doc * len(keys) + own, return_index=True, return_inverse=True, return_counts=True)
+            first, back, times = grouped(self.doc * len(keys) + own)
             doc, gram = self.doc[first], own[first]
             all_ = count[gram]
             if lost is None:
                 left = all_ - times
             else:  # the types that only this document has don't count here
-                left = all_ - np.bincount(back[lost], minlength=len(pair))
-            kind = lambda x: np.minimum(x, 3).astype(np.int64)
-            cut = cuts[n][self.codes[doc]]
-            before, after = np.take_along_axis(cut, kind(all_)[:, None], 1)[:, 0], np.take_along_axis(cut, kind(left)[:, None], 1)[:, 0]
+                left = all_ - np.bincount(back[lost], minlength=len(first))
+            lang = self.codes[doc]
+            before, after = (cuts[n].ravel()[4 * lang + np.minimum(x, 3).astype(np.int64)] for x in (all_, left))
             if n > 1:
                 context = self.level(n - 1)[2][first]
                 followed = [x[context] for x in amounts[n - 1][:4]]
                 group = np.unique(doc * len(self.level(n - 1)[0]) + context, return_inverse=True)[1]
             else:
-                whole = np.array([stats[1, str(x)][4:8] for x in self.names])[self.codes[doc]]
-                followed, group = list(whole.T), doc
+                whole = np.array([stats[1, str(x)][4:8] for x in self.names])
+                followed, group = [x[lang] for x in whole.T], doc
             total = followed[0] - np.bincount(group, all_ - left)[group]
-            spared = (np.stack(followed[1:], 1) * cut[:, 1:]).sum(1) - np.bincount(group, before - after)[group]
+            spared = sum(x * cuts[n][:, k][lang] for k, x in enumerate(followed[1:], 1)) - np.bincount(group, before - after)[group]
             there = total > 0.5
             total = np.where(there, total, 1.0)
             levels[n] = np.where(there, (left - after) / total, 0.0)[back], np.where(there, spared / total, 1.0)[back]
@@ -164,27 +239,27 @@ def answers_of(asked: DataFrame, level: int) -> DataFrame:
     """For each request the sums over all blocks in the order of its keys, and which keys are its own (each key of one block);
     and, with a null block, for each language the numbers of n-grams counted 1 to 4, the sum of the counts, the numbers of
     n-grams counted 1, 2 and more, and all of them."""
-    schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("amounts", pa.list_(pa.binary())), ("owner", pa.binary()), ("lang", pa.string()), ("stats", pa.list_(pa.float64()))])
+    schema = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("part", pa.int32()), ("amounts", pa.list_(pa.list_(pa.binary()))), ("owner", pa.binary()), ("lang", pa.string()), ("stats", pa.list_(pa.float64()))])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = [open_keys(r["keys"]) for r in rows]
-        each, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        first, back, _ = grouped(np.concatenate(keys))
         owner = np.zeros(len(back), bool)
         owner[first] = True
-        sums = [np.round(np.bincount(back, np.concatenate([open_numbers(r["amounts"][k], np.float64) for r in rows]), len(each))) for k in range(len(rows[0]["amounts"]))]
+        sums = [np.round(np.bincount(back, np.concatenate([open_amounts(r["amounts"][k]) for r in rows]), len(first))) for k in range(len(rows[0]["amounts"]))]
         names = {x: k for k, x in enumerate(sorted({x for r in rows for x in r["names"]}))}
-        codes = np.concatenate([np.array([names[x] for x in r["names"]], np.int64)[opened(r["codes"], np.uint32)] for r in rows])[first]
+        codes = np.concatenate([np.array([names[x] for x in r["names"]], np.int64)[open_numbers(r["codes"], np.uint32)] for r in rows])[first]
         count, out, at = sums[-1], [], 0
         kinds = [count == 1, count == 2, count == 3, count == 4, count, count == 1, count == 2, count > 2, count > 0]
         stats = np.stack([np.bincount(codes, x, len(names)) for x in kinds], 1)
         for r, own in zip(rows, keys, strict=True):
             here = slice(at, at + len(own))
-            out.append((r["block"], level, r["part"], [press_numbers(x[back[here]]) for x in sums], pressed(np.packbits(owner[here])), None, None))
+            out.append((r["block"], level, r["part"], [press_amounts(x[back[here]]) for x in sums], pressed(np.packbits(owner[here])), None, None))
             at += len(own)
         out += [(None, level, rows[0]["part"], None, None, x, stats[k].tolist()) for x, k in names.items()]
-        del rows, keys, each, first, back, sums
-        trim()
+        del rows, keys, first, back, sums
+        trim(False)
         return pa.Table.from_batches([batch_of(schema, zip(*out, strict=True))])
 
     return asked.groupBy("part").applyInArrow(answer, ANSWERED)
@@ -194,16 +269,17 @@ def answered(table: pa.Table) -> dict[int, tuple[list[np.ndarray], np.ndarray]]:
     """level -> (amounts, owned) in the order of the block's keys."""
     out: dict[int, list] = {}
     for r in sorted(table.select(["level", "part", "amounts", "owner"]).to_pylist(), key=lambda r: (r["level"], r["part"])):
-        amounts = [open_numbers(x, np.float64) for x in r["amounts"]]
+        amounts = [open_amounts(x) for x in r["amounts"]]
         out.setdefault(r["level"], []).append((amounts, np.unpackbits(opened(r["owner"], np.uint8), count=len(amounts[0])).astype(bool)))
     return {n: ([np.concatenate(x) for x in zip(*(a for a, _ in got), strict=True)], np.concatenate([o for _, o in got])) for n, got in out.items()}
 
 
-def with_nats(blocks: DataFrame, order: int, parts: int) -> DataFrame:
+def with_nats(blocks: DataFrame, order: int, parts: int, scratch: Scratch) -> DataFrame:
     """``block, nats``: minus the log probability of each of a block's documents, in their order. ``blocks``, written to a
-    shared folder, have ``block``, lists ``lang, copies, n_words`` with an entry for each document, ``words`` (their hashes,
-    sorted) and ``numbers`` (each word's place among them)."""
-    asked_schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("amounts", pa.list_(pa.binary())), ("codes", pa.binary()), ("names", pa.list_(pa.string()))])
+    shared folder in buckets of ``block``, have ``block``, lists ``lang, copies, n_words`` with an entry for each document,
+    ``words`` (their codes, sorted) and ``numbers`` (each word's place among them). What is written on the way is
+    ``scratch``'s."""
+    asked_schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("amounts", pa.list_(pa.list_(pa.binary()))), ("codes", pa.binary()), ("names", pa.list_(pa.string()))])
     own = blocks.select("block", "lang", "copies", "n_words", "numbers", "words")
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +289,7 @@ def with_nats(blocks: DataFrame, order: int, parts: int) -> DataFrame:
                 yield batch_of(asked_schema, [[x] for x in (row["block"], *sent)])
 
     with swept(blocks.sparkSession):
-        answers = {order: stash(answers_of(own.mapInArrow(tidy(top), ASKED), order))}
+        answers = {order: scratch(answers_of(own.mapInArrow(tidy(top), ASKED), order))}
 
     def lower(n: int):
         def ask(mine: pa.Table, got: pa.Table) -> pa.Table:
@@ -223,7 +299,7 @@ def with_nats(blocks: DataFrame, order: int, parts: int) -> DataFrame:
             block = Block(row, order)
             rows = [(row["block"], *x) for x in block.asked(n, answered(got)[n + 1], parts)]
             del block
-            trim()
+            trim(False)
             return pa.Table.from_batches([batch_of(asked_schema, zip(*rows, strict=True))])
 
         return ask
@@ -231,7 +307,7 @@ def with_nats(blocks: DataFrame, order: int, parts: int) -> DataFrame:
     for n in range(order - 1, 0, -1):
         got = answers[n + 1].where("block is not null")
         with swept(blocks.sparkSession):
-            answers[n] = stash(answers_of(own.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lower(n), ASKED), n))
+            answers[n] = scratch(answers_of(own.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lower(n), ASKED), n))
     every = answers[order]
     for n in range(order - 1, 0, -1):
         every = every.unionByName(answers[n])
@@ -248,7 +324,7 @@ def with_nats(blocks: DataFrame, order: int, parts: int) -> DataFrame:
         amounts = {n: a for n, (a, _) in answered(got).items()}
         nats = block.nats(amounts, shared.value)
         del block, amounts
-        trim()
+        trim(False)
         return pa.Table.from_batches([batch_of(out_schema, ([row["block"]], [nats]))])
 
     return own.groupBy("block").cogroup(every.where("block is not null").groupBy("block")).applyInArrow(score, "block long, nats array<double>")

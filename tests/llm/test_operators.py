@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -409,6 +410,49 @@ def test_words_are_scored_by_all_other_texts(spark, order, monkeypatch):
             assert r.lm_ppl is None
 
 
+def test_words_that_are_names_of_languages(spark):
+    """The word de in English and the word en in German are two words, not one."""
+    from matchloom.llm import quality_rules as q
+
+    rnd = random.Random(8)
+    rows = [(k, " ".join(rnd.choices(["de", "en", "es", "x", "y"], range(1, 6), k=30)), ("de", "en", "es")[k % 3]) for k in range(24)]
+    want = {g: words_left_out(sorted({t for _, t, x in rows if x == g}), 2) for g in ("de", "en", "es")}
+    for r in q.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), q.QualityRules()).collect():
+        assert r.lm_ppl == pytest.approx(want[r.lang][rows[r.doc_id][1]] / 30, abs=1e-9)
+
+
+def test_the_dictionary_moves_no_score(spark, monkeypatch):
+    """Keys of numbers, of hashes and of both: the same scores; and what the steps wrote is gone after the verdicts."""
+    from matchloom.llm import common, word_model
+    from matchloom.llm import quality_rules as q
+
+    docs = spark.read.parquet(f"{CORRECT}/documents.parquet").limit(200)
+    scores = lambda: {r.doc_id: r.lm_ppl for r in q.scored(docs, q.QualityRules()).collect()}
+    whole, made = scores(), q.dictionary
+    monkeypatch.setattr(q, "dictionary", lambda *a: tuple(x[::3] for x in made(*a)))
+    part = scores()
+    monkeypatch.setattr(q, "dictionary", lambda *a: (np.empty(0, np.uint64), np.empty(0, np.uint64)))
+    assert whole == pytest.approx(part, abs=1e-9) and whole == pytest.approx(scores(), abs=1e-9)
+    x = np.arange(1 << 12, dtype=np.uint64)
+    assert sorted(word_model.spread(x, 12).tolist()) == x.tolist()
+    root = Path(common.checkpoint_dir(spark).removeprefix("file:"))
+    before = {p for p in root.rglob("*.parquet")}
+    q.quality(docs)
+    assert sum(p.stat().st_size for p in set(root.rglob("*.parquet")) - before) < 200_000  # copies, scores and limits
+
+
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    from matchloom.llm import quality_rules as q
+
+    texts = [b"", b" ", b"a", "the the мир\x0bx,\t\n".encode() * 9, b"x" * 3000 + b" y", b"", b"x" * 3000, b"ab ba a b"]
+    words = [w for t in texts for w in t.split()]
+    for piece in (1 << 20, 50, 7):
+        monkeypatch.setattr(q, "PIECE", piece)
+        hashes, sizes = q.word_hashes(texts)
+        assert sizes.tolist() == [len(t.split()) for t in texts] and len(hashes) == len(words)
+        assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
 def test_letters_that_one_symbol_holds_are_told_apart(spark):
     """Words in which each letter is another one of its symbol have the same symbols as prose, but are none of its words."""
     from matchloom.llm import quality_rules as q
