@@ -60,13 +60,17 @@ class Scratch:
         df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def by(self, df: DataFrame, key: str, parts: int) -> DataFrame:
-        """The rows in buckets of the key, so that what groups by it needs no second shuffle of them."""
+    def by(self, df: DataFrame, key: str, parts: int, table: str | None = None) -> str:
+        """The rows in buckets of the key, so that what groups by it needs no second shuffle of them; the table's name. With
+        ``table`` they are added to one that was written so before."""
         parts = max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.tables.append(f"scratch_{uuid.uuid4().hex}")
-        writer = df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", self.path())
-        writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").saveAsTable(self.tables[-1])
-        return self.spark.table(self.tables[-1])
+        writer = df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        if table is None:
+            table = f"scratch_{uuid.uuid4().hex}"
+            self.tables.append(table)
+            writer = writer.option("path", self.path())
+        writer.mode("append").saveAsTable(table)
+        return table
 
     def release(self) -> None:
         for name in self.tables:

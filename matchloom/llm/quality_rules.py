@@ -363,7 +363,7 @@ def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = (), scr
         own = own.mapInArrow(tidy(run), f"block long, {listed}, numbers array<binary>, words binary")
         out = own if out is None else out.unionByName(own)
     with swept(docs.sparkSession):
-        blocks = scratch.by(out, "block", parts)
+        blocks = docs.sparkSession.table(scratch.by(out, "block", parts))
     rows = blocks.select("block", *fields).join(with_nats(blocks, rules.word_order, parts, scratch), "block")
     rows = rows.select(F.inline(F.arrays_zip(*fields, "nats")))
     return rows.select(*(c for c in fields if c != "copies"), F.when(F.col("n_words") > 0, F.col("nats") / F.col("n_words")).alias("lm_ppl"))

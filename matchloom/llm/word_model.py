@@ -31,6 +31,8 @@ BITS, HASHED = 18, np.uint64(1 << 63)
 #: What an n-gram is sent and answered with: as a context the sum of what follows it and the n-grams counted 1, 2 and more;
 #: and its own count. The highest order has a count alone.
 VALUES = 5
+#: Each order is asked for in so many turns, so that their shuffles aren't on disk at once.
+TURNS = 2
 ASKED = "block long, part int, keys binary, amounts array<array<binary>>, codes binary, names array<string>"
 ANSWERED = "block long, level int, part int, amounts array<array<binary>>, owner binary, lang string, stats array<double>"
 
@@ -181,11 +183,14 @@ class Block:
         context = before[word]
         return [np.bincount(context, count, len(keys)), *(np.bincount(context, kind, len(keys)) for kind in (count == 1, count == 2, count > 2)), np.bincount(own[word], minlength=len(keys)).astype(np.float64)]
 
-    def asked(self, n: int, longer: tuple[list[np.ndarray], np.ndarray] | None, parts: int) -> Iterator[tuple]:
+    def asked(self, n: int, longer: tuple[list[np.ndarray], np.ndarray] | None, parts: int, turn: int | None = None) -> Iterator[tuple]:
+        """The block's requests: of all parts, or of those whose turn it is."""
         keys = self.level(n)[0]
         amounts, codes = self.sent(n, longer), self.codes[self.doc[self.some_word(n)]].astype(np.uint32)
         cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
         for part in np.flatnonzero(np.diff(cuts)).tolist():
+            if turn not in (None, part % TURNS):
+                continue
             own = slice(cuts[part], cuts[part + 1])
             yield part, press_keys(keys[own]), [press_amounts(x[own]) for x in amounts], press_numbers(codes[own]), self.names.tolist()
 
@@ -282,38 +287,42 @@ def with_nats(blocks: DataFrame, order: int, parts: int, scratch: Scratch) -> Da
     asked_schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("amounts", pa.list_(pa.list_(pa.binary()))), ("codes", pa.binary()), ("names", pa.list_(pa.string()))])
     own = blocks.select("block", "lang", "copies", "n_words", "numbers", "words")
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in per_batch(batches, 1):
-            (row,) = batch.to_pylist()
-            for sent in Block(row, order).asked(order, None, parts):
-                yield batch_of(asked_schema, [[x] for x in (row["block"], *sent)])
+    def top(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in per_batch(batches, 1):
+                (row,) = batch.to_pylist()
+                for sent in Block(row, order).asked(order, None, parts, turn):
+                    yield batch_of(asked_schema, [[x] for x in (row["block"], *sent)])
 
-    with swept(blocks.sparkSession):
-        answers = {order: scratch(answers_of(own.mapInArrow(tidy(top), ASKED), order))}
+        return run
 
-    def lower(n: int):
+    spark, table = blocks.sparkSession, None
+    for turn in range(TURNS):
+        with swept(spark):
+            table = scratch.by(answers_of(own.mapInArrow(tidy(top(turn)), ASKED), order), "block", parts, table)
+
+    def lower(n: int, turn: int):
         def ask(mine: pa.Table, got: pa.Table) -> pa.Table:
             if not mine.num_rows or not got.num_rows:
                 return asked_schema.empty_table()
             (row,) = mine.to_pylist()
             block = Block(row, order)
-            rows = [(row["block"], *x) for x in block.asked(n, answered(got)[n + 1], parts)]
+            rows = [(row["block"], *x) for x in block.asked(n, answered(got)[n + 1], parts, turn)]
             del block
             trim(False)
-            return pa.Table.from_batches([batch_of(asked_schema, zip(*rows, strict=True))])
+            return pa.Table.from_batches([batch_of(asked_schema, zip(*rows, strict=True))]) if rows else asked_schema.empty_table()
 
         return ask
 
     for n in range(order - 1, 0, -1):
-        got = answers[n + 1].where("block is not null")
-        with swept(blocks.sparkSession):
-            answers[n] = scratch(answers_of(own.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lower(n), ASKED), n))
-    every = answers[order]
-    for n in range(order - 1, 0, -1):
-        every = every.unionByName(answers[n])
+        got = spark.table(table).where(f"block is not null and level = {n + 1}")
+        for turn in range(TURNS):
+            with swept(spark):
+                scratch.by(answers_of(own.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lower(n, turn), ASKED), n), "block", parts, table)
+    every = spark.table(table)
     sums = [F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(9)]
     stats = {(r.level, r.lang): [r[f"s{k}"] for k in range(9)] for r in every.where("block is null").groupBy("level", "lang").agg(*sums).collect()}  # a row for each language and level
-    shared = blocks.sparkSession.sparkContext.broadcast(stats)
+    shared = spark.sparkContext.broadcast(stats)
     out_schema = pa.schema([("block", pa.int64()), ("nats", pa.list_(pa.float64()))])
 
     def score(mine: pa.Table, got: pa.Table) -> pa.Table:

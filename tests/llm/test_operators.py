@@ -419,6 +419,8 @@ def test_words_that_are_names_of_languages(spark):
     want = {g: words_left_out(sorted({t for _, t, x in rows if x == g}), 2) for g in ("de", "en", "es")}
     for r in q.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), q.QualityRules()).collect():
         assert r.lm_ppl == pytest.approx(want[r.lang][rows[r.doc_id][1]] / 30, abs=1e-9)
+    alone = spark.createDataFrame([(1, "x", "de")], "doc_id long, text string, lang string")  # some turns ask for nothing
+    assert [(r.n_words, r.lm_ppl) for r in q.scored(alone, q.QualityRules()).collect()] == [(1, pytest.approx(math.log(2)))]
 
 
 def test_the_dictionary_moves_no_score(spark, monkeypatch):
