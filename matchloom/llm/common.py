@@ -189,10 +189,29 @@ def fresh(columns: Iterable[str], *stems: str) -> list[str]:
     return out
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """Places of the values (whole numbers, none below 0) in their order, equal ones in any. The values' high bits are sorted
+    together with the places, one number for both, which is several times quicker than ``argsort``; the few values that
+    the low bits tell apart are put right after that."""
+    if not len(x):
+        return np.empty(0, np.int64)
+    least, bits = x.min(), np.uint64(len(x).bit_length())
+    own = (x - least).astype(np.uint64, copy=False)
+    own = own << np.uint64(64 - max(1, int(own.max()).bit_length()))
+    own >>= bits
+    own <<= bits
+    own |= np.arange(len(x), dtype=np.uint64)
+    own.sort()
+    own &= (np.uint64(1) << bits) - np.uint64(1)
+    order = own.view(np.int64)
+    met = x[order]
+    return order if (met[1:] >= met[:-1]).all() else order[np.argsort(met, kind="stable")]  # quick for what is nearly sorted
+
+
 def grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a place of each distinct value, the values in order; the number of each place's value; how often each occurs): as
-    ``np.unique`` tells them, but any place of a value, not the first, which spares the stable sort."""
-    order = np.argsort(x)
+    ``np.unique`` tells them, but any place of a value, not the first."""
+    order = order_of(x)
     own = x[order]
     head = np.r_[True, own[1:] != own[:-1]] if len(x) else np.empty(0, bool)
     back = np.empty(len(x), np.int64)

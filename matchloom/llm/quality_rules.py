@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, grams, grouped, mix, modest_batches, per_batch, small_side, stash, tidy, utf8
+from .common import Scratch, batch_of, grams, grouped, mix, modest_batches, order_of, per_batch, small_side, stash, tidy, utf8
 from .lm_scores import Backoff, press_keys
 from .word_model import BITS as WORD_BITS
 from .word_model import coded, press_places, seeded, swept, with_nats
@@ -242,20 +242,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(places), ends), prepend=0)
 
 
-def base_counts(text: bytes, own: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Words, code points in words, symbol characters, repeated lines, words in repeated three-word windows; ``own``: the
-    hashes of the words."""
+def base_counts(text: bytes, n_words: int, windows: np.ndarray) -> tuple[int, int, int, int, int]:
+    """Words, code points in words, symbol characters, repeated lines, words in repeated three-word windows; ``windows``:
+    the hashes of these, in their order."""
     bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    repeated = 0
-    if len(own) >= 3:
-        _, back, n = grouped(grams(own, 3))
-        windows = np.flatnonzero(n[back] > 1)
-        covered = np.zeros(len(own), bool)
+    repeated, own = 0, np.sort(windows)
+    twice = own[1:][own[1:] == own[:-1]]
+    if len(twice):
+        again = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, windows), len(twice) - 1)] == windows)
+        covered = np.zeros(n_words, bool)
         for k in range(3):
-            covered[windows + k] = True
+            covered[again + k] = True
         repeated = int(covered.sum())
-    return len(own), int(bytes_[IS_CHAR].sum()), int(bytes_[IS_SYMBOL].sum()), len(lines) - len(set(lines)), repeated
+    return n_words, int(bytes_[IS_CHAR].sum()), int(bytes_[IS_SYMBOL].sum()), len(lines) - len(set(lines)), repeated
 
 
 FIELDS = ("doc_id", "lang", "copies", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl", "word_ppl")
@@ -331,9 +331,10 @@ def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = (), scr
             hashes: list[np.ndarray] = []
 
             def block() -> pa.RecordBatch:
-                each, places = np.unique(seeded(np.concatenate(hashes), [r[3] for r in rows], [r[1] for r in rows]), return_inverse=True)
-                codes = coded(each, *known.value)
-                order = np.argsort(codes)  # frequent words first: most places are small numbers
+                every = seeded(np.concatenate(hashes), [r[3] for r in rows], [r[1] for r in rows])
+                first, places, _ = grouped(every)
+                codes = coded(every[first], *known.value)
+                order = order_of(codes)  # frequent words first: most places are small numbers
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order))
                 number = (k << 24 | TaskContext.get().partitionId()) << 24 | made
@@ -345,8 +346,9 @@ def scored(docs: DataFrame, rules: QualityRules, keys: tuple[str, ...] = (), scr
                 every, sizes = word_hashes(texts)
                 hashes.append(every)
                 total += len(every)
-                for doc_id, g, copies, t, own, *more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "copies")), texts, np.split(every, np.cumsum(sizes)[:-1]), *further, strict=True):
-                    base = base_counts(t, own)
+                windows, starts = grams(every, 3), np.cumsum(sizes) - sizes
+                for doc_id, g, copies, t, start, size, *more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "copies")), texts, starts.tolist(), sizes.tolist(), *further, strict=True):
+                    base = base_counts(t, size, windows[start : start + max(0, size - 2)])
                     nats = float(-log_probs(models[g], keys_of(t), tops[g]).sum()) if t and g in models else None
                     rows.append((doc_id, g, copies, *base, nats if nats is None else nats / (len(t) + 1), nats / base[0] if nats is not None and base[0] else None, *more))
                 if total >= block_words or len(rows) >= 100_000:

@@ -137,7 +137,8 @@ def grams(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """Codes of the words of some documents, each after ``order`` - 1 starts; ``doc`` the document of each word."""
+    """Codes of the words of some documents, each after ``order`` - 1 starts: ``numbers`` into ``each``, the different ones;
+    ``doc`` the document of each word."""
 
     def __init__(self, row: dict, order: int) -> None:
         sizes = np.array(row["n_words"], np.int64)
@@ -145,24 +146,28 @@ class Block:
         self.names, codes = np.unique(np.array(row["lang"], object).astype(str), return_inverse=True) if len(sizes) else (np.empty(0, str), np.empty(0, np.int64))
         self.codes, self.copies = codes, np.array(row["copies"], np.float64)
         starts = seeded(np.full(len(self.names), START), [1] * len(self.names), self.names.tolist()) | HASHED
-        self.words = np.repeat(starts[codes], sizes + order - 1)
+        words = open_keys(row["words"])
+        self.each = np.r_[words, starts]
+        self.numbers = np.repeat(len(words) + codes, sizes + order - 1)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.places = np.arange(len(self.doc)) + (order - 1) * (self.doc + 1)
-        self.words[self.places] = open_keys(row["words"])[open_places(row["numbers"])]
+        self.numbers[self.places] = open_places(row["numbers"])
         self.made: dict[int, tuple] = {}
 
     def level(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys of the n-grams and of the contexts that are as long, place of each word's n-gram among them, place
         of each word's context of n words, empty for the highest order)."""
         if n not in self.made:
-            every = grams(self.words, n)
+            # single words are few, so they are sorted before they are looked up
+            every = grams(self.each, 1) if n == 1 else grams(self.each[self.numbers], n)
+            own = self.numbers[self.places] if n == 1 else self.places
+            before = (self.numbers[self.places - 1] if n == 1 else self.places - 1) if n < self.order else np.empty(0, np.int64)
             met = np.zeros(len(every), bool)
-            met[self.places] = True
-            if n < self.order:
-                met[self.places - 1] = True
-            at = np.empty(len(every), np.uint32)
-            keys, at[met] = np.unique(every[met], return_inverse=True)
-            self.made[n] = keys, at[self.places].astype(np.int64), at[self.places - 1].astype(np.int64) if n < self.order else np.empty(0, np.int64)
+            met[own] = True
+            met[before] = True
+            at, every = np.empty(len(every), np.uint32), every[met]
+            first, at[met], _ = grouped(every)
+            self.made[n] = every[first], at[own].astype(np.int64), at[before].astype(np.int64)
         return self.made[n]
 
     def some_word(self, n: int) -> np.ndarray:
@@ -215,7 +220,7 @@ class Block:
             if n > 1:
                 context = self.level(n - 1)[2][first]
                 followed = [x[context] for x in amounts[n - 1][:4]]
-                group = np.unique(doc * len(self.level(n - 1)[0]) + context, return_inverse=True)[1]
+                group = grouped(doc * len(self.level(n - 1)[0]) + context)[1]
             else:
                 whole = np.array([stats[1, str(x)][4:8] for x in self.names])
                 followed, group = [x[lang] for x in whole.T], doc

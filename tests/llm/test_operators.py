@@ -455,6 +455,43 @@ def test_word_hashes_are_those_of_the_words(monkeypatch):
         assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
 
 
+@pytest.mark.parametrize("kind", ["hashes", "low_bits", "ends", "copies", "signed", "one", "none"])
+def test_values_are_grouped_without_an_indirect_sort(kind):
+    from matchloom.llm.common import grouped, order_of
+
+    rng = np.random.default_rng(3)
+    x = {
+        "hashes": rng.integers(0, 1 << 64, 5_000, np.uint64, endpoint=False),
+        "low_bits": rng.integers(0, 1 << 10, 5_000, np.uint64) | np.uint64(1 << 63) * rng.integers(0, 2, 5_000).astype(np.uint64),
+        "ends": np.array([(1 << 64) - 1, 0, (1 << 64) - 1, 1, (1 << 64) - 2], np.uint64),
+        "copies": np.full(1_000, 7, np.uint64),
+        "signed": rng.integers(0, 1 << 40, 5_000),
+        "one": np.array([5], np.uint64),
+        "none": np.empty(0, np.uint64),
+    }[kind]
+    order = order_of(x)
+    assert sorted(order.tolist()) == list(range(len(x))) and (x[order] == np.sort(x)).all()
+    keys, back, n = np.unique(x, return_inverse=True, return_counts=True)
+    first, own_back, own_n = grouped(x)
+    assert (x[first] == keys).all() and (own_back == back).all() and (own_n == n).all()
+
+
+def test_a_blocks_single_words_are_sorted_once_each(monkeypatch):
+    from matchloom.llm import word_model as w
+    from matchloom.llm.lm_scores import press_keys
+
+    codes = np.sort(np.random.default_rng(5).integers(0, 1 << 18, 40, np.uint64))
+    numbers = np.random.default_rng(6).integers(0, 40, 3_000)
+    row = {"n_words": [1_000, 0, 2_000], "lang": ["en", "xx", "de"], "copies": [1, 1, 2], "words": press_keys(codes), "numbers": w.press_places(numbers)}
+    block, sorted_ = w.Block(row, 2), []
+    monkeypatch.setattr(w, "grouped", lambda x, f=w.grouped: sorted_.append(len(x)) or f(x))
+    keys, own, before = block.level(1)
+    assert sorted_ and max(sorted_) <= 42
+    every = w.grams(block.each[block.numbers], 1)
+    met = np.unique(np.r_[block.places, block.places - 1])
+    assert (keys == np.unique(every[met])).all() and (keys[own] == every[block.places]).all() and (keys[before] == every[block.places - 1]).all()
+
+
 def test_letters_that_one_symbol_holds_are_told_apart(spark):
     """Words in which each letter is another one of its symbol have the same symbols as prose, but are none of its words."""
     from matchloom.llm import quality_rules as q
