@@ -33,6 +33,8 @@ BITS, HASHED = 18, np.uint64(1 << 63)
 VALUES = 5
 #: Each order is asked for in so many turns, so that their shuffles aren't on disk at once.
 TURNS = 2
+#: About so many words of a block are scored at once: a score needs some thirty numbers a word on the way.
+PIECE = 1 << 16
 ASKED = "block long, part int, keys binary, amounts array<array<binary>>, codes binary, names array<string>"
 ANSWERED = "block long, level int, part int, amounts array<array<binary>>, owner binary, lang string, stats array<double>"
 
@@ -200,25 +202,37 @@ class Block:
             yield part, press_keys(keys[own]), [press_amounts(x[own]) for x in amounts], press_numbers(codes[own]), self.names.tolist()
 
     def nats(self, amounts: dict[int, list[np.ndarray]], stats: dict[tuple[int, str], list[float]]) -> np.ndarray:
-        """Minus the log probability of each document under the model of all other texts of its language."""
-        if not len(self.doc):
-            return np.zeros(self.docs)
+        """Minus the log probability of each document under the model of all other texts of its language; by runs of whole
+        documents, since each is scored by itself."""
+        out = np.zeros(self.docs)
         cuts = {n: np.array([discounts(stats[n, str(x)]) for x in self.names]) for n in range(1, self.order + 1)}
+        ends, at, start = np.cumsum(np.bincount(self.doc, minlength=self.docs)), 0, 0
+        while start < len(self.doc):
+            to = max(at + 1, int(np.searchsorted(ends, start + PIECE, "right")))
+            end = int(ends[to - 1])
+            if end > start:
+                out[at:to] = self.nats_of(slice(start, end), at, to, amounts, stats, cuts)
+            at, start = to, end
+        return out
+
+    def nats_of(self, run: slice, at: int, to: int, amounts: dict[int, list[np.ndarray]], stats: dict[tuple[int, str], list[float]], cuts: dict[int, np.ndarray]) -> np.ndarray:
+        """Those of the documents from ``at`` up to ``to``, whose words are ``run``."""
+        docs, langs = self.doc[run] - at, self.codes[at:to]
         levels, lost = {}, None
         for n in range(self.order, 0, -1):
             keys, own, _ = self.level(n)
             count = amounts[n][-1]
-            first, back, times = grouped(self.doc * len(keys) + own)
-            doc, gram = self.doc[first], own[first]
+            first, back, times = grouped(docs * len(keys) + own[run])
+            doc, gram = docs[first], own[run][first]
             all_ = count[gram]
             if lost is None:
                 left = all_ - times
             else:  # the types that only this document has don't count here
                 left = all_ - np.bincount(back[lost], minlength=len(first))
-            lang = self.codes[doc]
+            lang = langs[doc]
             before, after = (cuts[n].ravel()[4 * lang + np.minimum(x, 3).astype(np.int64)] for x in (all_, left))
             if n > 1:
-                context = self.level(n - 1)[2][first]
+                context = self.level(n - 1)[2][run][first]
                 followed = [x[context] for x in amounts[n - 1][:4]]
                 group = grouped(doc * len(self.level(n - 1)[0]) + context)[1]
             else:
@@ -231,10 +245,10 @@ class Block:
             levels[n] = np.where(there, (left - after) / total, 0.0)[back], np.where(there, spared / total, 1.0)[back]
             lost = first[left < 0.5]
         types = np.array([stats[1, str(x)][8] for x in self.names])
-        p = 1.0 / (1.0 + types[self.codes[self.doc]])
+        p = 1.0 / (1.0 + types[langs[docs]])
         for n in range(1, self.order + 1):
             p = levels[n][0] + levels[n][1] * p
-        return -np.bincount(self.doc, np.log(p), self.docs)
+        return -np.bincount(docs, np.log(p), to - at)
 
 
 def discounts(stats: list[float]) -> np.ndarray:

@@ -492,6 +492,32 @@ def test_a_blocks_single_words_are_sorted_once_each(monkeypatch):
     assert (keys == np.unique(every[met])).all() and (keys[own] == every[block.places]).all() and (keys[before] == every[block.places - 1]).all()
 
 
+def test_a_block_is_scored_by_runs_of_documents(monkeypatch):
+    import tracemalloc
+
+    from matchloom.llm import word_model as w
+    from matchloom.llm.lm_scores import press_keys
+
+    rng = np.random.default_rng(7)
+    sizes = [0, 90_000, 0, *rng.integers(0, 900, 400).tolist(), 0]
+    codes = np.unique(rng.integers(0, 1 << 18, 20_000, np.uint64))
+    numbers = np.minimum(rng.geometric(0.001, sum(sizes)), len(codes)) - 1
+    numbers[: len(codes)] = np.arange(len(codes))
+    row = {"n_words": sizes, "lang": ["en" if k % 3 else "de" for k in range(len(sizes))], "copies": [1] * len(sizes), "words": press_keys(codes), "numbers": w.press_places(numbers)}
+    block = w.Block(row, 2)
+    top = block.sent(2, None)
+    every = np.ones(len(top[0]), bool)
+    amounts = {2: [2 * top[0]], 1: [2 * x for x in block.sent(1, (top, every))]}
+    stats = {(n, x): [9e4, 4e4, 2e4, 1e4, 5e5, 9e4, 4e4, 6e4, 2e5] for n in (1, 2) for x in ("de", "en")}
+    tracemalloc.start()
+    got = block.nats(amounts, stats)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 << 20, peak
+    monkeypatch.setattr(w, "PIECE", 1 << 40)
+    assert (got == block.nats(amounts, stats)).all() and (got[np.array(sizes) == 0] == 0).all() and (got[np.array(sizes) > 0] > 0).all()
+
+
 def test_letters_that_one_symbol_holds_are_told_apart(spark):
     """Words in which each letter is another one of its symbol have the same symbols as prose, but are none of its words."""
     from matchloom.llm import quality_rules as q
