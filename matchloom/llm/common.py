@@ -123,12 +123,17 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 
 class WordHashes(dict):
-    """word (bytes) -> signed 64-bit hash, remembered for the words met lately; memory is bounded by LIMIT words."""
+    """word (bytes) -> signed 64-bit hash, remembered for the words met lately; memory is bounded by ``limit`` words, which
+    changes no hash."""
 
     LIMIT = 150_000
 
+    def __init__(self, limit: int = LIMIT) -> None:
+        super().__init__()
+        self.limit = limit
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return value

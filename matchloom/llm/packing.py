@@ -54,6 +54,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the model's own memo of words outlives it: every task would leave one in a worker that lives on for the next
+        self.tokenizer.model._resize_cache(0)
         self.plain, self.split = re.compile(PLAIN).fullmatch, re.compile(PLAIN_SPLIT).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}

@@ -85,6 +85,39 @@ def test_odd_words_are_the_tokenizers(text):
     assert own.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_a_tokenizer_leaves_nothing_behind():
+    """Python workers live on from task to task: what one leaves adds up."""
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, random, sys
+from matchloom.llm.common import trim
+from matchloom.llm.packing import WordIds
+
+class Info(ctypes.Structure):
+    _fields_ = [(n, ctypes.c_size_t) for n in "arena ordblks smblks hblks hblkhd usmblks fsmblks uordblks fordblks keepcost".split()]
+
+libc = ctypes.CDLL(None)
+libc.mallinfo2.restype = Info
+rng, used = random.Random(3), []
+texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(500)) for _ in range(60)]
+for _ in range(4):
+    words = WordIds(sys.argv[1], 100_000)
+    assert all(len(x) for x in words.texts(texts))
+    del words
+    trim()
+    info = libc.mallinfo2()
+    used.append(info.uordblks + info.hblkhd)
+print(used[-1] - used[0])
+"""
+    if not hasattr(__import__("ctypes").CDLL(None), "mallinfo2"):
+        pytest.skip("mallinfo2 is glibc's")
+    done = subprocess.run([sys.executable, "-c", code, tokenizer("word_bpe_49k.json")], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 2 << 20, done.stdout
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_plan_keeps_every_capacity(rule):
     from matchloom.llm.packing import Capacity, plan
@@ -802,6 +835,32 @@ def test_scores_are_brute_force(spark, docs):
 # 9 line dedup, 10 Jaccard join
 
 
+def test_a_join_task_remembers_few_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from matchloom.llm import jaccard_join as j
+    from matchloom.llm.common import WordHashes
+
+    class Docs:
+        """Stands for a table; gives a task's function instead of running it."""
+
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    texts = [" ".join(f"w{1_000 * k + i}x" for i in range(1_000)) for k in range(140)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t]}) for k, t in enumerate(texts)]
+    task = j.sketch_docs(Docs(), j.JaccardJoin(counter_bits=10))
+    tracemalloc.start()
+    got = [x for b in task(iter(batches)) for x in b.column("cid").to_pylist() if x is not None]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = WordHashes()
+    assert got == [j.set_id(j.shingle_set(t.encode(), every, 5)) for t in texts] and len(every) == 140_000
+    assert peak < 12 << 20, peak
+
+
 def test_jaccard_components_are_brute_force(docs):
     from matchloom.llm.jaccard_join import near_duplicate_components
 
