@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import fuzzy, parsing, scoring, text
-from matchloom.operators import candidates, listing, metrics, monitoring, pairs, skills, taxonomy
+from matchloom.operators import candidates, listing, metrics, monitoring, pairs, skills, taxonomy, vectors
 from matchloom.streaming import monitor
 
 
@@ -159,3 +159,20 @@ def test_stream_limiter(spark, tmp_path):
 def test_ratio_udf_length_bound(spark):
     df = spark.createDataFrame([("abc", "abcdefghij")], "a string, b string")
     assert not df.select(fuzzy.may_reach(F.col("a"), F.col("b"), 0.85)).first()[0]
+
+
+def test_vector_scores_are_those_of_single_pairs(spark):
+    """What a task keeps back is what the threshold, the best k and the rounding would drop, for odd vectors too."""
+    rows = [(k, [float(k * a % 7 - 3) / 4 for a in (1, 2, 3)]) for k in range(40)] + [(40, None), (41, []), (42, [1.0]), (43, [1.0, None, 2.0]), (44, [float("nan"), 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.where("id % 4 = 0 or id > 38")
+    every = v.crossJoin(q.select(F.col("id").alias("query"), F.col("embedding").alias("q_"))).select("query", "id", scoring.dot(F.col("q_"), F.col("embedding")).alias("score")).cache()
+
+    def same(got, want):
+        assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r)) for r in want.select(*got.columns).collect())
+
+    same(vectors.query_scores(q, v, block=9), every)
+    same(vectors.query_scores(q, v, places=1), every.withColumn("score", F.round("score", 1)))
+    same(vectors.query_scores(q, v, least=0.51), vectors.above(every, 0.51))
+    for k in (1, 5, 43):
+        same(vectors.top_k(vectors.query_scores(q, v, best=k), k), vectors.top_k(every, k))
