@@ -176,3 +176,40 @@ def test_vector_scores_are_those_of_single_pairs(spark):
     same(vectors.query_scores(q, v, least=0.51), vectors.above(every, 0.51))
     for k in (1, 5, 43):
         same(vectors.top_k(vectors.query_scores(q, v, best=k), k), vectors.top_k(every, k))
+
+
+def test_gram_keys_are_those_of_single_grams(spark):
+    """Keys from texts that are split again are those of each n-gram by itself: versions, marks and short texts."""
+    texts = ["python 3.8 sql 37 c++ .net a1.2 3.7 / x", "7", "", "v2 2 2.0.1 +", "Node.js 18\nC# 7.3 - b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {tuple(r) for r in skills.gram_keys(docs).collect()}
+    plain = F.regexp_replace("gram", text.VERSION_TAIL, "")
+    grams = skills.ngram_rows(docs).select("doc_id", F.regexp_replace(plain, r"[+.#/\- ]", "").alias("key"), F.array_join(F.transform(F.split(plain, " "), lambda w: F.regexp_replace(F.left(w, F.lit(1)), r"[+.#/\-]", "")), "").alias("short")).where("key <> ''").collect()
+    assert got == {(r.doc_id, "k", r.key) for r in grams} | {(r.doc_id, "s", r.short) for r in grams if r.short}
+
+
+def test_detection_deals_only_hits_by_document(spark):
+    """Of words and lines without a known skill nothing is shuffled: the plan joins before it deals."""
+    docs = spark.createDataFrame([(1, "SKILLS\npython, sql\nother words")], "doc_id int, text string")
+    found = skills.detect(docs, spark.createDataFrame([("python",)], "skill string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Distinct" not in plan and [tuple(r) for r in found.collect()] == [(1, "python", 0.99, "exact:skills")]
+
+
+def test_semantic_evidence_from_whole_texts(spark):
+    """A phrase after 200 others counts."""
+    from matchloom.plans.flows import embedder
+
+    docs = spark.createDataFrame([(1, "\n".join(f"entry{k} word{k} item{k}" for k in range(300)) + "\ndata work")], "doc_id int, text string")
+    known = spark.createDataFrame([("data work",)], "skill string")
+    got = [(r.canonical, r.source) for r in skills.semantic_hits(docs, known, embedder, 0.95).collect()]
+    assert got == [("data work", "semantic:other")]
+
+
+def test_said_skills_are_those_of_whole_keys(spark):
+    texts = ["Tools:\n- Python 3.8, C++ & Perl5; R&D\n* SQL/ 7 |python3", "python\n•python 2,,-; node.js 18 / 3.7", "K8s, k8", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    keys = {r.k for r in skills.phrases(skills.sections(docs)).select(text.skill_key("phrase").alias("k")).collect()} - {""}
+    table = spark.createDataFrame([(k,) for k in {*keys, "k8s", "k8", "k", "7"}], "alias string")
+    rows = [sorted(str(tuple(r)) for r in f.select("doc_id", "pos", "at", "section", "weight", "alias").collect()) for f in (skills.said(docs, text.skill_key, table), skills.said_skills(docs, table))]
+    assert rows[0] == rows[1] and len(rows[0]) > 8
