@@ -104,15 +104,16 @@ def top_values(rows: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def leakage(rows: DataFrame, split: Column, keys: dict[str, Column]) -> DataFrame:
-    """``split_pair, key_kind, overlap``: distinct keys that two splits share. One pass: each key's set of splits is an
-    aggregate of three flags; no split is joined to another."""
-    out = None
-    for kind, key in keys.items():
-        flags = rows.select(key.alias("key"), split.alias("split")).where("key is not null").groupBy("key").agg(*[F.bool_or(F.col("split") == s).alias(s) for s in ("train", "val", "test")])
-        sums = flags.agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in (("train", "val"), ("train", "test"), ("val", "test"))])
-        own = sums.select(F.expr("stack(3, 'train_val', train_val, 'train_test', train_test, 'val_test', val_test) as (split_pair, overlap)")).withColumn("key_kind", F.lit(kind))
-        out = own if out is None else out.unionByName(own)
-    return out.select("split_pair", "key_kind", "overlap")
+    """``split_pair, key_kind, overlap``: distinct keys that two splits share. One pass: a row's split is computed once for
+    all kinds of key, and each key's set of splits is an aggregate of three flags; no split is joined to another."""
+    named = [(kind, key.cast("string")) for kind, key in keys.items()]
+    each = rows.select(split.alias("split"), *[key.alias(f"k{i}") for i, (_, key) in enumerate(named)])
+    each = each.select(*[(F.col("split") == s).alias(s) for s in ("train", "val", "test")], F.inline(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"k{i}").alias("key")) for i in range(len(named))]))).where("key is not null")
+    flags = each.groupBy("kind", "key").agg(*[F.bool_or(s).alias(s) for s in ("train", "val", "test")])
+    sums = flags.groupBy("kind").agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}_{b}") for a, b in (("train", "val"), ("train", "test"), ("val", "test"))])
+    kinds = rows.sparkSession.createDataFrame([(i, kind) for i, (kind, _) in enumerate(named)], "kind int, key_kind string")
+    every = kinds.join(sums, "kind", "left").na.fill(0)
+    return every.select("key_kind", F.expr("stack(3, 'train_val', train_val, 'train_test', train_test, 'val_test', val_test) as (split_pair, overlap)")).select("split_pair", "key_kind", "overlap")
 
 
 def pick_per_label(labelled: DataFrame, positives: int = 1, hards: int = 2, easies: int = 2) -> DataFrame:
