@@ -16,6 +16,10 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# else a filter on the ratio is taken through a distinct() below it, and every row pays for the call, not every different pair
+sequence_ratio = sequence_ratio.asNondeterministic()
+
+
 def may_reach(a: Column, b: Column, least: float) -> Column:
     """Whether two texts are long enough, relative to each other, to reach a ratio: evaluated before the UDF."""
     la, lb = F.length(a), F.length(b)

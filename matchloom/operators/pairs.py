@@ -194,13 +194,20 @@ def fuzzy_overlap(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``key, overlap, missing``: a required skill counts if some owned skill equals it or is similar enough.
 
     Exact hits by array functions first; only required skills without one meet the owned skills, in the pair's own rows,
-    and only texts whose lengths allow the ratio reach the UDF. ``pairs`` has key, owned, required."""
+    and only texts whose lengths allow the ratio reach the UDF, each different pair of texts once. What is similar to a
+    required skill is then one list, which a row's owned skills are held against: rows of pairs of texts are not dealt.
+    ``pairs`` has key, owned, required."""
     need = F.array_distinct("required")
     base = pairs.select("key", "owned", need.alias("need"), F.size(F.array_intersect(need, "owned")).alias("exact"))
-    open_ = base.select("key", F.explode(F.array_except("need", "owned")).alias("want"), "owned").select("key", "want", F.explode("owned").alias("have"))
-    tried = open_.where(fuzzy.may_reach(F.col("have"), F.col("want"), threshold))
-    distinct = tried.select("want", "have").distinct().withColumn("ratio", fuzzy.sequence_ratio("want", "have")).where(F.col("ratio") >= threshold)
-    hits = tried.join(distinct, ["want", "have"]).groupBy("key").agg(F.count_distinct("want").alias("near"))
-    both = base.join(hits, "key", "left").withColumn("hit", F.col("exact") + F.coalesce("near", F.lit(0)))
+    open_ = base.select("key", F.explode(F.array_except("need", "owned")).alias("want"), "owned")
+    met = open_.select("want", F.explode("owned").alias("have")).where(fuzzy.may_reach(F.col("have"), F.col("want"), threshold)).distinct()
+    near = met.withColumn("ratio", fuzzy.sequence_ratio("want", "have")).where(F.col("ratio") >= threshold).groupBy("want").agg(F.collect_set("have").alias("like")).localCheckpoint()
     size = F.size("need")
-    return both.select("key", F.when(size > 0, F.col("hit") / size).otherwise(F.lit(0.0)).alias("overlap"), F.greatest(size - F.col("hit"), F.lit(0)).alias("missing"))
+    if near.count() <= 1000:  # one small map goes to every row, which is then counted by itself
+        like = F.broadcast(near.agg(F.map_from_entries(F.collect_list(F.struct("want", "like"))).alias("m")))
+        close = lambda w: F.arrays_overlap(F.coalesce(F.element_at("m", w), F.array().cast("array<string>")), F.col("owned"))
+        both = base.crossJoin(like).select("key", size.alias("n"), (F.col("exact") + F.size(F.filter(F.array_except("need", "owned"), lambda w: F.coalesce(close(w), F.lit(False))))).alias("hit"))
+    else:
+        hits = open_.join(near, "want").where(F.arrays_overlap("like", "owned")).groupBy("key").agg(F.count_distinct("want").alias("near"))
+        both = base.select("key", "exact", size.alias("n")).join(hits, "key", "left").withColumn("hit", F.col("exact") + F.coalesce("near", F.lit(0)))
+    return both.select("key", F.when(F.col("n") > 0, F.col("hit") / F.col("n")).otherwise(F.lit(0.0)).alias("overlap"), F.greatest(F.col("n") - F.col("hit"), F.lit(0)).alias("missing"))

@@ -213,3 +213,28 @@ def test_said_skills_are_those_of_whole_keys(spark):
     table = spark.createDataFrame([(k,) for k in {*keys, "k8s", "k8", "k", "7"}], "alias string")
     rows = [sorted(str(tuple(r)) for r in f.select("doc_id", "pos", "at", "section", "weight", "alias").collect()) for f in (skills.said(docs, text.skill_key, table), skills.said_skills(docs, table))]
     assert rows[0] == rows[1] and len(rows[0]) > 8
+
+
+def test_ratios_are_of_different_pairs(spark):
+    """The filter on a ratio stays above the aggregate that makes pairs distinct."""
+    rows = spark.createDataFrame([(k, ["pyton", "sql"], ["python"]) for k in range(50)], "key int, owned array<string>, required array<string>")
+    assert {(r.overlap, r.missing) for r in pairs.fuzzy_overlap(rows).collect()} == {(1.0, 0)}
+    two = spark.createDataFrame([("a", "b")], "x string, y string").distinct().withColumn("r", fuzzy.sequence_ratio("x", "y")).where("r >= 0.5")
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Aggregate") and "Filter" not in plan[plan.index("Aggregate") :]
+
+
+def test_label_of_many_occupations(spark):
+    """Ids of a label are one before pairs meet them: the least."""
+    index = taxonomy.label_index(spark.range(300).select(F.format_string("%05d", "id").alias("id"), F.array(F.lit("data engineer"), F.lit("Data Engineer")).alias("labels")))
+    found = taxonomy.match_fuzzy(spark.createDataFrame([("data enginer",)], "title string"), index)
+    assert [(r.id, r.label) for r in found.collect()] == [("00000", "Data Engineer")]
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leakage_of_several_keys(spark):
+    rows = spark.createDataFrame([("train", 1, "a"), ("val", 1, "b"), ("test", 2, "b"), ("train", 2, None)], "s string, n int, t string")
+    got = {(r.split_pair, r.key_kind): r.overlap for r in pairs.leakage(rows, F.col("s"), {"n": F.col("n"), "t": F.col("t"), "none": F.lit(None).cast("int")}).collect()}
+    assert got == {("train_val", "n"): 1, ("train_test", "n"): 1, ("val_test", "n"): 0, ("train_val", "t"): 0, ("train_test", "t"): 0, ("val_test", "t"): 1, **{(p, "none"): 0 for p in ("train_val", "train_test", "val_test")}}
+    plan = pairs.leakage(rows, pairs.hash_split(F.col("t")), {"n": F.col("n"), "t": F.col("t")})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") <= 8 and "Union" not in plan  # four quarters, under two limits
