@@ -55,8 +55,9 @@ def match_fuzzy(titles: DataFrame, index: DataFrame, threshold: float = 0.92) ->
     close = fuzzy.may_reach(F.col("key"), F.col("lkey"), threshold) & fuzzy.bits_may_reach("key", "lkey", "a", "b", threshold)
     near = pieces(left, "key", "a").join(pieces(right, "lkey", "b"), "piece").where(close).select("key", "lkey").distinct()
     scored = near.withColumn("ratio", fuzzy.sequence_ratio("key", "lkey")).where(F.col("ratio") >= threshold)
-    order = Window.partitionBy("key").orderBy(F.desc("ratio"), "label", "id")
-    best = scored.join(labels, "lkey").withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    # ids of a label are one before the pairs meet them, so a label of many occupations adds no rows
+    named = labels.groupBy("lkey").agg(F.min(F.struct("label", "id")).alias("n"))
+    best = scored.join(named, "lkey").groupBy("key").agg(F.min(F.struct((-F.col("ratio")).alias("away"), "n")).alias("b")).select("key", "b.n.id", "b.n.label", (-F.col("b.away")).alias("ratio"))
     return keys.join(best.select("key", "id", "label", "ratio"), "key").select("title", "key", "id", "label", F.round("ratio", 4).alias("ratio"))
 
 
