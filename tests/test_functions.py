@@ -238,3 +238,12 @@ def test_leakage_of_several_keys(spark):
     assert got == {("train_val", "n"): 1, ("train_test", "n"): 1, ("val_test", "n"): 0, ("train_val", "t"): 0, ("train_test", "t"): 0, ("val_test", "t"): 1, **{(p, "none"): 0 for p in ("train_val", "train_test", "val_test")}}
     plan = pairs.leakage(rows, pairs.hash_split(F.col("t")), {"n": F.col("n"), "t": F.col("t")})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5") <= 8 and "Union" not in plan  # four quarters, under two limits
+
+
+def test_ngram_counts_are_those_of_rows(spark):
+    texts = ["a b a b a b c", "a", "", None, "b a b a", "x y z x y z x", "a b c d e a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    want = {(r.doc_id, r["count"]) for r in skills.ngram_rows(docs).groupBy("doc_id").count().collect()}
+    assert len(want) == 5
+    for run in (1, 9, 1000):
+        assert {(r.doc_id, r.n) for r in skills.ngram_counts(docs, run=run).collect()} == want
